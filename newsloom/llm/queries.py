@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, pii, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.line_frequency_quality(_read(spark, sf_dir, "documents"))
+
+
+def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_read(spark, sf_dir, "documents"))
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -19,5 +27,5 @@ def op9_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.consistent_hash_shards(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_pareto_mixing, op9_consistent_hash_sharding)}
+QUERIES = {f.__name__: f for f in (op3_line_frequency, op10_weak_supervision_pii, op7_pareto_mixing, op9_consistent_hash_sharding)}
 ORACLE_SQL: dict[str, str] = {}
