@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, oracle, pii, quality, sharding
+from . import mixing, oracle, pii, quality, sharding, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(_read(spark, sf_dir, "documents"), whole=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency_quality(_read(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op9_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.consistent_hash_shards(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_frequency, op10_weak_supervision_pii, op7_pareto_mixing, op9_consistent_hash_sharding)}
+QUERIES = {f.__name__: f for f in (op1_rlz_substring_dedup, op3_line_frequency, op10_weak_supervision_pii, op7_pareto_mixing, op9_consistent_hash_sharding)}
 ORACLE_SQL = oracle.ORACLE_SQL
