@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, oracle, pii, quality, sharding, substrings
+from . import jaccard, mixing, oracle, pii, quality, sharding, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_read(spark, sf_dir, "documents"))
 
 
+def op6_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,5 +35,5 @@ def op9_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.consistent_hash_shards(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rlz_substring_dedup, op3_line_frequency, op10_weak_supervision_pii, op7_pareto_mixing, op9_consistent_hash_sharding)}
+QUERIES = {f.__name__: f for f in (op1_rlz_substring_dedup, op3_line_frequency, op6_grouped_prefix_join, op10_weak_supervision_pii, op7_pareto_mixing, op9_consistent_hash_sharding)}
 ORACLE_SQL = oracle.ORACLE_SQL
