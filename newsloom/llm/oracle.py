@@ -57,4 +57,13 @@ SELECT doc_id, size, source_size, target,
 FROM r3
 """
 
-ORACLE_SQL = {"op3_line_frequency": OP3, "op7_pareto_mixing": OP7}
+OP8 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS a FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.a) + 1), lambda i: q.a[i] * c.a[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.a) = len(c.a) WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op3_line_frequency": OP3, "op7_pareto_mixing": OP7, "op8_bit_sliced_top_k": OP8}
