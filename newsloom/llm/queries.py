@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, oracle, pii, quality, sharding, substrings, topk
+from . import htmltree, jaccard, lblm, mixing, oracle, pii, quality, sharding, substrings, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(_read(spark, sf_dir, "documents"), whole=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_tree_model_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltree.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency_quality(_read(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_read(spark, sf_dir, "documents"))
 
 
+def op5_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op6_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
 
@@ -40,5 +48,5 @@ def op9_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.consistent_hash_shards(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rlz_substring_dedup, op3_line_frequency, op6_grouped_prefix_join, op10_weak_supervision_pii, op7_pareto_mixing, op8_bit_sliced_top_k, op9_consistent_hash_sharding)}
+QUERIES = {f.__name__: f for f in (op1_rlz_substring_dedup, op2_tree_model_html, op3_line_frequency, op5_log_bilinear_scores, op6_grouped_prefix_join, op10_weak_supervision_pii, op7_pareto_mixing, op8_bit_sliced_top_k, op9_consistent_hash_sharding)}
 ORACLE_SQL = oracle.ORACLE_SQL
