@@ -52,6 +52,10 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def columns_first(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns an operator works on, so extra or clashing ones of the caller never interfere."""
-    return df.select(*names)
+#: A side is broadcast only below so many bytes.
+BROADCAST_BYTES = 16_000_000
+
+
+def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if its counted rows are few enough; else the join may shuffle it."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

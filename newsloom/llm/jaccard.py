@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_side, written
 from .components import connected_components
 from .ngrams import Grams, WordHashes, chunked, mixed, texts
 
@@ -51,13 +51,6 @@ FREQUENT = 400_000
 BLOCK = 1500
 #: Lists of up to so many classes compare pairs as rows; longer ones in blocks.
 SHORT_LIST = 64
-#: A side is broadcast only below so many bytes.
-BROADCAST_BYTES = 16_000_000
-
-
-def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """df, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def prefix_length(n):
@@ -356,3 +349,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of_class = class_part.join(smallest, "part").select("class", "component_id")
     out = members.join(of_class, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with only the smallest doc_id of each component, once; columns unchanged, rows without a doc_id stay."""
+    found = jaccard_components(docs)
+    kept = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    rows = docs.where("doc_id is not null").join(small_side(kept, kept.count(), 16), F.col("doc_id") == F.col("__kept"), "left_semi")
+    repeated = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again"), "repeated")
+    repeated = small_side(repeated, repeated.count(), 16)
+    # Only rows whose doc_id stands more than once need a look at each other.
+    once = rows.join(repeated, F.col("doc_id") == F.col("__again"), "left_anti")
+    again = rows.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))

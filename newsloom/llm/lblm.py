@@ -40,8 +40,8 @@ from .ngrams import chunked, texts
 
 CLASSES = 1024
 DIMS = 16
-NOISE = 32
-BATCH = 2048
+NOISE = 64
+BATCH = 1024
 ROUNDS = 2
 FREQUENT = 150_000
 #: Trainers of a round at most; their weights are what a round gathers.
@@ -118,7 +118,7 @@ def _contexts(classes: np.ndarray, counts: np.ndarray, start: int) -> tuple[np.n
     return near, far
 
 
-def nce_steps(p: dict[str, np.ndarray], classes: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, state: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.08) -> None:
+def nce_steps(p: dict[str, np.ndarray], classes: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, state: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.1) -> None:
     """Adagrad steps of noise-contrastive estimation over a stretch of tokens, in place; noise: probabilities of classes."""
     log_noise = np.log(NOISE * noise).astype(np.float32)
     heap = np.cumsum(noise)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import small_side, word_count, written
 
 BINS = 65536
 
@@ -54,9 +54,14 @@ def uniform_draw(key: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / float(2**48)
 
 
-def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: float = 1.5, cap: float = 2.0, seed: str = "mix:") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row of docs."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: float = 1.5, cap: float = 2.0, seed: str = "mix:", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for every row of docs, and a struct of the columns to carry along.
+
+    The tables of a source's plan are written first and counted, so that texts to
+    carry stay where they are unless sources are too many to broadcast.
+    """
+    carried = F.struct(*carry) if carry else F.lit(None).cast("string")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), carried.alias("carried"))
     rows = rows.withColumn("class", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0).cast("int"))
     classes = rows.groupBy("source", "class").agg(F.sum("size").alias("class_size"))
     sizes = classes.groupBy("source").agg(F.sum("class_size").alias("source_size"))
@@ -82,6 +87,8 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: flo
     plan = plan.withColumn("quota", F.col("rest") - F.sum(F.col("sure") * F.col("class_size")).over(source))
     plan = plan.select(F.col("source").alias("s"), F.col("class").alias("k"), "source_size", "target", "p", "quota", (F.col("whole") + F.col("sure")).alias("sure_copies"), ((F.col("sure") == 0) & (F.col("p") > 0)).alias("drawn"))
 
+    plan = written(plan, "mix-plan")
+    plan = small_side(plan, plan.count(), 100)
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k"))).drop("s", "k", "class")
     u = uniform_draw(F.col("doc_id"), seed)
     odds = F.when(F.col("drawn"), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
@@ -91,11 +98,20 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: flo
     bins = bins.withColumn("before", F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin")) - F.col("bin_size"))
     edge = bins.where(F.col("before") <= F.col("quota")).groupBy("source").agg(F.max(F.struct("bin", "before")).alias("e"))
     edge = edge.select(F.col("source").alias("es"), F.col("e.bin").alias("edge_bin"), F.col("e.before").alias("edge_before"))
+    edge = written(edge, "mix-edge")
+    edge = small_side(edge, edge.count(), 50)
     rows = rows.join(edge, F.col("source").eqNullSafe(F.col("es")), "left").drop("es")
-    final = lambda d, extra: d.select("doc_id", "source", "size", "source_size", "target", ((F.col("sure_copies") + extra) * F.col("size")).alias("taken"), (F.col("sure_copies") + extra).alias("copies"))
+    final = lambda d, extra: d.select("doc_id", "source", "size", "source_size", "target", ((F.col("sure_copies") + extra) * F.col("size")).alias("taken"), (F.col("sure_copies") + extra).alias("copies"), "carried")
     on_edge = F.coalesce(F.col("bin") == F.col("edge_bin"), F.lit(False))
     clear = final(rows.where(~on_edge), F.when(F.coalesce(F.col("bin") < F.col("edge_bin"), F.lit(False)), 1).otherwise(0).cast("long"))
     run = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge_rows = rows.where(on_edge).withColumn("start", F.col("edge_before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     cut = final(edge_rows, F.when(F.col("start") + F.col("size") / 2 <= F.col("quota"), 1).otherwise(0).cast("long"))
-    return clear.unionByName(cut)
+    mixed = clear.unionByName(cut)
+    return mixed if carry else mixed.drop("carried")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: every document as often as it is taken, columns unchanged."""
+    taken = pareto_mix(docs, carry=tuple(docs.columns), **how).where("copies > 0")
+    return taken.select("carried", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("carried.*")
