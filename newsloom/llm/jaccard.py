@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import small_side, written
 from .components import connected_components
-from .ngrams import Grams, WordHashes, chunked, mixed, texts
+from .ngrams import Grams, WordHashes, chunks, mixed
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -57,11 +57,11 @@ def prefix_length(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def _sets(column: list[bytes], hashes: WordHashes, frequent: np.ndarray | None, rank: np.ndarray | None) -> list[np.ndarray]:
-    """Sorted shingle codes of each text; frequent shingles (sorted hashes with ranks) come after all others."""
-    out: list[np.ndarray] = []
-    for a, b in chunked(column):
-        docs = [t.lower().split() for t in column[a:b]]
+def _sets(column: pa.Array, hashes: WordHashes, frequent: np.ndarray | None, rank: np.ndarray | None) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Ranges of texts with the sorted shingle codes of each; frequent shingles (sorted hashes with ranks) come after all others."""
+    for a, b, some in chunks(column):
+        out: list[np.ndarray] = []
+        docs = [t.lower().split() for t in some]
         flat = hashes.of([w for d in docs for w in d])
         grams, begin = Grams(flat).of(SHINGLE), 0
         for d in docs:
@@ -79,7 +79,7 @@ def _sets(column: list[bytes], hashes: WordHashes, frequent: np.ndarray | None,
                 codes = plain
             codes = np.sort(codes)
             out.append(codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes)
-    return out
+        yield a, b, out
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +88,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = _sets(texts(batch.column(0)), hashes, None, None)
-            if sets:
+            for _, _, sets in _sets(batch.column(0), hashes, None, None):
                 value, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["code", "n"])
 
@@ -117,12 +116,10 @@ def _members(order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = _sets(texts(batch.column(1)), hashes, *order)
-            keys = [_keys(s) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
-                names=["doc_id", "n", "class", "group"],
-            )
+            for a, b, sets in _sets(batch.column(1), hashes, *order):
+                keys = [_keys(s) if len(s) else (None, None) for s in sets]
+                columns = [batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "class", "group"])
 
     return run
 
@@ -134,18 +131,17 @@ def _postings(order):
         hashes = WordHashes()
         for batch in batches:
             seen: set[int] = set()
-            codes, groups, sizes, rare, counts = [], [], [], [], []
-            for s in _sets(texts(batch.column(0)), hashes, *order):
-                if len(s) and (g := _keys(s)[1]) not in seen:
-                    seen.add(g)
-                    codes.append(s[: prefix_length(len(s))])
-                    groups.append(g)
-                    sizes.append(len(s))
-                    rare.append(int(np.searchsorted(s, np.uint64(1 << 62))))
-                    counts.append(len(codes[-1]))
-            if codes:
-                arrays = [np.concatenate(codes).view(np.int64)] + [np.repeat(np.array(x, t), counts) for x, t in ((groups, np.int64), (sizes, np.int32), (rare, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["code", "group", "n", "rare"])
+            for _, _, sets in _sets(batch.column(0), hashes, *order):
+                fresh = []
+                for s in sets:
+                    if len(s) and (g := _keys(s)[1]) not in seen:
+                        seen.add(g)
+                        fresh.append((s[: prefix_length(len(s))], g, len(s), int(np.searchsorted(s, np.uint64(1 << 62)))))
+                if fresh:
+                    codes, groups, sizes, rare = zip(*fresh, strict=True)
+                    counts = [len(c) for c in codes]
+                    arrays = [np.concatenate(codes).view(np.int64)] + [np.repeat(np.array(x, t), counts) for x, t in ((groups, np.int64), (sizes, np.int32), (rare, np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["code", "group", "n", "rare"])
 
     return run
 
@@ -185,15 +181,35 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["group", "hub"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among pairs (a, b) that come with their whole sets as sorted codes."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _pairs_that(test):
+    """Arrow function: pairs (a, b) that come with codes x, y and sizes p, q, kept where test(x, y, p, q) holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                columns = [part.column(k).to_pylist() for k in range(2, 6)]
+                keep = [test(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), p, q) for x, y, p, q in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
+    """Similarity of whole sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return bool(100 * both >= PERCENT * (p + q - both))
+
+
+def maybe_similar(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
+    """Whether prefixes x, y of sets of sizes p, q leave the similarity possible.
+
+    Up to the end of the prefix that ends sooner both sets are known; what they
+    do not share there is part of their difference, at most (p + q) / 9.
+    """
+    last = min(x[-1], y[-1])
+    seen = np.searchsorted(x, last, side="right") + np.searchsorted(y, last, side="right")
+    return bool(9 * (seen - 2 * len(np.intersect1d(x, y, assume_unique=True))) <= p + q)
 
 
 def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,25 +299,38 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     busy = written(busy, "busy")
     n_busy = busy.count()
 
-    # 2. Whole sets of the classes that may have a partner, and the links of the stars.
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = _sets(texts(batch.column(2)), hashes, *order)
-            own = pa.array([len(s) > 0 and _keys(s)[0] == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["class", "group", "n", "codes"]).filter(own)
+    # 2. Prefixes of the classes that may have a partner, and the links of the stars.
+    def codes_of(chosen: DataFrame, n_chosen: int, name: str, whole: bool) -> DataFrame:
+        """class, group, n and the sorted codes (all, or the prefix) of the chosen (class, group, doc_id)."""
 
-    chosen = small_side(busy.select("class", "group", F.col("doc_id").alias("d")), n_busy, 24)
-    texts_of = rows.join(chosen, F.col("doc_id") == F.col("d"))
-    sets = written(texts_of.select("class", "group", "text").mapInArrow(with_sets, "class long, group long, n int, codes binary"), "sets")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                for a, b, sets in _sets(batch.column(2), hashes, *order):
+                    own = pa.array([len(s) > 0 and _keys(s)[0] == c for s, c in zip(sets, batch.column(0).slice(a, b - a).to_pylist(), strict=True)], pa.bool_())
+                    data = [(s if whole else s[: prefix_length(len(s))]).tobytes() for s in sets]
+                    columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array(data, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["class", "group", "n", "codes"]).filter(own)
+
+        texts_of = rows.join(small_side(chosen.select("class", "group", F.col("doc_id").alias("d")), n_chosen, 24), F.col("doc_id") == F.col("d"))
+        return written(texts_of.select("class", "group", "text").mapInArrow(run, "class long, group long, n int, codes binary"), name)
+
+    heads = codes_of(busy, n_busy, "heads", False)
+
+    def tested(pairs: DataFrame, n_pairs: int, sets: DataFrame, test) -> DataFrame:
+        one = sets.select(F.col("class").alias("a"), F.col("codes").alias("x"), F.col("n").alias("p"))
+        two = sets.select(F.col("class").alias("b"), F.col("codes").alias("y"), F.col("n").alias("q"))
+        joined = small_side(pairs, n_pairs, 16).join(one, "a").join(two, "b").select("a", "b", "x", "y", "p", "q")
+        return written(joined.mapInArrow(_pairs_that(test), "a long, b long").distinct(), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs: their prefixes rule most out, whole sets settle the rest."""
         pairs = written(pairs.distinct(), "pairs")
-        few = small_side(pairs, pairs.count(), 16)
-        one = sets.select(F.col("class").alias("a"), F.col("codes").alias("x"))
-        two = sets.select(F.col("class").alias("b"), F.col("codes").alias("y"))
-        return written(few.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long").distinct(), "found")
+        possible = tested(pairs, pairs.count(), heads, maybe_similar)
+        n = possible.count()
+        some = possible.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        chosen = written(busy.join(small_side(some, 2 * n, 8), "class", "left_semi"), "chosen")
+        return tested(possible, n, codes_of(chosen, chosen.count(), "sets", True), similar)
 
     member = busy.select("class", "group")
     hub_class = twins.select(F.col("group").alias("hub"), F.col("first").alias("b"))
@@ -311,21 +340,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # 3. Lists that still hold several components.
     parts = connected_components(links)
-    known = sets.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    known = written(known, "known")
+    known = heads.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, g, n, p = (batch.column(k).to_numpy() for k in (0, 1, 2, 3))
-            heads = [np.frombuffer(x, np.uint64)[: prefix_length(len(x) // 8)] for x in batch.column(4).to_pylist()]
-            if not heads:
-                continue
-            # A group is a list of its own for its classes: code is then the group, at 0.
-            counts = np.array([len(h) + 1 for h in heads])
-            code = np.concatenate([np.concatenate([h.view(np.int64), [k]]) for h, k in zip(heads, g, strict=True)])
-            at = np.concatenate([np.append(np.arange(len(h)), 0) for h in heads]).astype(np.int32)
-            arrays = [code, np.repeat(c, counts), np.repeat(p, counts), np.repeat(n, counts), at]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["code", "class", "component", "n", "at"])
+            for begin in range(0, batch.num_rows, 1024):
+                some = slice(begin, begin + 1024)
+                codes = [np.frombuffer(x, np.int64) for x in batch.column(4).slice(begin, 1024).to_pylist()]
+                # A group is a list of its own for its classes: code is then the group, at 0.
+                counts = np.array([len(h) + 1 for h in codes])
+                code = np.concatenate([np.append(h, k) for h, k in zip(codes, g[some], strict=True)])
+                at = np.concatenate([np.append(np.arange(len(h)), 0) for h in codes]).astype(np.int32)
+                arrays = [code, np.repeat(c[some], counts), np.repeat(p[some], counts), np.repeat(n[some], counts), at]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["code", "class", "component", "n", "at"])
 
     posted = known.select("class", "group", "n", "component", "codes").mapInArrow(prefixes, "code long, class long, component long, n int, at int")
     split = posted.groupBy("code").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("code", "k")
@@ -334,8 +362,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     short = open_lists.where(F.col("k") <= SHORT_LIST).repartition("code").sortWithinPartitions("code", "class")
     short = short.select("code", "class", "component", "n", "at").mapInArrow(_short_lists, "a long, b long")
     # Long lists: a class goes to every pair of blocks that its own block takes part in.
-    heads = known.select(F.col("class"), F.substring("codes", F.lit(1), (F.lit(8) * (F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1)).cast("int")).alias("head"))
-    long = open_lists.where(F.col("k") > SHORT_LIST).join(heads, "class").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    long = open_lists.where(F.col("k") > SHORT_LIST).join(heads.select("class", F.col("codes").alias("head")), "class").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "component", "n", "head", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side")
     )

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .ngrams import chunked, texts
+from .ngrams import chunks
 
 CLASSES = 1024
 DIMS = 16
@@ -60,16 +60,16 @@ class Known(dict):
         return -1
 
 
-def _tokens(column: list[bytes]) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
+def _tokens(column: pa.Array) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
     """Ranges of texts with their words, each text's followed by None, and the number of tokens of each text."""
-    for a, b in chunked(column):
+    for a, b, some in chunks(column):
         words: list = []
         counts = np.zeros(b - a, np.int64)
-        for k in range(a, b):
-            w = column[k].lower().split()
+        for k, text in enumerate(some):
+            w = text.lower().split()
             words += w
             words.append(None)
-            counts[k - a] = len(w) + 1
+            counts[k] = len(w) + 1
         yield a, b, words, counts
 
 
@@ -81,7 +81,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([words, pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for _, _, words, _ in _tokens(texts(batch.column(0))):
+        for _, _, words, _ in _tokens(batch.column(0)):
             seen.update(words)
             if len(seen) >= COUNTED:
                 yield said()
@@ -176,7 +176,7 @@ def train(rows: DataFrame, known: dict[bytes, int], modelled: int, noise: np.nda
             state = {k: np.zeros(v.shape) for k, v in p.items()}
             index, rng, total = Known(known), np.random.default_rng(number), 0
             for batch in batches:
-                for _, _, words, counts in _tokens(texts(batch.column(0))):
+                for _, _, words, counts in _tokens(batch.column(0)):
                     ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
                     classes = _classes(ids, len(known) - 1, modelled)
                     nce_steps(own, classes, *_contexts(classes, counts, len(noise)), noise, state, rng)
@@ -224,7 +224,7 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUEN
         near_table, far_table, norm = tables(p)
         end = len(known) - 1
         for batch in batches:
-            for a, b, words, counts in _tokens(texts(batch.column(2))):
+            for a, b, words, counts in _tokens(batch.column(2)):
                 ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
                 doc = np.repeat(np.arange(b - a), counts)
                 cls = _classes(ids, end, modelled)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 BASE = 0x9E3779B97F4A7C15
@@ -77,18 +78,14 @@ class Grams:
         return mixed((self.sums[k:] - self.sums[:m]) * self.down[:m], salt + k)
 
 
-def texts(column: pa.Array) -> list[bytes]:
-    """UTF-8 of each text; empty for nulls."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def chunked(column: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of together at most so many bytes, one document at least."""
+def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """A column of texts in ranges of together at most so many bytes, one text at least: begin, end, UTF-8 (empty for nulls)."""
+    column = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
-    for i, t in enumerate(column):
-        if total and total + len(t) > most:
-            yield begin, i
+    for i, size in enumerate([*sizes.tolist(), None]):
+        if size is None or total and total + size > most:
+            if i > begin:
+                yield begin, i, [x or b"" for x in column.slice(begin, i - begin).to_pylist()]
             begin, total = i, 0
-        total += len(t)
-    if begin < len(column):
-        yield begin, len(column)
+        total += size or 0

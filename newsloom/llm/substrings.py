@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import Grams, WordHashes, chunked, mixed, texts
+from .ngrams import Grams, WordHashes, chunks, mixed
 
 LENGTH = 13
 ANCHOR = 4
@@ -112,10 +112,9 @@ def _filed(length: int, anchor: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            column = texts(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in chunked(column):
-                w = _Windows([t.split() for t in column[a:b]], ids[a:b], hashes, length, anchor)
+            for a, b, some in chunks(batch.column(1)):
+                w = _Windows([t.split() for t in some], ids[a:b], hashes, length, anchor)
                 if not len(w.doc):
                     continue
                 i, j = _repeats(w.hash, w.doc, w.pos)
@@ -156,10 +155,9 @@ def _anchor_counts(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            column = texts(batch.column(1))
-            ids = np.zeros(len(column), np.int64)
-            for a, b in chunked(column):
-                w = _Windows([t.split() for t in column[a:b]], ids[a:b], hashes, length, anchor)
+            ids = np.zeros(batch.num_rows, np.int64)
+            for a, b, some in chunks(batch.column(1)):
+                w = _Windows([t.split() for t in some], ids[a:b], hashes, length, anchor)
                 new = np.ones(len(w.doc), bool)
                 new[1:] = (w.anchor[1:] != w.anchor[:-1]) | (w.slot[1:] != w.slot[:-1])
                 value = np.sort(w.anchor[new])
@@ -267,19 +265,21 @@ def _cleaned(length: int, whole: bool):
             table = np.stack([flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], 1) if len(flat) else np.zeros((0, 4), np.int64)
             sizes = np.array([x or 0 for x in lists.value_lengths().to_pylist()], np.int64)
             ends = np.cumsum(sizes)
-            cols: list[list] = [[] for _ in schema]
-            for k, text in enumerate(texts(batch.column(1))):
-                words = text.split()
-                spans = greedy(table[ends[k] - sizes[k] : ends[k]], len(words), length) if sizes[k] else []
-                kept, at = [], 0
-                for start, n, _, _ in spans:
-                    kept += words[at:start]
-                    at = max(at, start + n)
-                kept += words[at:]
-                joined = b" ".join(kept)
-                for c, v in zip(cols, (batch.column(0)[k].as_py(), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if whole else None, [dict(zip(("start", "n", "ref_doc", "ref_start"), s)) for s in spans] if whole else None), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            for a, b, some in chunks(batch.column(1)):
+                cols: list[list] = [[] for _ in schema]
+                for k, text in enumerate(some, a):
+                    words = text.split()
+                    spans = greedy(table[ends[k] - sizes[k] : ends[k]], len(words), length) if sizes[k] else []
+                    kept, at = [], 0
+                    for start, n, _, _ in spans:
+                        kept += words[at:start]
+                        at = max(at, start + n)
+                    kept += words[at:]
+                    joined = b" ".join(kept)
+                    row = (batch.column(0)[k].as_py(), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if whole else None, [dict(zip(("start", "n", "ref_doc", "ref_start"), x)) for x in spans] if whole else None)
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
