@@ -9,8 +9,9 @@ continues to the next, until the tightest compatible bin is found, else a bin is
 opened.  Pieces of equal text share a cluster, so copies never meet in a bin.
 
 Pieces are dealt to packers by hash, so many that each gets about
-``PACKER_WORDS`` words: a packer's memory is bounded and packers run in parallel,
-at the price of a few part-filled bins each.  Only ids and sizes are shuffled.
+``PACKER_WORDS`` words and ``PACKER_PIECES`` pieces at most: a packer's memory
+and the bins that a search passes are bounded and packers run in parallel, at
+the price of a few part-filled bins each.  Only ids and sizes are shuffled.
 
 Edge cases: null and empty texts have no pieces; a null source is a source of
 its own; repeated rows are separate pieces of one cluster; an empty table gives
@@ -29,6 +30,7 @@ from .common import word_count
 
 CAPACITY = 2048
 PACKER_WORDS = 4_000_000
+PACKER_PIECES = 10_000
 
 
 def best_fit(pieces: list[tuple[int, int, int]], capacity: int, one_per_source: bool = True) -> list[list[int]]:
@@ -92,11 +94,12 @@ def _packer(capacity: int, one_per_source: bool):
     return pack
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, one_per_source: bool = True, packer_words: int = PACKER_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, one_per_source: bool = True, packer_words: int = PACKER_WORDS, packer_pieces: int = PACKER_PIECES) -> DataFrame:
     """packer, bin, n_words, and the doc_ids, first words and sizes of a bin's pieces."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("cluster"), word_count(F.col("text")).alias("words"))
-    total = rows.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
-    packers = max(1, -(-total // packer_words))
+    zero = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    total = rows.agg(zero("words").alias("words"), zero(F.ceil(F.col("words") / capacity)).alias("pieces")).first()
+    packers = max(1, -(-total.words // packer_words), -(-total.pieces // packer_pieces))
     starts = F.sequence(F.lit(0), F.floor((F.col("words") - 1) / capacity).cast("int"))
     pieces = rows.where("words > 0").withColumn("k", F.explode(starts)).select(
         "doc_id", "source", "cluster", (F.col("k") * capacity).cast("int").alias("start"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltree, jaccard, lblm, mixing, oracle, pii, quality, sharding, substrings, topk
+from . import htmltree, jaccard, lblm, mixing, oracle, packing, pii, quality, sharding, substrings, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,8 +24,8 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency_quality(_read(spark, sf_dir, "documents"))
 
 
-def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(_read(spark, sf_dir, "documents"))
+def op4_conflict_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
 def op5_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +48,15 @@ def op9_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.consistent_hash_shards(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rlz_substring_dedup, op2_tree_model_html, op3_line_frequency, op5_log_bilinear_scores, op6_grouped_prefix_join, op10_weak_supervision_pii, op7_pareto_mixing, op8_bit_sliced_top_k, op9_consistent_hash_sharding)}
+def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_rlz_substring_dedup, op2_tree_model_html, op3_line_frequency, op4_conflict_best_fit_packing, op5_log_bilinear_scores,
+        op6_grouped_prefix_join, op7_pareto_mixing, op8_bit_sliced_top_k, op9_consistent_hash_sharding, op10_weak_supervision_pii,
+    )
+}
 ORACLE_SQL = oracle.ORACLE_SQL
