@@ -6,7 +6,10 @@ of what is left in them, and each carries a bitmap of its sources and one of its
 duplicate clusters.  A piece goes to the successor of its size, the bin that it
 would fill best; if that bin already has its source or its cluster, the search
 continues to the next, until the tightest compatible bin is found, else a bin is
-opened.  Pieces of equal text share a cluster, so copies never meet in a bin.
+opened.  Pieces of equal text share a cluster, so copies never meet in a bin.  A
+source has one bit, or, if it has more pieces than half the bins that the words
+need, as many as it takes to spread over them: a bin takes as many of its pieces
+as it has bits, so one hot source doesn't leave bins nearly empty.
 
 Pieces are dealt to packers by hash, so many that each gets about
 ``PACKER_WORDS`` words and ``PACKER_PIECES`` pieces at most: a packer's memory
@@ -61,6 +64,19 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int, one_per_source:
     return bins
 
 
+def spread(sources: list, bins: int) -> list[tuple]:
+    """(source, k) for each piece: k runs through as many numbers as the source needs for at most bins / 2 pieces each."""
+    count: dict = {}
+    for v in sources:
+        count[v] = count.get(v, 0) + 1
+    seen: dict = {}
+    out = []
+    for v in sources:
+        k = seen[v] = seen.get(v, -1) + 1
+        out.append((v, k % max(1, -(-2 * count[v] // max(1, bins)))))
+    return out
+
+
 def _bits(values: list, repeated_only: bool) -> list[int]:
     """A bit for each distinct value, in order of first sight; 0 for values that stand once, if only repeated ones matter."""
     count: dict = {}
@@ -85,7 +101,7 @@ def _packer(capacity: int, one_per_source: bool):
         rows = sorted(table.select(["size", "doc_id", "start", "source", "cluster"]).to_pylist(), key=lambda r: (-r["size"], r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["cluster"]))
         full = [[k] for k, r in enumerate(rows) if r["size"] == capacity]
         rest = rows[len(full) :]
-        pieces = list(zip([r["size"] for r in rest], _bits([r["source"] for r in rest], False), _bits([r["cluster"] for r in rest], True), strict=True))
+        pieces = list(zip([r["size"] for r in rest], _bits(spread([r["source"] for r in rest], -(-sum(r["size"] for r in rest) // capacity)), False), _bits([r["cluster"] for r in rest], True), strict=True))
         bins = full + [[len(full) + k for k in b] for b in best_fit(pieces, capacity, one_per_source)]
         of = lambda b, c: [rows[k][c] for k in b]
         out = [[key[0].as_py()] * len(bins), list(range(len(bins))), [sum(of(b, "size")) for b in bins], [of(b, "doc_id") for b in bins], [of(b, "start") for b in bins], [of(b, "size") for b in bins]]
