@@ -10,7 +10,12 @@ meet in the list of such a shingle.
 2. Stars: every group of a list is paired with the list's hub, the member with
    fewest rare shingles; pairs pass the size filter, expand to classes and are
    verified on whole sets.  Links give first components.
-3. The rest: lists that still hold several components.  Pairs of different
+3. More stars over the lists that still hold several components, as long as they
+   find links and for ``ROUNDS`` rounds at most.  A list's hub is the first of
+   its classes in one of ``ORDERS`` random orders, so a class of a large group
+   meets up to so many hubs a round: a round costs pairs in proportion to the
+   members, and such groups fall into few components before the rest is compared.
+4. The rest: lists that still hold several components.  Pairs of different
    components pass the size and position filters, are verified, and complete
    the components.  Long lists do this in blocks of at most ``BLOCK`` members by
    matrix products over their prefixes, so no task holds a long list whole and
@@ -48,6 +53,9 @@ SHINGLE = 5
 PERCENT = 80
 SAMPLE = 16
 FREQUENT = 400_000
+ROUNDS = 1
+#: Orders in which a round's lists choose their hubs.
+ORDERS = 16
 BLOCK = 1500
 #: Lists of up to so many classes compare pairs as rows; longer ones in blocks.
 SHORT_LIST = 64
@@ -112,38 +120,34 @@ def _keys(codes: np.ndarray) -> tuple[int, int]:
     return _set_hash(codes, n, 7), _set_hash(codes[: prefix_length(n)], n, 9)
 
 
+_MEMBER = "doc_id long, n int, class long, group long, rare int, codes binary"
+
+
 def _members(order):
+    """Arrow function: (doc_id, text) to set size, class, group, number of rare shingles and the prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for a, b, sets in _sets(batch.column(1), hashes, *order):
                 keys = [_keys(s) if len(s) else (None, None) for s in sets]
-                columns = [batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "class", "group"])
+                rare = [int(np.searchsorted(s, np.uint64(1 << 62))) for s in sets]
+                heads = [s[: prefix_length(len(s))].tobytes() for s in sets]
+                columns = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(2)), pa.array(rare, pa.int32()), pa.array(heads, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "class", "group", "rare", "codes"])
 
     return run
 
 
-def _postings(order):
-    """(code, group, n, rare) for the prefix of each set, once a group and batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            seen: set[int] = set()
-            for _, _, sets in _sets(batch.column(0), hashes, *order):
-                fresh = []
-                for s in sets:
-                    if len(s) and (g := _keys(s)[1]) not in seen:
-                        seen.add(g)
-                        fresh.append((s[: prefix_length(len(s))], g, len(s), int(np.searchsorted(s, np.uint64(1 << 62)))))
-                if fresh:
-                    codes, groups, sizes, rare = zip(*fresh, strict=True)
-                    counts = [len(c) for c in codes]
-                    arrays = [np.concatenate(codes).view(np.int64)] + [np.repeat(np.array(x, t), counts) for x, t in ((groups, np.int64), (sizes, np.int32), (rare, np.int32))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["code", "group", "n", "rare"])
-
-    return run
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, n, rare, codes) to (code, group, n, rare), once a group and batch."""
+    for batch in batches:
+        _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+        for at in range(0, len(first), 1024):
+            part = batch.take(pa.array(np.sort(first)[at : at + 1024]))
+            codes = [np.frombuffer(x, np.int64) for x in part.column(3).to_pylist()]
+            counts = [len(c) for c in codes]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), *(pa.array(np.repeat(part.column(k).to_numpy(), counts)) for k in range(3))], names=["code", "group", "n", "rare"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +290,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = frequent_shingles(rows)
-    members = written(rows.mapInArrow(_members(order), "doc_id long, n long, class long, group long"), "members")
+    members = written(rows.mapInArrow(_members(order), _MEMBER), "members")
     classes = members.where("class is not null").groupBy("class", "group", "n").agg(F.min("doc_id").alias("doc_id"))
 
     # 1. Lists of groups.
-    lists = rows.select("text").mapInArrow(_postings(order), "code long, group long, n int, rare int").repartition("code").sortWithinPartitions("code", "n", "rare", "group")
+    known_groups = members.where("group is not null").select("group", "n", "rare", "codes")
+    lists = known_groups.mapInArrow(_postings, "code long, group long, n int, rare int").repartition("code").sortWithinPartitions("code", "n", "rare", "group")
     stars = written(lists.mapInArrow(_stars, "group long, hub long").distinct(), "stars")
     hubs = stars.where("hub is not null")
     meeting = stars.select("group").distinct()
@@ -300,22 +305,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     n_busy = busy.count()
 
     # 2. Prefixes of the classes that may have a partner, and the links of the stars.
-    def codes_of(chosen: DataFrame, n_chosen: int, name: str, whole: bool) -> DataFrame:
-        """class, group, n and the sorted codes (all, or the prefix) of the chosen (class, group, doc_id)."""
+    chosen_rows = small_side(busy.select(F.col("class").alias("c"), F.col("doc_id").alias("d")), n_busy, 16)
+    heads = written(members.join(chosen_rows, (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("class", "group", "n", "codes"), "heads")
+
+    def whole_sets(chosen: DataFrame, n_chosen: int) -> DataFrame:
+        """class, group, n and all codes, sorted, of the chosen (class, group, doc_id)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
                 for a, b, sets in _sets(batch.column(2), hashes, *order):
                     own = pa.array([len(s) > 0 and _keys(s)[0] == c for s, c in zip(sets, batch.column(0).slice(a, b - a).to_pylist(), strict=True)], pa.bool_())
-                    data = [(s if whole else s[: prefix_length(len(s))]).tobytes() for s in sets]
-                    columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array(data, pa.binary())]
+                    columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["class", "group", "n", "codes"]).filter(own)
 
-        texts_of = rows.join(small_side(chosen.select("class", "group", F.col("doc_id").alias("d")), n_chosen, 24), F.col("doc_id") == F.col("d"))
-        return written(texts_of.select("class", "group", "text").mapInArrow(run, "class long, group long, n int, codes binary"), name)
-
-    heads = codes_of(busy, n_busy, "heads", False)
+        texts_of = rows.join(small_side(chosen.select("class", "group", F.col("doc_id").alias("d")), n_chosen, 24), F.col("doc_id").eqNullSafe(F.col("d")))
+        return written(texts_of.select("class", "group", "text").mapInArrow(run, "class long, group long, n int, codes binary"), "sets")
 
     def tested(pairs: DataFrame, n_pairs: int, sets: DataFrame, test) -> DataFrame:
         one = sets.select(F.col("class").alias("a"), F.col("codes").alias("x"), F.col("n").alias("p"))
@@ -330,7 +335,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         n = possible.count()
         some = possible.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         chosen = written(busy.join(small_side(some, 2 * n, 8), "class", "left_semi"), "chosen")
-        return tested(possible, n, codes_of(chosen, chosen.count(), "sets", True), similar)
+        return tested(possible, n, whole_sets(chosen, chosen.count()), similar)
 
     member = busy.select("class", "group")
     hub_class = twins.select(F.col("group").alias("hub"), F.col("first").alias("b"))
@@ -338,10 +343,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     inner = member.join(twins.where("k > 1"), "group").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
     links = verified(outer.unionByName(inner))
 
-    # 3. Lists that still hold several components.
-    parts = connected_components(links)
-    known = heads.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, g, n, p = (batch.column(k).to_numpy() for k in (0, 1, 2, 3))
@@ -355,10 +356,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                 arrays = [code, np.repeat(c[some], counts), np.repeat(p[some], counts), np.repeat(n[some], counts), at]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["code", "class", "component", "n", "at"])
 
-    posted = known.select("class", "group", "n", "component", "codes").mapInArrow(prefixes, "code long, class long, component long, n int, at int")
-    split = posted.groupBy("code").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("code", "k")
-    split = written(split, "split")
-    open_lists = posted.join(small_side(split, split.count(), 16), "code")
+    def open_lists(salt: int) -> DataFrame:
+        """Prefix rows with their components, of lists that hold several; k rows, and a hub: the first class in an order by salt."""
+        parts = connected_components(links)
+        known = heads.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        posted = known.select("class", "group", "n", "component", "codes").mapInArrow(prefixes, "code long, class long, component long, n int, at int")
+        hub = F.min(F.struct(F.xxhash64("class", F.pmod("code", F.lit(ORDERS)), F.lit(salt)).alias("h"), F.col("class").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"))).alias("hub")
+        split = posted.groupBy("code").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), hub).where("lo <> hi").select("code", "k", "hub.b", "hub.of", "hub.m")
+        split = written(split, "split")
+        return posted.join(small_side(split, split.count(), 40), "code")
+
+    # 3. More stars.
+    for salt in range(ROUNDS):
+        fits = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
+        offers = open_lists(salt).where((F.col("component") != F.col("of")) & fits).select(F.col("class").alias("a"), "b")
+        found = verified(offers)
+        if found.isEmpty():
+            break
+        links = written(links.unionByName(found), "links-so-far")
+
+    # 4. Lists that still hold several components.
+    open_lists = open_lists(ROUNDS)
     short = open_lists.where(F.col("k") <= SHORT_LIST).repartition("code").sortWithinPartitions("code", "class")
     short = short.select("code", "class", "component", "n", "at").mapInArrow(_short_lists, "a long, b long")
     # Long lists: a class goes to every pair of blocks that its own block takes part in.
@@ -375,7 +393,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     smallest = class_part.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     of_class = class_part.join(smallest, "part").select("class", "component_id")
     out = members.join(of_class, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
