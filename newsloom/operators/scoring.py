@@ -29,7 +29,7 @@ def completeness(content: Column, summary: Column) -> Column:
 
 def timeliness(published: Column, as_of: Column) -> Column:
     age = F.greatest(F.lit(0.0), (as_of - published) / 3600.0)
-    return F.coalesce(F.round(100 * F.exp(-age / 48)).cast("int"), F.lit(50))
+    return F.when(published.isNull(), 50).otherwise(F.round(100 * F.exp(-age / 48)).cast("int"))
 
 
 def noise_ratio(content: Column, raw: Column) -> Column:
