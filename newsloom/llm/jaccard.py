@@ -216,35 +216,94 @@ def maybe_similar(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
     return bool(9 * (seen - 2 * len(np.intersect1d(x, y, assume_unique=True))) <= p + q)
 
 
-def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within short lists, by size and position; lists arrive in order of code."""
-    held = None
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        code, node, part, n, at = (t.column(k).to_numpy() for k in ("code", "class", "component", "n", "at"))
-        a, b = [], []
-        for step in range(1, SHORT_LIST):
-            i = np.flatnonzero(code[step:] == code[:-step])
-            if not len(i):
-                break
-            j = i + step
-            fit = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (9 * (at[i] + at[j]) <= n[i] + n[j])
-            a.append(np.minimum(node[i], node[j])[fit])
-            b.append(np.maximum(node[i], node[j])[fit])
-        found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
-
+def _list_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, hub) of every list's members whose component is not the hub's and whose size fits it; lists arrive in order of
+    code, each with its hub first.  Only the hub of the current list is kept between batches."""
+    hub = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        code = t.column("code").to_numpy()
-        cut = int(np.searchsorted(code, code[-1]))
-        if cut:
-            yield pairs(t.slice(0, cut))
-        held = t.slice(cut).combine_chunks()
+        columns = [batch.column(k).to_numpy() for k in range(4)]
+        if hub is not None:
+            columns = [np.append(h, x) for h, x in zip(hub, columns, strict=True)]
+        code, node, part, n = columns
+        start = np.concatenate([[True], code[1:] != code[:-1]])
+        at = np.maximum.accumulate(np.where(start, np.arange(len(code)), 0))
+        fit = (part != part[at]) & (100 * np.minimum(n, n[at]) >= PERCENT * np.maximum(n, n[at]))
+        found = np.unique(np.stack([node[fit], node[at][fit]], 1), axis=0)
+        hub = [x[at[-1] : at[-1] + 1] for x in columns]
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+
+def _short_pairs(code: np.ndarray, node: np.ndarray, part: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Pairs of different components within lists of up to SHORT_LIST rows, by size and position."""
+    out = [np.zeros((0, 2), np.int64)]
+    for step in range(1, SHORT_LIST):
+        i = np.flatnonzero(code[step:] == code[:-step])
+        if not len(i):
+            break
+        j = i + step
+        fit = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (9 * (at[i] + at[j]) <= n[i] + n[j])
+        out.append(np.stack([np.minimum(node[i], node[j])[fit], np.maximum(node[i], node[j])[fit]], 1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _open_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lists that hold several components: (a, b, null) for the pairs of short ones, (code, null, rows) for long ones.
+
+    Lists arrive in order of code.  Of the current list its rows are kept only
+    while it may still be short; of a long one, the number of rows and the least
+    and largest component.
+    """
+    held: list[np.ndarray] | None = None
+    long: tuple[int, int, int, int] | None = None  # code, rows, least and largest component
+    names = ["a", "b", "k"]
+
+    def of_long(code: list[int], k: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.nulls(len(code), pa.int64()), pa.array(k, pa.int64())], names=names)
+
+    def settled(columns: list[np.ndarray], last_too: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, long
+        code, part = columns[0], columns[2]
+        begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        count = np.diff(np.append(begin, len(code)))
+        low, high = np.minimum.reduceat(part, begin), np.maximum.reduceat(part, begin)
+        if not last_too:
+            held = None
+            if count[-1] > SHORT_LIST:
+                long = int(code[-1]), int(count[-1]), int(low[-1]), int(high[-1])
+            else:
+                held = [x[begin[-1] :] for x in columns]
+        done = np.arange(len(begin)) < len(begin) - (not last_too)
+        big = done & (low < high) & (count > SHORT_LIST)
+        if big.any():
+            yield of_long(code[begin[big]].tolist(), count[big].tolist())
+        small = np.repeat(done & (low < high) & (count <= SHORT_LIST), count)
+        pairs = _short_pairs(*[x[small] for x in columns])
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.int64())], names=names)
+
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in range(5)]
+        if long is not None and len(columns[0]):
+            code, k, low, high = long
+            same = columns[0] == code
+            if same.any():
+                long = code, k + int(same.sum()), min(low, int(columns[2][same].min())), max(high, int(columns[2][same].max()))
+                columns = [x[~same] for x in columns]
+            if len(columns[0]):
+                if long[2] < long[3]:
+                    yield of_long([code], [long[1]])
+                long = None
+        if held is not None:
+            columns = [np.concatenate([h, x]) for h, x in zip(held, columns, strict=True)]
+        if len(columns[0]):
+            yield from settled(columns, False)
     if held is not None:
-        yield pairs(held)
+        yield from settled(held, True)
+    if long is not None and long[2] < long[3]:
+        yield of_long([long[0]], [long[1]])
 
 
 def _long_blocks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -356,31 +415,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                 arrays = [code, np.repeat(c[some], counts), np.repeat(p[some], counts), np.repeat(n[some], counts), at]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["code", "class", "component", "n", "at"])
 
-    def open_lists(salt: int) -> DataFrame:
-        """Prefix rows with their components, of lists that hold several; k rows, and a hub: the first class in an order by salt."""
+    def posted() -> DataFrame:
+        """Prefix rows with the components so far."""
         parts = connected_components(links)
         known = heads.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        posted = known.select("class", "group", "n", "component", "codes").mapInArrow(prefixes, "code long, class long, component long, n int, at int")
-        hub = F.min(F.struct(F.xxhash64("class", F.pmod("code", F.lit(ORDERS)), F.lit(salt)).alias("h"), F.col("class").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"))).alias("hub")
-        split = posted.groupBy("code").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), hub).where("lo <> hi").select("code", "k", "hub.b", "hub.of", "hub.m")
-        split = written(split, "split")
-        return posted.join(small_side(split, split.count(), 40), "code")
+        return known.select("class", "group", "n", "component", "codes").mapInArrow(prefixes, "code long, class long, component long, n int, at int")
 
     # 3. More stars.
     for salt in range(ROUNDS):
-        fits = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
-        offers = open_lists(salt).where((F.col("component") != F.col("of")) & fits).select(F.col("class").alias("a"), "b")
-        found = verified(offers)
+        by_hub = F.xxhash64("class", F.pmod("code", F.lit(ORDERS)), F.lit(salt))
+        in_lists = posted().select("code", "class", "component", "n").repartition("code").sortWithinPartitions("code", by_hub, "class")
+        found = verified(in_lists.mapInArrow(_list_stars, "a long, b long"))
         if found.isEmpty():
             break
         links = written(links.unionByName(found), "links-so-far")
 
     # 4. Lists that still hold several components.
-    open_lists = open_lists(ROUNDS)
-    short = open_lists.where(F.col("k") <= SHORT_LIST).repartition("code").sortWithinPartitions("code", "class")
-    short = short.select("code", "class", "component", "n", "at").mapInArrow(_short_lists, "a long, b long")
+    rest = posted()
+    in_lists = rest.repartition("code").sortWithinPartitions("code", "class")
+    still_open = written(in_lists.mapInArrow(_open_lists, "a long, b long, k long"), "open")
+    short = still_open.where("k is null").select("a", "b")
+    long_lists = still_open.where("k is not null").select(F.col("a").alias("code"), "k")
     # Long lists: a class goes to every pair of blocks that its own block takes part in.
-    long = open_lists.where(F.col("k") > SHORT_LIST).join(heads.select("class", F.col("codes").alias("head")), "class").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    long = rest.join(small_side(long_lists, long_lists.count(), 16), "code").join(heads.select("class", F.col("codes").alias("head")), "class")
+    long = long.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "component", "n", "head", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side")
     )
