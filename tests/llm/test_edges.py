@@ -137,3 +137,24 @@ def test_messages_are_marginals(model):
         total += math.exp(x)
         each += math.exp(x) * np.array(labels)
     assert np.allclose(each / total, marginal)
+
+
+def test_lists_stream_alike_in_any_batches():
+    """Short lists give their pairs, long ones their length, wherever batches end."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = sorted((code, code * 1000 + k, int(rng.integers(0, 3)) if code % 3 else 7, 100, 0) for code, size in enumerate((1, 3, 64, 65, 200, 2, 130, 70)) for k in range(size))
+    names = ["code", "class", "component", "n", "at"]
+    want = set()
+    for code in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == code]
+        if len({r[2] for r in own}) > 1:
+            want |= {(code, None, len(own))} if len(own) > jaccard.SHORT_LIST else {(x[1], y[1], None) for x in own for y in own if x[1] < y[1] and x[2] != y[2]}
+    for step in (1, 7, 64, 90, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + step], strict=True)], names=names) for i in range(0, len(rows), step)]
+        got = [tuple(r.values()) for b in jaccard._open_lists(iter(batches)) for r in b.to_pylist()]
+        assert set(got) == want and len(got) == len(want)
+        stars = {tuple(r.values()) for b in jaccard._list_stars(iter([b.select(names[:4]) for b in batches])) for r in b.to_pylist()}
+        hub = {c: min(r[1:3] for r in rows if r[0] == c) for c in {r[0] for r in rows}}
+        assert stars == {(r[1], hub[r[0]][0]) for r in rows if r[2] != hub[r[0]][1]}
