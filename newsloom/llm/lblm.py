@@ -2,21 +2,27 @@
 
 The model (Mnih & Hinton 2007) predicts a word from the two before it: context
 vectors pass position matrices, are added, and meet the output vectors in a dot
-product.  It knows the ``CLASSES - 2`` words met most, the end of a text, and one
-class for all other words, within which a word has its smoothed share of counts;
-so probabilities of a token add up to one over everything the base score knows.
+product.  Every training word met ``FLOOR`` times or more has its own context and
+output vectors.  A word's probability has two levels: its class, then the word
+within the class.  The most frequent words are alone in their classes; the others
+are runs of words of like counts, with equal sums of square roots of counts, which
+makes both levels cheapest.  The end of a text is a class, and so are all words below the
+floor, within which a word has its smoothed share of counts; so probabilities of
+a token add up to one over everything the base score knows.
 
 Training (Mnih & Teh 2012): each task runs through all its training documents
-with batches that share noise words, from common weights; after a round the
-weights are averaged by number of tokens.  Rounds take disjoint parts of the
-training documents, so every one is used once.
+with batches that share noise classes, and with noise words of their class for
+tokens of larger classes, from common weights.  After a round the changes are
+averaged row by row, by how often a task met the row.  Rounds take disjoint parts
+of the training documents, so every one is used once.
 
-With two context words the normaliser factors: over all pairs of contexts it is
-one matrix product, after which each token's normalised log-probability is three
-table look-ups.
+Both levels are normalised exactly, by matrix products over blocks of tokens: all
+classes first, then the tokens of each class with the words of it.
 
-Counts of all words stay a table.  The ``FREQUENT`` words met most travel to the
-tasks; every other word of a document is counted by a join, so nothing is cut.
+Counts of all words stay a table.  The words above the floor travel to the tasks,
+``FREQUENT`` of them at most: where more are met ``FLOOR`` times, a histogram of
+counts gives the lowest floor that keeps within it.  Every other word of a
+document is counted by a join, so nothing is cut.
 
 Edge cases: a null or empty text is one token, its end; a null doc_id is a
 training document; repeated rows are counted and scored as often as they stand;
@@ -38,14 +44,21 @@ from pyspark.sql import functions as F
 from .common import written
 from .ngrams import chunks
 
-CLASSES = 1024
+#: A word met less often has no vector of its own.
+FLOOR = 5
 DIMS = 16
 NOISE = 64
+#: Noise words of a token within its class.
+INNER_NOISE = 4
 BATCH = 1024
 ROUNDS = 2
 FREQUENT = 150_000
 #: Trainers of a round at most; their weights are what a round gathers.
 TRAINERS = 512
+#: Rows of weights that travel as one.
+ROWS = 64
+#: Tokens normalised at once.
+BLOCK = 512
 #: Distinct words a task counts before it hands them on.
 COUNTED = 200_000
 OTHER, END = 0, 1
@@ -90,27 +103,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield said()
 
 
-def parameters(bias: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
+class Classes:
+    """Classes of slots: OTHER, END, then words by falling count; the slots of a class follow one another.
+
+    Of the square root of the number of words, half are classes of one word each, and half share the other words.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        n = max(1, int(np.sqrt(len(counts))) // 2)
+        alone = np.arange(min(n, len(counts)))
+        roots = np.sqrt(np.asarray(counts[n:], np.float64))
+        run = ((np.cumsum(roots) - roots) / max(roots.sum(), 1) * n).astype(np.int64)
+        run = np.unique(run, return_inverse=True)[1].reshape(-1) + len(alone)
+        self.of = np.concatenate([[OTHER, END], alone + 2, run + 2]).astype(np.int64)
+        self.size = np.bincount(self.of)
+        self.first = np.cumsum(self.size) - self.size
+
+
+def parameters(bias: np.ndarray, inner: np.ndarray | None = None, seed: int = 3) -> dict[str, np.ndarray]:
+    """Weights at the start; bias of the classes, and inner: bias of the slots within their classes (none: classes are slots)."""
     r = np.random.default_rng(seed)
-    n = len(bias)
+    inner = np.zeros(len(bias)) if inner is None else inner
     return {
-        "context": r.normal(0, 0.1, (n + 1, DIMS)).astype(np.float32),  # the last one stands before a text
-        "word": r.normal(0, 0.1, (n, DIMS)).astype(np.float32),
+        "context": r.normal(0, 0.1, (len(inner) + 1, DIMS)).astype(np.float32),  # the last one stands before a text
+        "word": r.normal(0, 0.1, (len(bias), DIMS)).astype(np.float32),
         "near": np.eye(DIMS, dtype=np.float32),
         "far": (0.5 * np.eye(DIMS)).astype(np.float32),
         "bias": bias.astype(np.float32),
+        "inner": np.zeros((len(inner), DIMS), np.float32),
+        "inner_bias": inner.astype(np.float32),
     }
 
 
-def _classes(ids: np.ndarray, known: int, modelled: int) -> np.ndarray:
-    """Model class of word indices; the end has index known."""
-    return np.where(ids == known, END, np.where((ids >= 0) & (ids < modelled), ids + 2, OTHER))
+def _slots(ids: np.ndarray, known: int) -> np.ndarray:
+    """Slots of word indices; the end has index known."""
+    return np.where(ids == known, END, np.where(ids >= 0, ids + 2, OTHER))
 
 
-def _contexts(classes: np.ndarray, counts: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The classes one and two places before each token."""
-    near, far = np.full(len(classes), start), np.full(len(classes), start)
-    near[1:] = classes[:-1]
+def _contexts(slots: np.ndarray, counts: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots one and two places before each token."""
+    near, far = np.full(len(slots), start), np.full(len(slots), start)
+    near[1:] = slots[:-1]
     begins = np.cumsum(counts) - counts
     near[begins] = start
     far[1:] = near[:-1]
@@ -118,16 +151,35 @@ def _contexts(classes: np.ndarray, counts: np.ndarray, start: int) -> tuple[np.n
     return near, far
 
 
-def nce_steps(p: dict[str, np.ndarray], classes: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, state: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.1) -> None:
-    """Adagrad steps of noise-contrastive estimation over a stretch of tokens, in place; noise: probabilities of classes."""
+def _scattered(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of at, the sums of x over each, and how often each stands."""
+    rows, back = np.unique(at, return_inverse=True)
+    back = back.reshape(-1)
+    sums = np.empty((x.shape[1], len(rows)), np.float32)
+    for k, c in enumerate(np.ascontiguousarray(x.T)):
+        sums[k] = np.bincount(back, c, len(rows))
+    return rows, np.ascontiguousarray(sums.T), np.bincount(back, minlength=len(rows))
+
+
+def nce_steps(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, state: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.1) -> None:
+    """Adagrad steps of noise-contrastive estimation over a stretch of tokens, in place; noise: probabilities of classes.
+
+    state holds sums of squares, for rows of context and inner one number each, and how often these rows were met.
+    """
     log_noise = np.log(NOISE * noise).astype(np.float32)
     heap = np.cumsum(noise)
-    scatter = lambda at, x, n: np.bincount((at[:, None] * DIMS + np.arange(DIMS)).ravel(), x.ravel(), n * DIMS).reshape(n, DIMS)
-    n_words, n_contexts = len(p["word"]), len(p["context"])
-    for a in range(0, len(classes), BATCH):
-        w, c, d = classes[a : a + BATCH], near[a : a + BATCH], far[a : a + BATCH]
-        drawn = np.minimum(np.searchsorted(heap, rng.random(NOISE)), n_words - 1)
-        qc, qd = p["context"][c], p["context"][d]
+    n_classes = len(p["word"])
+
+    def step(name: str, rows: np.ndarray, g: np.ndarray) -> None:
+        squares = state[name].take(rows) + np.einsum("ij,ij->i", g, g) / DIMS
+        state[name][rows] = squares
+        p[name][rows] = p[name].take(rows, 0) + g * (rate / np.sqrt(squares + 1e-4)).astype(np.float32)[:, None]
+
+    for a in range(0, len(slots), BATCH):
+        s, c, d = slots[a : a + BATCH], near[a : a + BATCH], far[a : a + BATCH]
+        w = kinds.of[s]
+        drawn = np.minimum(np.searchsorted(heap, rng.random(NOISE)), n_classes - 1)
+        qc, qd = p["context"].take(c, 0), p["context"].take(d, 0)
         h = qc @ p["near"] + qd @ p["far"]
         rw, rn = p["word"][w], p["word"][drawn]
         true = np.einsum("ij,ij->i", h, rw) + p["bias"][w] - log_noise[w]
@@ -135,18 +187,72 @@ def nce_steps(p: dict[str, np.ndarray], classes: np.ndarray, near: np.ndarray, f
         gt = 1 / (1 + np.exp(np.clip(true, -30, 30)))
         gf = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
         gh = gt[:, None] * rw + gf @ rn
-        grads = {"word": scatter(w, gt[:, None] * h, n_words), "bias": np.bincount(w, gt, n_words)}
+        grads = {"word": np.stack([np.bincount(w, x, n_classes) for x in (gt[:, None] * h).T], 1), "bias": np.bincount(w, gt, n_classes)}
         np.add.at(grads["word"], drawn, gf.T @ h)
         np.add.at(grads["bias"], drawn, gf.sum(0))
+
+        at = np.flatnonzero(kinds.size[w] > 1)
+        if len(at):
+            size, hs = kinds.size[w[at]][:, None], h[at]
+            others = kinds.first[w[at]][:, None] + (rng.random((len(at), INNER_NOISE)) * size).astype(np.int64)
+            ids = np.concatenate([s[at][:, None], others], 1)
+            r = p["inner"].take(ids, 0)
+            x = np.clip(np.einsum("mki,mi->mk", r, hs) + p["inner_bias"].take(ids) - np.log(INNER_NOISE / size), -30, 30).astype(np.float32)
+            g = -1 / (1 + np.exp(-x))
+            g[:, 0] += 1
+            gh[at] += np.einsum("mk,mki->mi", g, r)
+            rows, sums, times = _scattered(ids.ravel(), np.concatenate([(g[:, :, None] * hs[:, None, :]).reshape(-1, DIMS), g.reshape(-1, 1)], 1))
+            step("inner", rows, sums[:, :DIMS])
+            state["inner_bias"][rows] += sums[:, DIMS] ** 2
+            p["inner_bias"][rows] += (rate * sums[:, DIMS] / np.sqrt(state["inner_bias"][rows] + 1e-4)).astype(np.float32)
+            state["met_inner"][rows] += times
+
         grads["near"], grads["far"] = qc.T @ gh, qd.T @ gh
-        grads["context"] = scatter(c, gh @ p["near"].T, n_contexts) + scatter(d, gh @ p["far"].T, n_contexts)
+        rows, sums, times = _scattered(np.concatenate([c, d]), np.concatenate([gh @ p["near"].T, gh @ p["far"].T]))
+        step("context", rows, sums)
+        state["met_context"][rows] += times
         for k, g in grads.items():
             state[k] += g * g
             p[k] += (rate * g / np.sqrt(state[k] + 1e-4)).astype(np.float32)
 
 
+def first_state(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    state = {k: np.zeros(len(v) if k in ("context", "inner") else v.shape, np.float32) for k, v in p.items()}
+    return state | {f"met_{k}": np.zeros(len(p[k]), np.float32) for k in ("context", "inner")}
+
+
+def log_probabilities(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Normalised natural log-probability of each token's slot after its contexts."""
+    h = p["context"][near] @ p["near"] + p["context"][far] @ p["far"]
+    w = kinds.of[slots]
+    out = np.empty(len(slots))
+
+    def log_sum(x: np.ndarray) -> np.ndarray:
+        top = x.max(1, keepdims=True)
+        x -= top
+        return np.log(np.exp(x, out=x).sum(1)) + top[:, 0]
+
+    for a in range(0, len(slots), BLOCK):
+        x = h[a : a + BLOCK] @ p["word"].T + p["bias"]
+        out[a : a + BLOCK] = x[np.arange(len(x)), w[a : a + BLOCK]]
+        out[a : a + BLOCK] -= log_sum(x)
+    order = np.argsort(w, kind="stable")
+    ends = np.searchsorted(w[order], np.arange(len(kinds.size) + 1))
+    for k in np.flatnonzero((kinds.size > 1) & (np.diff(ends) > 0)):
+        first, last = kinds.first[k], kinds.first[k] + kinds.size[k]
+        for a in range(ends[k], ends[k + 1], BLOCK):
+            at = order[a : min(a + BLOCK, ends[k + 1])]
+            x = h[at] @ p["inner"][first:last].T + p["inner_bias"][first:last]
+            out[at] += x[np.arange(len(at)), slots[at] - first]
+            out[at] -= log_sum(x)
+    return out
+
+
 def tables(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores of words by near and by far context (bias in the first), and log normalisers of all pairs of contexts."""
+    """Scores of classes by near and by far context (bias in the first), and log normalisers of all pairs of contexts.
+
+    For small models: a row a context, and a number a pair of them.
+    """
     near = p["context"] @ p["near"] @ p["word"].T + p["bias"]
     far = p["context"] @ p["far"] @ p["word"].T
     top_near, top_far = near.max(1, keepdims=True), far.max(1, keepdims=True)
@@ -154,49 +260,90 @@ def tables(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return near.astype(np.float32), far.astype(np.float32), (np.log(z) + top_near + top_far.T).astype(np.float32)
 
 
-def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64)
+def _packed(p: dict[str, np.ndarray]) -> np.ndarray:
+    """All weights as rows of DIMS + 1: inner and word with their biases, context, near, far."""
+    wide = lambda x, last=None: np.concatenate([x, np.zeros((len(x), 1), np.float32) if last is None else last[:, None]], 1)
+    return np.concatenate([wide(p["inner"], p["inner_bias"]), wide(p["word"], p["bias"]), wide(p["context"]), wide(p["near"]), wide(p["far"])])
 
 
-def _unflat(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _unpacked(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k in sorted(like):
-        out[k] = x[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
+    for k in ("inner", "word", "context", "near", "far"):
+        out[k] = np.ascontiguousarray(x[at : at + len(like[k]), :DIMS])
+        if k in ("inner", "word"):
+            out["inner_bias" if k == "inner" else "bias"] = x[at : at + len(like[k]), DIMS].copy()
+        at += len(like[k])
     return out
 
 
-def train(rows: DataFrame, known: dict[bytes, int], modelled: int, noise: np.ndarray) -> dict[str, np.ndarray]:
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Changes of blocks of rows, averaged by how often each row was met; all of a block come to one task."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for block, x, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = np.frombuffer(n, np.float32).astype(np.float64)
+            x = np.frombuffer(x, np.float16).reshape(len(n), -1) * n[:, None]
+            if block in sums:
+                sums[block][0].__iadd__(x)
+                sums[block][1].__iadd__(n)
+            else:
+                sums[block] = (x, n)
+    for block, (x, n) in sums.items():
+        mean = (x / np.maximum(n, 1e-9)[:, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["block", "x"])
+
+
+def train(rows: DataFrame, known: dict[bytes, int], kinds: Classes, noise: np.ndarray, inner: np.ndarray) -> dict[str, np.ndarray]:
     """Weights after ROUNDS rounds over the training rows (key, text)."""
-    p = parameters(np.log(noise))
+    p = parameters(np.log(noise), inner)
 
     def run_with(p: dict[str, np.ndarray], number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {k: v.copy() for k, v in p.items()}
-            state = {k: np.zeros(v.shape) for k, v in p.items()}
+            state = first_state(p)
             index, rng, total = Known(known), np.random.default_rng(number), 0
             for batch in batches:
                 for _, _, words, counts in _tokens(batch.column(0)):
-                    ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                    classes = _classes(ids, len(known) - 1, modelled)
-                    nce_steps(own, classes, *_contexts(classes, counts, len(noise)), noise, state, rng)
+                    slots = _slots(np.fromiter(map(index.__getitem__, words), np.int64, len(words)), len(known) - 1)
+                    nce_steps(own, kinds, slots, *_contexts(slots, counts, len(kinds.of)), noise, state, rng)
                     total += len(words)
             if total:
-                x = _flat(own) * total
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x) + 1, dtype=np.int32)), pa.array(np.append(x, total))], names=["i", "x"])
+                x = (_packed(own) - _packed(p)).astype(np.float16)
+                n = np.concatenate([state["met_inner"], np.full(len(noise), total), state["met_context"], np.full(2 * DIMS, total)]).astype(np.float32)
+                at = [a for a in range(0, len(n), ROWS) if n[a : a + ROWS].any()]
+                for b in range(0, len(at), 256):
+                    some = at[b : b + 256]
+                    columns = [pa.array([a // ROWS for a in some], pa.int32()), pa.array([x[a : a + ROWS].tobytes() for a in some], pa.binary()), pa.array([n[a : a + ROWS].tobytes() for a in some], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["block", "x", "n"])
 
         return run
 
     for number in range(ROUNDS):
         part = rows.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == number).select("text").coalesce(TRAINERS)
-        sums = part.mapInArrow(run_with(p, number), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # one row a weight
-        if sums.num_rows:
-            x = sums.column("x").to_numpy()[np.argsort(sums.column("i").to_numpy())]
-            p = _unflat(x[:-1] / x[-1], p)
+        changes = part.mapInArrow(run_with(p, number), "block int, x binary, n binary").repartition("block").mapInArrow(_averaged, "block int, x binary").toArrow()
+        packed = _packed(p)
+        for block, x in zip(*(c.to_pylist() for c in changes.columns), strict=True):
+            packed[block * ROWS : (block + 1) * ROWS] += np.frombuffer(x, np.float32).reshape(-1, DIMS + 1)
+        p = _unpacked(packed, p)
     return p
 
 
-def score_texts(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT) -> DataFrame:
+def frequent_words(counts: DataFrame, floor: int, most: int) -> list[tuple[str, int]]:
+    """Words met floor times or more, by falling count; a higher floor, from a histogram of counts, where they are more than most."""
+    words = counts.where((F.col("word") != END_WORD) & (F.col("n") >= floor))
+    # One row a count; counts of so many words that they matter here are few, and each may stand for itself.
+    tail = words.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("words")).toArrow().to_pylist()
+    kept, floor = 0, (1 << 16) + 1
+    for row in sorted(tail, key=lambda r: -r["n"]):
+        kept += row["words"]
+        if kept > most:
+            break
+        floor = row["n"]
+    found = words.where(F.col("n") >= floor).toArrow()
+    return sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
+
+
+def score_texts(docs: DataFrame, floor: int = FLOOR, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
@@ -204,35 +351,34 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUEN
     counts = written(training.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = total.n, total.v
-    top = [(r.word, r.n) for r in counts.where(F.col("word") != END_WORD).orderBy(F.desc("n"), "word").limit(frequent).collect()]
+    top = frequent_words(counts, floor, frequent)
     ends = n_ends[0].n if (n_ends := counts.where(F.col("word") == END_WORD).collect()) else 0
-    modelled = min(len(top), classes - 2)
     known: dict = {w.encode(): i for i, (w, _) in enumerate(top)}
     known[None] = len(top)
     size = np.array([n for _, n in top] + [ends], np.float64)
-    rare_n = n_all - ends - size[:modelled].sum()
-    rare_v = max(0, v_all - modelled - (ends > 0))
-    noise = np.concatenate([[rare_n + 1.0], [ends + 1.0], size[:modelled] + 0.0])
+    rare_n = n_all - ends - size[:-1].sum()
+    rare_v = max(0, v_all - len(top) - (ends > 0))
+    kinds = Classes(size[:-1])
+    met = np.concatenate([[rare_n + 1.0], [ends + 1.0], size[:-1]])
+    noise = np.bincount(kinds.of, met)
+    inner = np.log(met / noise[kinds.of])
     noise /= noise.sum()
-    p = train(training.select(F.xxhash64("doc_id", "text").alias("key"), "text"), known, modelled, noise)
+    p = train(training.select(F.xxhash64("doc_id", "text").alias("key"), "text"), known, kinds, noise, inner)
 
     all_log, rare_log = log10(n_all + 0.5 * (v_all + 1)), log10(rare_n + 0.5 * (rare_v + 1))
     smoothed = np.log10(size + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Known(known)
-        near_table, far_table, norm = tables(p)
         end = len(known) - 1
         for batch in batches:
             for a, b, words, counts in _tokens(batch.column(2)):
                 ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
                 doc = np.repeat(np.arange(b - a), counts)
-                cls = _classes(ids, end, modelled)
-                near, far = _contexts(cls, counts, len(noise))
-                model = (near_table[near, cls] + far_table[far, cls] - norm[near, far]).astype(np.float64) / np.log(10)
+                slots = _slots(ids, end)
+                model = log_probabilities(p, kinds, slots, *_contexts(slots, counts, len(kinds.of))) / np.log(10)
                 here = ids >= 0
                 base = np.where(here, smoothed[ids] - all_log, 0)
-                model += np.where(here & (cls == OTHER), smoothed[ids] - rare_log, 0)
                 sums = lambda x: np.bincount(doc, x, b - a)
                 rare = np.flatnonzero(~here)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=b - a))]).astype(np.int32)
