@@ -14,12 +14,12 @@ from newsloom.llm.jaccard import one_of_each
 from newsloom.llm.mixing import mixed_documents
 from newsloom.llm.packing import pack_documents
 from newsloom.llm.pii import mask_pii
-from newsloom.llm.quality import reject_by_lines
+from newsloom.llm.quality import remove_lines
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the line frequencies reject."""
-    return reject_by_lines(docs)
+    """Documents that neither the base rules nor the line frequencies reject, without the frequent lines of their hosts."""
+    return remove_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

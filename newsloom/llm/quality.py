@@ -83,10 +83,15 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", body.alias("body"), F.xxhash64("doc_id", "source", "text").alias("row_key"))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02) -> DataFrame:
-    """host, line, n_docs, first_doc of every line that more than max(min_docs, max_share of the host's documents) hold."""
+def frequent_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02, distinct_hosts: bool = False) -> DataFrame:
+    """host, line, n_docs, first_doc of every line that more than max(min_docs, max_share of the host's documents) hold.
+
+    n_docs counts exact copies of a text once.  The documents of a host count every copy, as the SQL of
+    op3_line_frequency does, or with distinct_hosts each text once too, so that both sides of the share agree.
+    """
     rows = with_key(docs)
-    hosts = rows.groupBy(F.col("source").alias("h")).agg(F.count("*").alias("host_docs"))
+    of_hosts = rows.select("source", F.xxhash64("body").alias("body_key")).distinct() if distinct_hosts else rows
+    hosts = of_hosts.groupBy(F.col("source").alias("h")).agg(F.count("*").alias("host_docs"))
     hashes = F.array_distinct(F.transform(lines_of(F.col("body")), lambda x: F.xxhash64(normalised(x))))
     lines = rows.select("source", "doc_id", F.xxhash64("body").alias("body_key"), F.explode(hashes).alias("line"))
     once = lines.groupBy("source", "line", "body_key").agg(F.min("doc_id").alias("doc_id"))
@@ -96,18 +101,18 @@ def frequent_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02)
     return over.select(F.col("source").alias("host"), "line", "n_docs", "first_doc")
 
 
-def line_losses(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02) -> DataFrame:
-    """row_key, n_words and n_lost, the words in removed lines, of the documents that lose lines.
+def line_losses(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02, distinct_hosts: bool = False) -> DataFrame:
+    """row_key, n_words, n_lost (the words in removed lines) and lost_lines (hashes of these) of the documents that lose lines.
 
     Rows that repeat share a key, so n_lost adds up over them; it is divided by their number.
     """
-    found = frequent_lines(docs, min_docs, max_share)
+    found = frequent_lines(docs, min_docs, max_share, distinct_hosts)
     pieces = F.transform(lines_of(F.col("body")), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(F.array_remove(F.split(x, SPACES, -1), "")).alias("n")))
     lines = with_key(docs).select("row_key", "doc_id", "source", F.size(F.array_remove(F.split("body", SPACES, -1), "")).alias("n_words"), F.inline(pieces))
     lost = lines.join(found.withColumnRenamed("line", "l"), (F.col("line") == F.col("l")) & F.col("source").eqNullSafe(F.col("host"))).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    lost = lost.groupBy("row_key").agg(F.sum("n").alias("n_lost"), F.first("n_words").alias("n_words"))
+    lost = lost.groupBy("row_key").agg(F.sum("n").alias("n_lost"), F.first("n_words").alias("n_words"), F.collect_set("line").alias("lost_lines"))
     copies = with_key(docs).groupBy("row_key").agg(F.count("*").alias("copies"))
-    return lost.join(copies, "row_key").select("row_key", "n_words", (F.col("n_lost") / F.col("copies")).alias("n_lost"))
+    return lost.join(copies, "row_key").select("row_key", "n_words", (F.col("n_lost") / F.col("copies")).alias("n_lost"), "lost_lines")
 
 
 def line_frequency_quality(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02, min_words: int = 10, min_share: float = 0.2) -> DataFrame:
@@ -131,3 +136,24 @@ def reject_by_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02
     base = base_columns(F.coalesce(F.col("text"), F.lit("")))
     passed = docs.where(~base_failed(base["n_words"], base["n_repeat_words"]))
     return passed.withColumn("__row_key", F.xxhash64("doc_id", "source", "text")).join(depleted, "__row_key", "left_anti").drop("__row_key")
+
+
+def remove_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02, min_words: int = 10, min_share: float = 0.2) -> DataFrame:
+    """docs without the rejected documents, and texts without the frequent lines; columns unchanged, n_chars follows the text.
+
+    Copies of a text count once on both sides of the share.  The first document of a host keeps its lines, and
+    so do lines without words; a text that loses none stays as it is.
+    """
+    names = docs.columns
+    losses = line_losses(docs, min_docs, max_share, distinct_hosts=True)
+    losses = losses.select(F.col("row_key").alias("__row_key"), F.col("n_words").alias("__n_words"), F.col("n_lost").alias("__n_lost"), F.col("lost_lines").alias("__lost_lines"))
+    base = base_columns(F.coalesce(F.col("text"), F.lit("")))
+    passed = docs.where(~base_failed(base["n_words"], base["n_repeat_words"])).withColumn("__row_key", F.xxhash64("doc_id", "source", "text"))
+    left = F.col("__n_words") - F.col("__n_lost")
+    kept = passed.join(losses, "__row_key", "left").where(F.col("__n_lost").isNull() | ((left >= min_words) & (left >= F.col("__n_words") * min_share)))
+    stays = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("__lost_lines", F.xxhash64(normalised(x)))
+    text = F.when(F.col("__n_lost").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n"))
+    cleaned = kept.withColumn("text", text)
+    if "n_chars" in names:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("__n_lost").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
+    return cleaned.select(*names)
