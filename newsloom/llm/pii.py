@@ -5,11 +5,12 @@ checks.  The method adds spans of kinds that no single pattern settles: loose
 patterns propose candidates (``secret``: long mixed tokens; ``ssn``: grouped
 ids; ``person``: capitalised pairs after a form of address), and regex,
 gazetteer and context labelers vote for, against or not at all.  Votes are
-counted by pattern over the whole corpus (at most 3 ** labelers rows a kind,
-whatever its size); expectation-maximisation on that table estimates each
+counted by pattern over the whole corpus (at most 3 ** labelers times 20 classes
+of length and place a kind, whatever its size); expectation-maximisation on that table estimates each
 labeler's reliability and the prior, and with the resulting soft labels the
-final classifier is trained: naive Bayes over the votes and the candidate's own
-length and place, kept as a table of log-odds and applied as one expression.
+final classifier is trained: naive Bayes over the votes and the candidate's own length
+(four classes) and place (what stands before it), kept as a table of log-odds and
+applied as one expression.
 
 Everything a document needs is in its row: no shuffle but that of the counts.
 
@@ -38,7 +39,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 
 # Candidate patterns of the added kinds.
 CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_/+=.@-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_/+=.@-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señor|Señora)\.? [A-Z][a-zà-ÿ]+ [A-Z][a-zà-ÿ]+",
 }
@@ -121,38 +122,74 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-#: Labelers: name and what it says (1 for, 0 against, -1 not at all) of a match m with the text before it and the character after.
+#: Labelers: what each says (1 for, 0 against, -1 not at all) of a match m with the text before it and the two characters after.
 def votes(kind: str, m: Column, before: Column, after: Column) -> list[Column]:
     vote = lambda yes, no=None: F.when(yes, 1).when(no if no is not None else F.lit(False), 0).otherwise(-1)
+    against = lambda no: F.when(no, 0).otherwise(-1)
     starts = lambda words: m.rlike("^(?:" + "|".join(w.replace("-", r"\-") for w in words) + ")")
     context = vote(before.rlike(CONTEXT_WORDS))
-    quoted = vote(before.rlike(r"[=:]\s*[\"']?$") | before.rlike("[\"']$"), before.rlike(r"[/.]$"))
+    quoted = vote(before.rlike(r"[=:]\s*[\"']?$") | before.rlike("[\"']$"))
+    # Parts of a path, a host, an address or a file name; a full stop that ends a sentence is none.
+    part = before.rlike(r"[/.@+~\\#%]$") | after.rlike(r"^(?:[/@+\\]|\.[A-Za-z0-9])")
+    inside = against(part)
     if kind == "secret":
         return [
             vote(m.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^[0-9a-f]{32,}$|^(?:gh[pousr]_|glpat-|sk[-_]|xox[a-z]-)[A-Za-z0-9_-]{12,}$"), m.rlike(r"^[A-Za-z]+[-_][A-Za-z]+|^[A-Za-z]+[0-9]{1,4}$|^[0-9-]+[a-z]{1,3}$")),
-            vote(F.length(F.regexp_replace(m, "[^0-9]", "")) >= 4, F.length(F.regexp_replace(m, "[^0-9]", "")) < 3),
+            # Digits and length are common in names of pages and files, and speak for a secret elsewhere only.
+            vote(~part & (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 4), F.length(F.regexp_replace(m, "[^0-9]", "")) < 3),
             vote(starts(SECRET_PREFIXES)),
             context,
             quoted,
-            vote(F.length(m) >= 32, m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")),
+            vote(~part & (F.length(m) >= 32), m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")),
+            inside,
         ]
     if kind == "ssn":
-        return [vote(~m.rlike("^(?:000|666|9)|-00-|-0000$"), m.rlike("^(?:000|666|9)|-00-|-0000$")), F.lit(-1), F.lit(-1), context, quoted, vote(~after.rlike("[A-Za-z]"), after.rlike("[A-Za-z]"))]
-    return [vote(m.rlike(r"\. ")), F.lit(-1), vote(m.rlike(r" (?:" + "|".join(GIVEN_NAMES) + ") ")), context, F.lit(-1), F.lit(-1)]
+        return [
+            vote(~m.rlike("^(?:000|666|9)|-00-|-0000$"), m.rlike("^(?:000|666|9)|-00-|-0000$")),
+            vote(before.rlike(r"(?i)(?:\bssn|social security|tax ?id|taxpayer)"), before.rlike(r"(?i)(?:phone|tel|fax|call|order|invoice|isbn|part|item|model)\W*$")),
+            against(m.isin("123-45-6789", "078-05-1120", "219-09-9999", "111-11-1111")),
+            context,
+            quoted,
+            vote(~after.rlike("^[A-Za-z]"), after.rlike("^[A-Za-z]")),
+            inside,
+        ]
+    return [
+        vote(m.rlike(r"\. ")),
+        against(m.rlike(r" (?:Street|Road|Avenue|Square|University|College|School|Hospital|Award|Prize|Who|Strange|Pepper|Bean)$")),
+        vote(m.rlike(r" (?:" + "|".join(GIVEN_NAMES) + ") ")),
+        context,
+        vote(before.rlike(r"(?i)\b(?:dear|by|from|with|for|to|and|signed|attn)[:,]?\s*$")),
+        vote(after.rlike(r"^(?:$|[\s,.;:!?)'\"])"), after.rlike("^[A-Za-z0-9_-]")),
+        inside,
+    ]
+
 
+N_LABELERS = 7
+#: A part of a path, a host or a file name is seldom a true span: the last labeler starts with more trust than the others.
+INSIDE_TRUST = 0.95
 
-N_LABELERS = 6
+
+def features(m: Column, before: Column) -> list[Column]:
+    """Length and place of a candidate, one character each."""
+    n = F.length(m)
+    size = F.when(n < 20, "a").when(n < 32, "b").when(n < 64, "c").otherwise("d")
+    place = F.when(before.rlike(r"(?:^|\s)$"), "s").when(before.rlike("[\"'`]$"), "q").when(before.rlike("[=:]$"), "e").when(before.rlike(r"[/.@+~\\#%]$"), "p").otherwise("o")
+    return [size, place]
+
+
+#: Values of each position of a candidate's code: the votes, then the features.
+ALPHABETS = ["10-"] * N_LABELERS + ["abcd", "sqepo"]
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<kind, s, e, v>> of the candidates of every added kind; v: the votes, one character each."""
+    """array<struct<kind, s, e, v>> of the candidates of every added kind; v: the votes, then the features, one character each."""
     needs = {"secret": text.rlike("[A-Za-z0-9_-]{16}"), "ssn": text.rlike("[0-9]-[0-9]{2}-[0-9]"), "person": text.rlike("(?:M(?:rs?|s|me)|Dr|Prof|Herr|Frau|Señor)")}
 
     def voted(kind: str) -> Column:
         def one(x: Column) -> Column:
             start = F.greatest(x["s"] - CONTEXT_BEFORE, F.lit(0))
-            before, after = F.substring(text, start + 1, x["s"] - start), F.substring(text, x["e"] + 1, F.lit(1))
-            code = F.concat(*[F.when(v == 1, "1").when(v == 0, "0").otherwise("-") for v in votes(kind, x["m"], before, after)])
+            before, after = F.substring(text, start + 1, x["s"] - start), F.substring(text, x["e"] + 1, F.lit(2))
+            code = F.concat(*[F.when(v == 1, "1").when(v == 0, "0").otherwise("-") for v in votes(kind, x["m"], before, after)], *features(x["m"], before))
             return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), code.alias("v"))
 
         return F.transform(find_spans(text, CANDIDATES[kind], needs[kind]), one)
@@ -163,11 +200,12 @@ def candidates(text: Column) -> Column:
 def fit_reliabilities(counts: dict[str, int], rounds: int = 50, prior: float = 0.5, trust: float = 0.8, weight: float = 20.0) -> tuple[float, list[float], list[float], dict[str, float]]:
     """EM over vote patterns: prior of a true span, each labeler's rate of voting "1" given true and given false, and the
     soft label of each pattern.  Beta priors (``weight`` votes at ``trust``) keep rare labelers near their start."""
-    share, true, false = prior, [trust] * N_LABELERS, [1 - trust] * N_LABELERS
+    trusts = [trust] * (N_LABELERS - 1) + [INSIDE_TRUST]
+    share, true, false = prior, list(trusts), [1 - x for x in trusts]
 
     def posterior(v: str) -> float:
         odds = math.log(share / (1 - share))
-        for j, x in enumerate(v):
+        for j, x in enumerate(v[:N_LABELERS]):
             if x != "-":
                 odds += math.log(true[j] / false[j]) if x == "1" else math.log((1 - true[j]) / (1 - false[j]))
         return 1 / (1 + math.exp(-max(-500, min(500, odds))))
@@ -176,21 +214,21 @@ def fit_reliabilities(counts: dict[str, int], rounds: int = 50, prior: float = 0
         soft = {v: posterior(v) for v in counts}
         for j in range(N_LABELERS):
             said = [(v[j], n, soft[v]) for v, n in counts.items() if v[j] != "-"]
-            true[j] = (trust * weight + sum(n * p for x, n, p in said if x == "1")) / (weight + sum(n * p for _, n, p in said))
-            false[j] = ((1 - trust) * weight + sum(n * (1 - p) for x, n, p in said if x == "1")) / (weight + sum(n * (1 - p) for _, n, p in said))
+            true[j] = (trusts[j] * weight + sum(n * p for x, n, p in said if x == "1")) / (weight + sum(n * p for _, n, p in said))
+            false[j] = ((1 - trusts[j]) * weight + sum(n * (1 - p) for x, n, p in said if x == "1")) / (weight + sum(n * (1 - p) for _, n, p in said))
         total = sum(counts.values())
         share = (weight * prior + sum(n * soft[v] for v, n in counts.items())) / (weight + total)
     return share, true, false, {v: posterior(v) for v in counts}
 
 
 def train_classifier(counts: dict[str, int], soft: dict[str, float], share: float) -> tuple[float, dict[tuple[int, str], float]]:
-    """Naive Bayes from soft labels: bias and weight of each (labeler, vote); abstaining is a value of its own."""
+    """Naive Bayes from soft labels: bias and weight of each (labeler, vote) and (feature, value); abstaining is a value of its own."""
     yes = sum(n * soft[v] for v, n in counts.items())
     no = sum(counts.values()) - yes
     weights = {}
-    for j in range(N_LABELERS):
-        for x in "10-":
-            start = {"1": (0.8, 0.2), "0": (0.2, 0.8), "-": (0.5, 0.5)}[x]
+    for j, values in enumerate(ALPHABETS):
+        for x in values:
+            start = {"1": (0.8, 0.2), "0": (0.2, 0.8), "-": (0.5, 0.5)}.get(x, (1 / len(values), 1 / len(values)))
             t = sum(n * soft[v] for v, n in counts.items() if v[j] == x)
             f = sum(n * (1 - soft[v]) for v, n in counts.items() if v[j] == x)
             weights[j, x] = math.log((t + 20 * start[0]) / (yes + 20)) - math.log((f + 20 * start[1]) / (no + 20))
@@ -202,7 +240,7 @@ def fit(docs: DataFrame) -> dict[str, tuple[float, dict[tuple[int, str], float]]
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(F.explode(candidates(text)).alias("c")).groupBy("c.kind", "c.v").agg(F.count("*").alias("n"))
     counts: dict[str, dict[str, int]] = {k: {} for k in ADDED_KINDS}
-    for r in found.collect():  # at most 3 ** N_LABELERS rows a kind
+    for r in found.collect():  # at most 3 ** N_LABELERS * 20 rows a kind
         counts[r.kind][r.v] = r.n
     model = {}
     for kind, table in counts.items():
@@ -216,9 +254,13 @@ def accepted(model: dict, c: Column) -> Column:
     test = F.lit(False)
     for kind, (bias, weights) in model.items():
         odds = F.lit(bias)
-        for j in range(N_LABELERS):
-            x = F.substring(c["v"], j + 1, 1)
-            odds = odds + F.when(x == "1", weights[j, "1"]).when(x == "0", weights[j, "0"]).otherwise(weights[j, "-"])
+        for j, values in enumerate(ALPHABETS):
+            x, *rest = values
+            said = F.substring(c["v"], j + 1, 1)
+            weight = F.when(said == x, weights[j, x])
+            for x in rest:
+                weight = weight.when(said == x, weights[j, x])
+            odds = odds + weight
         test = F.when(c["kind"] == kind, odds > 0).otherwise(test)
     return test
 
