@@ -4,13 +4,17 @@ Base spans (e-mail, IP address, card and phone number) are fixed patterns with
 checks.  The method adds spans of kinds that no single pattern settles: loose
 patterns propose candidates (``secret``: long mixed tokens; ``ssn``: grouped
 ids; ``person``: capitalised pairs after a form of address), and regex,
-gazetteer and context labelers vote for, against or not at all.  Votes are
-counted by pattern over the whole corpus (at most 3 ** labelers times 20 classes
-of length and place a kind, whatever its size); expectation-maximisation on that table estimates each
-labeler's reliability and the prior, and with the resulting soft labels the
-final classifier is trained: naive Bayes over the votes and the candidate's own length
-(four classes) and place (what stands before it), kept as a table of log-odds and
-applied as one expression.
+gazetteer and context labelers vote for, against or not at all; every kind has
+labelers that can say either.  Votes are counted by pattern over the whole corpus
+(at most 3 ** 8 patterns times 20 classes of features a kind, whatever its size);
+expectation-maximisation on that table estimates each labeler's reliability and
+the prior, and with the resulting soft labels the final classifier is trained:
+naive Bayes over the votes and the candidate's own length (four classes) and place
+(what stands before it), kept as a table of log-odds and applied as one expression.
+
+Patterns that repeat a group do so possessively, since Java matches such a group
+otherwise by recursion and long texts of digits would end the JVM; no match
+changes by that, because nothing follows the group.
 
 Everything a document needs is in its row: no shuffle but that of the counts.
 
@@ -23,6 +27,7 @@ other than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +36,9 @@ from .quality import let
 
 # Base patterns; a run of class characters is tried from its start only (\G: or where the previous match ended), which finds
 # the same leftmost matches and keeps long runs linear.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
 
@@ -48,39 +53,61 @@ ADDED_KINDS = tuple(CANDIDATES)
 # Gazetteers, fixed values.
 SECRET_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "ya29", "eyJ", "SG-", "hf_", "npm_")
 GIVEN_NAMES = ("James", "Mary", "John", "Linda", "Robert", "Anna", "Michael", "Maria", "David", "Laura", "Thomas", "Julia", "Peter", "Sophie", "Paul", "Claire", "Hans", "Petra", "Klaus", "Ursula", "Jean", "Marie", "Pierre", "Camille", "José", "Carmen", "Juan", "Lucía", "Carlos", "Elena")
+NOT_NAMES = (
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "Monday", "Tuesday", "Wednesday", "Thursday",
+    "Friday", "Saturday", "Sunday", "North", "South", "East", "West", "New", "Saint", "Royal", "National", "United", "International", "General", "Great", "Central", "The",
+)
+NOT_SURNAMES = (
+    "Street", "Road", "Avenue", "Square", "University", "College", "School", "Hospital", "Award", "Prize", "Museum", "Park", "Bridge", "Station", "Company", "Limited", "Group",
+    "Bank", "Church", "Airport", "Island", "River", "County", "Who", "Strange", "Pepper", "Bean", "Watson", "Robot",
+)
+SURNAME_ENDS = ("son", "sen", "man", "mann", "berg", "stein", "ski", "sky", "ova", "ov", "ez", "er", "ford", "ton", "ley", "field", "wood", "bauer", "meier", "schmidt", "ier", "ard", "eau", "ith", "nes", "own", "ark")
+FAKE_SSN = ("123-45-6789", "078-05-1120", "219-09-9999", "111-11-1111", "987-65-4321")
 CONTEXT_BEFORE = 32
-CONTEXT_WORDS = r"(?i)(?:token|secret|passw|pwd|api|key|auth|bearer|credential|ssn|social security|patient|customer|contact|name)"
+CONTEXT_AFTER = 16
+SECRET_WORDS = r"(?i)(?:token|secret|passw|pwd|api|key|auth|bearer|credential)"
+SECRET_NOT = r"(?i)\b(?:commit|sha[0-9]*|md5|checksum|digest|version|uuid|isbn|file|page|section|figure|chapter|route|slug|class|anchor)\W*$"
+SSN_WORDS = r"(?i)(?:\bssn|social security|tax ?id|taxpayer|patient|employee|identity|benefit)"
+SSN_NOT = r"(?i)\b(?:phone|tel|fax|call|order|invoice|isbn|part|item|model|serial|score|version|room|lot|ref(?:erence)?)\W*(?:no|number|#)?\W*$"
+PERSON_WORDS = r"(?i)(?:patient|customer|contact|client|name|dear|attn|signed|sincerely|regards|resident|tenant|applicant)"
+PERSON_NOT = r"(?i)\b(?:the|a|an|of the|film|movie|novel|book|song|series|character|at|on)\s*$"
 
 BLOCK = 256
 
 
-def find_spans(text: Column, pattern: str, needs: Column, good=None) -> Column:
-    """array<struct<s, e, m>> of the pattern's matches in code points; needs: a cheap test that must hold for any match."""
+def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """What fold makes, from 0, of all values before each one of an int array; in two levels, so long arrays cost n * BLOCK at most."""
+    over = lambda xs: F.aggregate(xs, F.lit(0), fold)
 
-    def placed(gaps: Column, found: Column) -> Column:
-        sizes = F.zip_with(gaps, found, lambda g, m: F.coalesce(g, F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
+    def of(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), (F.size(xs) / BLOCK).cast("int")), lambda k: over(F.slice(xs, k * BLOCK + 1, BLOCK)))
+
+        def within(first: Column) -> Column:
+            def one(_: Column, i: Column) -> Column:
+                k = (i / BLOCK).cast("int")
+                return fold(F.get(first, k), over(F.slice(xs, k * BLOCK + 1, i - k * BLOCK)))
+
+            return F.transform(xs, one)
 
-        def at(total: Column) -> Column:
-            blocks = F.sequence(F.lit(0), (F.size(total) / BLOCK).cast("int"))
-            add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-            block_sums = F.transform(blocks, lambda k: add(F.slice(total, k * BLOCK + 1, BLOCK)))
+        return let(let(blocks, lambda tops: F.transform(tops, lambda _, k: over(F.slice(tops, F.lit(1), k)))), within)
 
-            def with_blocks(sums: Column) -> Column:
-                starts = F.transform(sums, lambda _, k: add(F.slice(sums, F.lit(1), k)))
+    return let(values, of)
 
-                def spans(first: Column) -> Column:
-                    def one(m: Column, i: Column) -> Column:
-                        k = (i / BLOCK).cast("int")
-                        start = F.get(first, k) + add(F.slice(total, k * BLOCK + 1, i - k * BLOCK)) + F.get(gaps, i)
-                        return F.struct(start.alias("s"), (start + F.length(m)).alias("e"), m.alias("m"))
 
-                    return F.transform(found, one)
+def find_spans(text: Column, pattern: str, needs: Column, good=None) -> Column:
+    """array<struct<s, e, m>> of the pattern's matches in code points; needs: a cheap test that must hold for any match."""
+
+    def placed(gaps: Column, found: Column) -> Column:
+        sizes = F.zip_with(gaps, found, lambda g, m: F.coalesce(g, F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
 
-                return let(starts, spans)
+        def at(ends: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                start = F.get(ends, i) + F.get(gaps, i)
+                return F.struct(start.alias("s"), (start + F.length(m)).alias("e"), m.alias("m"))
 
-            return let(block_sums, with_blocks)
+            return F.transform(found, one)
 
-        return let(sizes, at)
+        return let(running(sizes, lambda a, x: a + x), at)
 
     def all_of(found: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
@@ -122,55 +149,61 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-#: Labelers: what each says (1 for, 0 against, -1 not at all) of a match m with the text before it and the two characters after.
+#: Labelers: what each says (1 for, 0 against, -1 not at all) of a match m with some text before and after it.
 def votes(kind: str, m: Column, before: Column, after: Column) -> list[Column]:
     vote = lambda yes, no=None: F.when(yes, 1).when(no if no is not None else F.lit(False), 0).otherwise(-1)
     against = lambda no: F.when(no, 0).otherwise(-1)
-    starts = lambda words: m.rlike("^(?:" + "|".join(w.replace("-", r"\-") for w in words) + ")")
-    context = vote(before.rlike(CONTEXT_WORDS))
-    quoted = vote(before.rlike(r"[=:]\s*[\"']?$") | before.rlike("[\"']$"))
+    one_of = lambda words: "(?:" + "|".join(w.replace("-", r"\-") for w in words) + ")"
     # Parts of a path, a host, an address or a file name; a full stop that ends a sentence is none.
     part = before.rlike(r"[/.@+~\\#%]$") | after.rlike(r"^(?:[/@+\\]|\.[A-Za-z0-9])")
     inside = against(part)
+    assigned = before.rlike(r"[=:]\s*[\"']?$") | before.rlike("[\"']$")
+    distinct = F.size(F.array_distinct(F.split(F.substring(m, 1, 256), "")))
+    n_digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
     if kind == "secret":
         return [
             vote(m.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^[0-9a-f]{32,}$|^(?:gh[pousr]_|glpat-|sk[-_]|xox[a-z]-)[A-Za-z0-9_-]{12,}$"), m.rlike(r"^[A-Za-z]+[-_][A-Za-z]+|^[A-Za-z]+[0-9]{1,4}$|^[0-9-]+[a-z]{1,3}$")),
             # Digits and length are common in names of pages and files, and speak for a secret elsewhere only.
-            vote(~part & (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 4), F.length(F.regexp_replace(m, "[^0-9]", "")) < 3),
-            vote(starts(SECRET_PREFIXES)),
-            context,
-            quoted,
-            vote(~part & (F.length(m) >= 32), m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")),
+            vote(~part & (n_digits >= 4), n_digits < 3),
+            vote(m.rlike("^" + one_of(SECRET_PREFIXES)), m.rlike("^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|v[0-9]|[A-Za-z]+-[A-Za-z]+-)")),
+            vote(before.rlike(SECRET_WORDS), before.rlike(SECRET_NOT)),
+            vote(assigned, before.rlike("[A-Za-z] $") & after.rlike("^ [a-z]")),
+            vote(~part & (F.length(m) >= 32), F.length(m) > 512),
+            vote(~part & (distinct >= 11), distinct < 8),
             inside,
         ]
     if kind == "ssn":
+        valid = ~m.rlike("^(?:000|666|9)|-00-|-0000$")
         return [
-            vote(~m.rlike("^(?:000|666|9)|-00-|-0000$"), m.rlike("^(?:000|666|9)|-00-|-0000$")),
-            vote(before.rlike(r"(?i)(?:\bssn|social security|tax ?id|taxpayer)"), before.rlike(r"(?i)(?:phone|tel|fax|call|order|invoice|isbn|part|item|model)\W*$")),
-            against(m.isin("123-45-6789", "078-05-1120", "219-09-9999", "111-11-1111")),
-            context,
-            quoted,
-            vote(~after.rlike("^[A-Za-z]"), after.rlike("^[A-Za-z]")),
+            vote(valid, ~valid),
+            vote(before.rlike(r"(?i)(?:\bssn|social security|tax ?id|taxpayer)"), before.rlike(SSN_NOT)),
+            against(m.isin(*FAKE_SSN) | (distinct <= 2)),
+            vote(before.rlike(SSN_WORDS), before.rlike(r"(?i)(?:example|sample|dummy|test|placeholder)\W*$")),
+            vote(before.rlike("[=:#]\\s*[\"']?$"), before.rlike("[A-Za-z0-9]$")),
+            vote(after.rlike(r"^(?:$|[\s,.;)\"'])"), after.rlike("^[A-Za-z]")),
+            vote(before.rlike(r"(?:^|[\s:(\"'#])$") & (distinct >= 5), before.rlike(r"[$€£]\s*$") | after.rlike(r"^\s*(?:%|kg|km|USD|EUR)")),
             inside,
         ]
+    first, last = F.regexp_extract(m, r"^\S+ (\S+) ", 1), F.regexp_extract(m, r" (\S+)$", 1)
     return [
-        vote(m.rlike(r"\. ")),
-        against(m.rlike(r" (?:Street|Road|Avenue|Square|University|College|School|Hospital|Award|Prize|Who|Strange|Pepper|Bean)$")),
-        vote(m.rlike(r" (?:" + "|".join(GIVEN_NAMES) + ") ")),
-        context,
-        vote(before.rlike(r"(?i)\b(?:dear|by|from|with|for|to|and|signed|attn)[:,]?\s*$")),
-        vote(after.rlike(r"^(?:$|[\s,.;:!?)'\"])"), after.rlike("^[A-Za-z0-9_-]")),
+        vote(m.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)\. |^(?:Herr|Frau|Mme|Señor|Señora) "), first == last),
+        vote(first.rlike("^" + one_of(GIVEN_NAMES) + "$"), first.rlike("^" + one_of(NOT_NAMES) + "$")),
+        vote(last.rlike(one_of(SURNAME_ENDS) + "$"), last.rlike("^" + one_of(NOT_SURNAMES) + "$")),
+        vote(before.rlike(PERSON_WORDS), before.rlike(PERSON_NOT)),
+        vote(before.rlike(r"(?i)\b(?:by|from|with|for|to|and|asked|told|met|called|says|said)[:,]?\s*$"), before.rlike("[A-Z]\\S* $")),
+        vote(after.rlike(r"^(?:$|'s\b|[,.;:!?)]|\s+(?:said|says|wrote|told|called|lives|was|is|has|will)\b)"), after.rlike("^(?:[A-Za-z0-9_-]| [A-Z])")),
+        vote(F.length(m).between(10, 32), F.length(m) > 48),
         inside,
     ]
 
 
-N_LABELERS = 7
+N_LABELERS = 8
 #: A part of a path, a host or a file name is seldom a true span: the last labeler starts with more trust than the others.
 INSIDE_TRUST = 0.95
 
 
 def features(m: Column, before: Column) -> list[Column]:
-    """Length and place of a candidate, one character each."""
+    """Length and place of a candidate, one character each; labelers look at its mix of characters."""
     n = F.length(m)
     size = F.when(n < 20, "a").when(n < 32, "b").when(n < 64, "c").otherwise("d")
     place = F.when(before.rlike(r"(?:^|\s)$"), "s").when(before.rlike("[\"'`]$"), "q").when(before.rlike("[=:]$"), "e").when(before.rlike(r"[/.@+~\\#%]$"), "p").otherwise("o")
@@ -188,7 +221,7 @@ def candidates(text: Column) -> Column:
     def voted(kind: str) -> Column:
         def one(x: Column) -> Column:
             start = F.greatest(x["s"] - CONTEXT_BEFORE, F.lit(0))
-            before, after = F.substring(text, start + 1, x["s"] - start), F.substring(text, x["e"] + 1, F.lit(2))
+            before, after = F.substring(text, start + 1, x["s"] - start), F.substring(text, x["e"] + 1, F.lit(CONTEXT_AFTER))
             code = F.concat(*[F.when(v == 1, "1").when(v == 0, "0").otherwise("-") for v in votes(kind, x["m"], before, after)], *features(x["m"], before))
             return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), code.alias("v"))
 
@@ -303,7 +336,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
     def cut(spans: Column) -> Column:
         # Spans of different kinds may overlap: one begins where the furthest end before it lies.
-        reach = F.transform(spans, lambda _, i: F.aggregate(F.slice(spans, F.lit(1), i), F.lit(0), lambda a, x: F.greatest(a, x["e"])))
+        reach = running(F.transform(spans, lambda x: x["e"]), lambda a, x: F.greatest(a, x))
 
         def pieces(ends: Column) -> Column:
             before = lambda x, i: F.substring(F.col("text"), F.get(ends, i) + 1, F.greatest(x["s"] - F.get(ends, i), F.lit(0)))
