@@ -33,7 +33,7 @@ smoothed base; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log10
 
 import numpy as np
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 from .ngrams import chunks
 
 #: A word met less often has no vector of its own.
@@ -53,8 +53,8 @@ INNER_NOISE = 4
 BATCH = 1024
 ROUNDS = 2
 FREQUENT = 150_000
-#: Trainers of a round at most; their weights are what a round gathers.
-TRAINERS = 512
+#: Tokens of a trainer of a round, or more if input partitions are larger: trainers follow the input.
+TRAINER_TOKENS = 1_000_000
 #: Rows of weights that travel as one.
 ROWS = 64
 #: Tokens normalised at once.
@@ -293,7 +293,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["block", "x"])
 
 
-def train(rows: DataFrame, known: dict[bytes, int], kinds: Classes, noise: np.ndarray, inner: np.ndarray) -> dict[str, np.ndarray]:
+def train(rows: DataFrame, n_tokens: int, known: dict[bytes, int], kinds: Classes, noise: np.ndarray, inner: np.ndarray) -> dict[str, np.ndarray]:
     """Weights after ROUNDS rounds over the training rows (key, text)."""
     p = parameters(np.log(noise), inner)
 
@@ -319,7 +319,7 @@ def train(rows: DataFrame, known: dict[bytes, int], kinds: Classes, noise: np.nd
         return run
 
     for number in range(ROUNDS):
-        part = rows.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == number).select("text").coalesce(TRAINERS)
+        part = rows.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == number).select("text").coalesce(max(1, n_tokens // TRAINER_TOKENS))
         changes = part.mapInArrow(run_with(p, number), "block int, x binary, n binary").repartition("block").mapInArrow(_averaged, "block int, x binary").toArrow()
         packed = _packed(p)
         for block, x in zip(*(c.to_pylist() for c in changes.columns), strict=True):
@@ -344,11 +344,16 @@ def frequent_words(counts: DataFrame, floor: int, most: int) -> list[tuple[str,
 
 
 def score_texts(docs: DataFrame, floor: int = FLOOR, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs; a written table, all others are deleted."""
+    with scratch() as keep:
+        return written(_scores(docs, floor, frequent, keep), "scores")
+
+
+def _scores(docs: DataFrame, floor: int, frequent: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     training = rows.where(~F.col("held_out"))
-    counts = written(training.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = keep(training.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = total.n, total.v
     top = frequent_words(counts, floor, frequent)
@@ -363,7 +368,7 @@ def score_texts(docs: DataFrame, floor: int = FLOOR, frequent: int = FREQUENT) -
     noise = np.bincount(kinds.of, met)
     inner = np.log(met / noise[kinds.of])
     noise /= noise.sum()
-    p = train(training.select(F.xxhash64("doc_id", "text").alias("key"), "text"), known, kinds, noise, inner)
+    p = train(training.select(F.xxhash64("doc_id", "text").alias("key"), "text"), n_all, known, kinds, noise, inner)
 
     all_log, rare_log = log10(n_all + 0.5 * (v_all + 1)), log10(rare_n + 0.5 * (rare_v + 1))
     smoothed = np.log10(size + 0.5)
@@ -389,7 +394,7 @@ def score_texts(docs: DataFrame, floor: int = FLOOR, frequent: int = FREQUENT) -
 
     kind = dict(docs.dtypes)["doc_id"]
     scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     # Words beyond the frequent ones: their counts by a join, one row a document and word before it.
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))

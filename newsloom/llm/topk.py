@@ -10,7 +10,9 @@ selected from the most significant slice downward; rows that stay equal at the
 boundary are settled by vec_id, and the chosen rows get their exact scores.
 
 The query set is stated by the caller; it meets the blocks in blocks of its own,
-so neither side is ever held whole.  Packing needs no shuffle; each pair of
+so neither side is ever held whole, and it is broadcast only if its counted rows
+are few enough.  A block's slices are built once for all query blocks that it
+meets in a task.  Packing needs no shuffle; each pair of
 blocks gives k rows a query, and a ranking over those is the result.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components
@@ -31,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_side
+
 BLOCK = 8192
 QUERY_BLOCK = 1024
 SCALE = 1024
@@ -179,14 +183,17 @@ def _pack(most: int):
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built: tuple = (None, None)  # the last block's bytes and its slices: a block's pairs follow one another
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
                 if r["dims"] != r["q_dims"]:
                     continue
                 ids, query_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
                 vectors, queries = np.frombuffer(r["vectors"], np.int64).reshape(len(ids), -1), np.frombuffer(r["q_vectors"], np.int64).reshape(len(query_ids), -1)
                 large = max(np.abs(vectors).max(), np.abs(queries).max()) >= LARGE
-                block = None if large else BitSlicedBlock(vectors)
+                if not large and built[0] != r["vectors"]:
+                    built = r["vectors"], BitSlicedBlock(vectors)
+                block = None if large else built[1]
                 out: list[list[np.ndarray]] = [[], [], []]
                 for q, own in zip(queries, query_ids.tolist(), strict=True):
                     rows, scores = best_rows(block, vectors, ids, q, own, k)
@@ -204,9 +211,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_column: st
     part = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
     blocks = part.mapInArrow(_pack(BLOCK), _PACKED)
     chosen = rows.where(is_query).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
-    n = chosen.count()
+    n, dims = chosen.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     queries = chosen.repartition(max(1, -(-n // QUERY_BLOCK))).mapInArrow(_pack(QUERY_BLOCK), _PACKED).toDF("q_dims", "q_ids", "q_vectors")
     # A stated query set against all rows, both as packed blocks: one row a pair of blocks.
-    found = blocks.crossJoin(queries).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    found = blocks.crossJoin(small_side(queries, n, 8 * (dims + 1))).mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
