@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import written
+from newsloom.llm.common import forget, written
 from newsloom.llm.jaccard import one_of_each
 from newsloom.llm.mixing import mixed_documents
 from newsloom.llm.packing import pack_documents
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        found = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"stage-{k}")
+            found = written(found, f"stage-{k}")
+            forget(docs)  # does nothing to a table that it has not written
+        docs = found
     return docs
