@@ -210,16 +210,23 @@ def letters_and_digits(text: Column) -> Column:
 
 def meaningful_length(content: Column, title: Column) -> Column:
     """Letters and digits before the first navigation phrase; 0 if they only repeat the title."""
-    body = F.lower(F.coalesce(content, F.lit("")))
-    for phrase in fixed.NAVIGATION:
-        body = F.substring_index(body, phrase, 1)
+    phrases = "|".join(p.replace("|", r"\|") for p in fixed.NAVIGATION)
+    body = F.get(F.split(F.lower(F.coalesce(content, F.lit(""))), phrases, 2), F.lit(0))
     head = letters_and_digits(F.lower(F.coalesce(title, F.lit(""))))
     return let(letters_and_digits(body), lambda b: F.when((F.length(b) > 0) & (b == head), 0).otherwise(F.length(b)))
 
 
+def _starts(words: list[str]) -> str:
+    """Pattern of a token that starts with one of the words, tried by first letter."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?<![a-z0-9_A-Z])(?:" + "|".join(f"{k}(?:{'|'.join(sorted(v, key=len))})" for k, v in sorted(by.items())) + ")[a-z0-9_A-Z]*+"
+
+
 def keyword_hits(words: list[str], body: Column) -> Column:
     """How many of the words the lower-case text holds: phrases and ideographs anywhere, single words as tokens or as the start of one."""
-    single = [w.lower() for w in words if w.isascii() and " " not in w]
+    single = [w.lower() for w in words if w.isascii() and w.isalnum()]
     other = [w.lower() for w in words if not (w.isascii() and " " not in w)]
     inside = F.size(F.filter(F.array(*[F.lit(w) for w in other]), lambda w: F.contains(body, w))) if other else F.lit(0)
     if not single:
@@ -229,12 +236,14 @@ def keyword_hits(words: list[str], body: Column) -> Column:
         derived = lambda t, k: t.startswith(k) & F.substring(t, F.length(k) + 1, F.lit(1)).rlike("^(?:[a-z0-9]|)$")
         return F.size(F.filter(F.array(*[F.lit(w) for w in single]), lambda k: F.exists(tokens, lambda t: derived(t, k))))
 
-    return inside + let(F.array_distinct(F.split(body, r"[^a-z0-9_A-Z]+", -1)), counted)
+    # One pass finds the few tokens that can count; each is then held against the words.
+    return inside + let(F.array_distinct(F.regexp_extract_all(body, F.lit(_starts(single)), F.lit(0))), counted)
 
 
 def is_mostly_english(text: Column) -> Column:
-    """More ASCII letters than ideographs."""
-    return F.length(F.regexp_replace(text, "[^A-Za-z]", "")) > F.length(F.regexp_replace(text, r"[^一-龥]", ""))
+    """No ideograph, and four ASCII letters in a row."""
+    t = F.coalesce(text, F.lit(""))
+    return ~t.rlike("[一-龥]") & t.rlike("[A-Za-z]{4}")
 
 
 def split_bold(text: Column) -> Column:
@@ -252,8 +261,8 @@ def split_opinion(text: Column, marker: str) -> Column:
 
 
 def card_field(markdown: Column, label: str) -> Column:
-    """Value of a line `**label**：value` or `label: value`; null if there is none."""
-    return F.nullif(F.regexp_extract(markdown, rf"(?m)^\s*(?:\*\*)?{label}(?:\*\*)?\s*[：:]\s*(?:\*\*)?\s*(.+?)\s*$", 1), F.lit(""))
+    """Value of the first line that has `- **label**：value`; empty if there is none."""
+    return F.trim(F.regexp_extract(F.coalesce(markdown, F.lit("")), rf"(?i)- \*\*{label}\*\*：([^\n]*)", 1))
 
 
 def block_kind(line: Column) -> Column:
@@ -261,10 +270,26 @@ def block_kind(line: Column) -> Column:
     return F.when((F.length(line) <= 8) & ~line.rlike("[。！？；，.!?;,]"), "title").otherwise("text")
 
 
-def brief_summary(text: Column, low: int = 15, high: int = 50) -> Column:
-    """First sentence that is long enough, cut to the longest length allowed."""
-    first = F.regexp_extract(text, rf"^(.{{{low},{high}}}?[。！？.!?])", 1)
-    return F.when(F.length(first) > 0, first).otherwise(F.substring(text, 1, high))
+def last_index(text: Column, marks: Iterable[str]) -> Column:
+    """Position, from 0, of the last of some one-character marks; -1 for none."""
+    return F.greatest(*[F.when(F.contains(text, F.lit(m)), F.length(text) - F.locate(m, F.reverse(text))).otherwise(-1) for m in marks])
+
+
+def brief_summary(definition: Column, what_happened: Column) -> Column:
+    """A definition of one plain sentence, else the head of the first paragraph, cut at a mark near its end or at a word."""
+    one = F.regexp_replace(trimmed(F.coalesce(definition, F.lit(""))), r"^作者[｜|].*?\s+", "")
+    plain = F.length(one).between(10, 60) & ~F.contains(one, F.lit("\n")) & ~one.rlike(r"(?i)^[a-z0-9_\-:]+$")
+    body = F.replace(F.regexp_replace(trimmed(F.coalesce(what_happened, F.lit(""))), r"(?i)^\s*(?:（?AI\s*预测）?)?[:：]?\s*", ""), F.lit("**"), F.lit(""))
+    first = F.get(F.filter(F.transform(F.split(body, r"\n+", -1), trimmed), lambda x: F.length(x) > 0), F.lit(0))
+    target = F.when(F.length(first) < 200, 40).otherwise(50)
+
+    def shortened(head: Column) -> Column:
+        mark, gap = last_index(head, "。，；："), last_index(head, " 的、")
+        return F.when(mark >= target - 10, F.substring(head, F.lit(1), mark + 1)).when(gap > target * 0.5, F.substring(head, F.lit(1), gap)).otherwise(head)
+
+    cut = let(F.substring(first, F.lit(1), target), shortened)
+    whole = let(cut, lambda c: trimmed(F.when(F.length(first) > F.length(c), F.concat(c, F.lit("…"))).otherwise(c)))
+    return F.when(plain, one).when(first.isNull(), F.substring(one, 1, 50)).otherwise(whole)
 
 
 def rolling_hash(text: Column) -> Column:

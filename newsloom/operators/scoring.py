@@ -49,7 +49,9 @@ def batch_duplicates(df: DataFrame, order: list[Column], title: str = "title", u
     """
     if keep_reference:
         return df.withColumn("dup", F.lit(True))
-    seen = lambda key: F.coalesce((F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1) & key.isNotNull(), F.lit(False))
+    # Rows without a key are spread, else all of them meet in one task.
+    spread = lambda key: F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(*df.columns).cast("string")))
+    seen = lambda key: F.coalesce((F.row_number().over(Window.partitionBy(spread(key)).orderBy(*order)) > 1) & key.isNotNull(), F.lit(False))
     t, u = F.nullif(text.match_title(F.col(title)), F.lit("")), urls.url_key(F.col(url))
     return df.withColumn("__t", t).withColumn("__u", u).withColumn("dup", seen(F.col("__t")) | seen(F.col("__u"))).drop("__t", "__u")
 
@@ -90,8 +92,8 @@ def score_items(items: DataFrame, as_of: Column) -> DataFrame:
     hard, soft = gates.compliance(F.col("title"), F.col("summary"), F.col("content"), urls.url_date(F.col("url")), as_of)
     df = batch_duplicates(items, [F.col("published"), F.col("id")])
     df = df.withColumn("hard", hard).withColumn("soft", soft).withColumn("event_key", text.match_title(F.col("title")))
-    event = Window.partitionBy("event_key")
     known = F.col("event_key") != ""
+    event = Window.partitionBy(F.when(known, F.col("event_key")).otherwise(F.concat(F.lit("\x00"), F.xxhash64("id").cast("string"))))
     df = df.withColumn("n_sources", F.when(known, F.size(F.collect_set("source").over(event)))).withColumn("n_members", F.when(known, F.count("*").over(event)))
     df = df.withColumn("noise", noise_ratio(F.col("content"), F.col("raw")))
     quality = quality_score(
@@ -123,27 +125,39 @@ def relevance(body: Column, focus: list[str], depth: str = "std") -> tuple[Colum
     return score, F.when(score >= high, "high").when(score >= 1, "medium").otherwise("low")
 
 
-def lens_route(category: Column, quality: Column, final: Column, stable: Column, variants: int = 3) -> tuple[Column, Column]:
-    """Reading lens by score and category, and a variant that is the same for the same item."""
-    s = F.coalesce(final, quality, F.lit(0))
+def lens_route(title: Column, summary: Column, category: Column, quality: Column, final: Column, key: Column) -> Column:
+    """struct<lens, allow_opinion, variant>: barred subjects first, then open questions, life, hard news of high score, middling score, else brief.
+
+    The score is the quality, else the final score, else 50; variant is the same for the same key.
+    """
+    none = F.lit("")
+    said = F.concat_ws(" ", F.coalesce(title, none), F.coalesce(summary, none))
+    s = F.coalesce(quality, final, F.lit(50))
     lens = (
-        F.when(s >= 65, F.when(category.isin("tech", "science"), "deep").when(category == "international", "context").otherwise("analysis"))
-        .when(s >= 45, F.when(category == "life", "practical").otherwise("brief"))
-        .when(s >= 40, "note")
-        .otherwise("none")
+        F.when(text.any_of(fixed.NO_OPINION, said), "brief")
+        .when(text.any_of(fixed.UNSETTLED, F.coalesce(title, none)) & (s >= fixed.LENS_OPINION), "ask")
+        .when(category.isin(*fixed.LIFE_CATEGORIES) & (s >= fixed.LENS_OPINION), "life")
+        .when((s >= fixed.LENS_COLD) & category.isin(*fixed.HARD_CATEGORIES), "cold")
+        .when(s >= fixed.LENS_DEPTH, "depth")
+        .otherwise("brief")
     )
-    return lens, F.pmod(stable, F.lit(variants)).cast("int")
+    return F.struct(lens.alias("lens"), (lens != "brief").alias("allow_opinion"), F.abs(text.rolling_hash(F.coalesce(key, none))).alias("variant"))
 
 
-def length_budget(source_length: Column, factor: float, lowest: int = 120, margin: int = 60) -> Column:
-    """Characters an interpretation may take, by the length of its source."""
-    return F.greatest(F.lit(lowest), F.round(source_length * factor)).cast("int") + margin
+def length_budget(lens: Column, shortest: Column, longest: Column) -> Column:
+    """struct<t_min, t_max>: the lengths wanted, scaled by the lens, 120 and 60 more at least."""
+    factor = F.lit(1.0)
+    for name, x in fixed.LENS_FACTORS.items():
+        factor = F.when(lens == name, x).otherwise(factor)
+    low = F.greatest(F.lit(120), F.floor(F.coalesce(shortest, F.lit(300)) * factor + 0.5).cast("int"))
+    return F.struct(low.alias("t_min"), F.greatest(low + 60, F.floor(F.coalesce(longest, F.lit(600)) * factor + 0.5).cast("int")).alias("t_max"))
 
 
-def search_fast_path(query: Column, irrelevant: list[str]) -> Column:
-    """true for AI words, null where a word says it can't be told, null otherwise too: a model decides."""
-    q = F.lower(query)
-    return F.when(text.any_of(irrelevant, q), F.lit(None)).when(text.keyword_hits(fixed.AI_WORDS, q) > 0, F.lit(True)).cast("boolean")
+def search_fast_path(query: Column) -> Column:
+    """true where a word of the subject stands in the query and none of other subjects; null otherwise: a model decides."""
+    q = F.lower(F.coalesce(query, F.lit("")))
+    related = text.any_of([w.lower() for w in fixed.SEARCH_WORDS], q)
+    return F.when(text.any_of(fixed.SEARCH_OTHER, q), F.lit(None)).when(related, F.lit(True)).cast("boolean")
 
 
 def accepted_output(summary: Column, interpretation: Column, shortest: int) -> Column:

@@ -40,7 +40,7 @@ def dedup_key(url: Column, title: Column) -> Column:
 
 def topic_action(candidate_length: Column, known_length: Column, known_status: Column, gain: int = 200) -> Column:
     """insert an unknown topic, upgrade a pending one by a clearly longer text, drop the rest."""
-    return F.when(known_status.isNull(), "insert").when((known_status == "pending") & (candidate_length >= known_length + gain), "upgrade").otherwise("drop")
+    return F.when(known_status.isNull(), "insert").when((known_status == "pending") & (candidate_length > known_length + gain), "upgrade").otherwise("drop")
 
 
 # Merges -----------------------------------------------------------------------------------------------------------

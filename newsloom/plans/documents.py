@@ -40,9 +40,12 @@ q AS (SELECT *, CAST(round(CAST(0.25 AS DOUBLE) * 40 + CAST(0.2 AS DOUBLE) * com
 r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY quality DESC, published DESC, id) AS rank FROM q WHERE quality >= 40)
 SELECT category, CAST(rank AS INT) AS rank, id, title, quality FROM r WHERE rank <= 8""")
 def quality_score_topn_by_lang(t):
-    d = scoring.batch_duplicates(items(t("documents")).withColumn("url", F.lit(None).cast("string")), [F.col("published"), F.col("id")])
+    complete = scoring.completeness(F.col("content"), F.col("summary"))
+    # Contents stay behind: only their score goes through the shuffles of the duplicate keys.
+    d = items(t("documents")).select("id", "title", "source", "category", "published", complete.alias("complete"), F.lit(None).cast("string").alias("url"))
+    d = scoring.batch_duplicates(d, [F.col("published"), F.col("id")])
     quality = scoring.quality_score(
-        scoring.source_authority(F.col("source"), F.col("url")), scoring.completeness(F.col("content"), F.col("summary")), scoring.timeliness(F.col("published"), F.lit(AS_OF)),
+        scoring.source_authority(F.col("source"), F.col("url")), F.col("complete"), scoring.timeliness(F.col("published"), F.lit(AS_OF)),
         F.lit(95), F.when(F.col("dup"), 0).otherwise(100), F.lit(None).cast("string"),
     )
     d = d.select("category", "id", "title", "published", quality.alias("quality")).where(F.col("quality") >= fixed.MIN_QUALITY)
