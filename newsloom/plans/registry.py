@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import documents, events, lists, pages, streams  # noqa: E402, F401
+from . import documents, events, feeds, lists, pages, publish, streams  # noqa: E402, F401
