@@ -22,8 +22,9 @@ def parse_instant(text: Column) -> Column:
     t = F.trim(text)
     number = F.when(t.rlike(r"^[0-9]{1,18}$"), t.try_cast("long"))
     digits = F.when(number > 1_000_000_000_000, F.floor(number / 1000)).otherwise(number)
-    shapes = ["yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "EEE, d MMM yyyy HH:mm:ss z", "EEE, d MMM yyyy HH:mm:ss Z"]
-    stamps = [F.unix_timestamp(F.try_to_timestamp(t, F.lit(s))) for s in shapes]
+    shapes = ["yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z"]
+    dated = F.regexp_replace(t, "^[A-Za-z]{3}, *", "")  # patterns to read by know no names of weekdays
+    stamps = [F.unix_timestamp(F.try_to_timestamp(dated, F.lit(s))) for s in shapes]
     return F.coalesce(digits, *[F.when(~t.isin("None", "null", ""), s) for s in stamps])
 
 
