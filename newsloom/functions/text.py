@@ -205,7 +205,7 @@ def clean_intel(text: Column) -> Column:
 
 
 def letters_and_digits(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(text, r"[^\p{L}\p{N}]++", "")
 
 
 def meaningful_length(content: Column, title: Column) -> Column:
@@ -228,7 +228,15 @@ def keyword_hits(words: list[str], body: Column) -> Column:
     """How many of the words the lower-case text holds: phrases and ideographs anywhere, single words as tokens or as the start of one."""
     single = [w.lower() for w in words if w.isascii() and w.isalnum()]
     other = [w.lower() for w in words if not (w.isascii() and " " not in w)]
-    inside = F.size(F.filter(F.array(*[F.lit(w) for w in other]), lambda w: F.contains(body, w))) if other else F.lit(0)
+
+    def held(whole: Column) -> Column:
+        count = lambda some: F.size(F.filter(F.array(*[F.lit(w) for w in some]), lambda w: F.contains(whole, w))) if some else F.lit(0)
+        wide = [w for w in other if not w.isascii()]
+        # Texts of ASCII and Latin letters need no look for the words of other scripts.
+        return count([w for w in other if w.isascii()]) + F.when(whole.rlike(r"[^\x{0}-\x{24f}]"), count(wide)).otherwise(0)
+
+    # The body may be an expression: without let each word would compute it anew.
+    inside = let(body, held) if other else F.lit(0)
     if not single:
         return inside
 

@@ -23,8 +23,8 @@ def completeness(content: Column, summary: Column) -> Column:
     c, s = (F.trim(F.coalesce(x, F.lit(""))) for x in (content, summary))
     body = F.when(F.length(c) > 0, c).otherwise(s)
     base = F.when(F.length(body) >= 300, 90).when(F.length(body) >= 80, 60).when(F.length(body) > 0, 20).otherwise(0)
-    ends = F.length(body) - F.length(F.translate(body, "。！？.!?", ""))
-    return F.when((base > 0) & (ends >= 2), F.round(base + 0.1 * (100 - base)).cast("int")).otherwise(base)
+    two_ends = body.rlike("(?s)[。！？.!?].*?[。！？.!?]")
+    return F.when((base > 0) & two_ends, F.round(base + 0.1 * (100 - base)).cast("int")).otherwise(base)
 
 
 def timeliness(published: Column, as_of: Column) -> Column:
@@ -116,13 +116,16 @@ def feed_heat(tier: Column, published: Column, as_of: Column) -> Column:
     return F.round(base * F.exp(-F.greatest(F.lit(0.0), (as_of - published) / 3600.0) / 24)).cast("int")
 
 
-def relevance(body: Column, focus: list[str], depth: str = "std") -> tuple[Column, Column]:
-    """Score and level of an item: AI words count 1 up to 3, focus words 2 up to 6."""
-    base = F.least(text.keyword_hits(fixed.AI_WORDS, body), F.lit(3))
-    boost = F.least(sum((F.when(F.contains(body, F.lit(w.lower())), 2).otherwise(0) for w in focus), F.lit(0)), F.lit(6))
-    score = base + boost
+def relevance(body: Column, focus: list[str], depth: str = "std") -> Column:
+    """struct<score, level> of an item: AI words count 1 up to 3, focus words 2 up to 6."""
     high = {"deep": 3, "lite": 5}.get(depth, 4)
-    return score, F.when(score >= high, "high").when(score >= 1, "medium").otherwise("low")
+
+    def scored(b: Column) -> Column:
+        base = F.least(text.keyword_hits(fixed.AI_WORDS, b), F.lit(3))
+        return base + F.least(sum((F.when(F.contains(b, F.lit(w.lower())), 2).otherwise(0) for w in focus), F.lit(0)), F.lit(6))
+
+    level = lambda s: F.when(s >= high, "high").when(s >= 1, "medium").otherwise("low")
+    return text.let(text.let(body, scored), lambda s: F.struct(s.alias("score"), level(s).alias("level")))
 
 
 def lens_route(title: Column, summary: Column, category: Column, quality: Column, final: Column, key: Column) -> Column:

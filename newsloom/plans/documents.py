@@ -205,8 +205,8 @@ h AS (SELECT id, body, len(list_filter({_LIST(_SINGLE)}, lambda k: len(list_filt
 s AS (SELECT id, least(hits, 3) + least(CASE WHEN contains(body, 'data') THEN 2 ELSE 0 END + CASE WHEN contains(body, 'energy') THEN 2 ELSE 0 END, 6) AS score FROM h)
 SELECT id, CAST(score AS INT) AS score, CASE WHEN score >= 4 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS level FROM s""")
 def keyword_router_level(t):
-    score, level = scoring.relevance(F.lower("content"), ["data", "energy"])
-    return items(t("documents")).select("id", score.cast("int").alias("score"), level.alias("level"))
+    d = items(t("documents")).select("id", scoring.relevance(F.lower("content"), ["data", "energy"]).alias("r"))
+    return d.select("id", F.col("r.score").cast("int").alias("score"), "r.level")
 
 
 _BODY = "lower(content)"
