@@ -93,8 +93,9 @@ def frequent_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02,
     of_hosts = rows.select("source", F.xxhash64("body").alias("body_key")).distinct() if distinct_hosts else rows
     hosts = of_hosts.groupBy(F.col("source").alias("h")).agg(F.count("*").alias("host_docs"))
     hashes = F.array_distinct(F.transform(lines_of(F.col("body")), lambda x: F.xxhash64(normalised(x))))
-    # What stands beside a generator is computed once a line, so the key and the hashes come first.
-    lines = rows.select("source", "doc_id", F.xxhash64("body").alias("body_key"), hashes.alias("hashes")).select("source", "doc_id", "body_key", F.explode("hashes").alias("line"))
+    # What stands beside a generator is computed once a line, so the key and the hashes come first; an inner generator
+    # would also test the size of the array below that projection, and so compute it twice.
+    lines = rows.select("source", "doc_id", F.xxhash64("body").alias("body_key"), hashes.alias("hashes")).select("source", "doc_id", "body_key", F.explode_outer("hashes").alias("line")).where("line is not null")
     once = lines.groupBy("source", "line", "body_key").agg(F.min("doc_id").alias("doc_id"))
     counts = once.groupBy("source", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") > min_docs)
     # hosts are a small dimension next to the lines; adaptive execution picks the join
@@ -110,7 +111,7 @@ def line_losses(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02, di
     found = frequent_lines(docs, min_docs, max_share, distinct_hosts)
     pieces = F.transform(lines_of(F.col("body")), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(F.array_remove(F.split(x, SPACES, -1), "")).alias("n")))
     lines = with_key(docs).select("row_key", "doc_id", "source", F.size(F.array_remove(F.split("body", SPACES, -1), "")).alias("n_words"), pieces.alias("pieces"))
-    lines = lines.select("row_key", "doc_id", "source", "n_words", F.inline("pieces"))
+    lines = lines.select("row_key", "doc_id", "source", "n_words", F.inline_outer("pieces")).where("line is not null")
     lost = lines.join(found.withColumnRenamed("line", "l"), (F.col("line") == F.col("l")) & F.col("source").eqNullSafe(F.col("host"))).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     lost = lost.groupBy("row_key").agg(F.sum("n").alias("n_lost"), F.first("n_words").alias("n_words"), F.collect_set("line").alias("lost_lines"))
     copies = with_key(docs).groupBy("row_key").agg(F.count("*").alias("copies"))
