@@ -50,7 +50,7 @@ def batch_duplicates(df: DataFrame, order: list[Column], title: str = "title", u
     if keep_reference:
         return df.withColumn("dup", F.lit(True))
     # Rows without a key are spread, else all of them meet in one task.
-    spread = lambda key: F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(*df.columns).cast("string")))
+    spread = lambda key: F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]).cast("string")))
     seen = lambda key: F.coalesce((F.row_number().over(Window.partitionBy(spread(key)).orderBy(*order)) > 1) & key.isNotNull(), F.lit(False))
     t, u = F.nullif(text.match_title(F.col(title)), F.lit("")), urls.url_key(F.col(url))
     return df.withColumn("__t", t).withColumn("__u", u).withColumn("dup", seen(F.col("__t")) | seen(F.col("__u"))).drop("__t", "__u")

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key; rows without any key stay."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     missing = reduce(lambda a, b: a & b, [F.col(k).isNull() for k in keys])
+    # Rows without a key are spread, else all of them meet in one task.
+    spread = F.when(missing, F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]))
+    n = F.row_number().over(Window.partitionBy(*keys, spread).orderBy(*order))
     return df.withColumn("__n", n).where((F.col("__n") == 1) | missing).drop("__n")
 
 

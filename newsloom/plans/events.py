@@ -124,3 +124,19 @@ SELECT user_id, arg_max(active, (at_s, event_id)) AS active FROM s GROUP BY user
 def soft_delete_latest_wins(t):
     e = timed(t).where(F.col("event_type").isin("purchase", "error"))
     return e.groupBy("user_id").agg(F.max_by(F.col("event_type") == "purchase", F.struct("at_s", "event_id")).alias("active"))
+
+
+@query(f"""WITH {E}, n AS (SELECT *, CASE WHEN at_s - lag(at_s) OVER (PARTITION BY event_type ORDER BY at_s, event_id) <= 60 THEN 0 ELSE 1 END AS new FROM e),
+s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY event_type ORDER BY at_s, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM n)
+SELECT event_type, session, count(*) AS n_events, min(at_s) AS began, max(at_s) AS ended FROM s GROUP BY event_type, session""")
+def sessions_of_a_minute(t):
+    return tables.sessions(timed(t), "event_type", "at_s", "event_id", gap=60)
+
+
+@query(f"""WITH {E}, s AS (SELECT user_id, at_s // 86400 AS day, at_s, event_id, {STATE} AS state FROM e),
+l AS (SELECT user_id || '-' || day AS item, arg_max(state, (at_s, event_id)) AS state, max(at_s) AS since, count_if(state = 'failed') AS failures FROM s GROUP BY 1)
+SELECT item, CASE WHEN failures >= 3 THEN 'discarded' WHEN state = 'processing' AND since < {AS_OF} - 300 THEN 'pending' WHEN state = 'failed' THEN 'pending' ELSE state END AS state, since, CAST(failures AS BIGINT) AS failures FROM l""")
+def queue_states_three_retries(t):
+    state = F.when(F.col("event_type") == "click", "processing").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise("pending")
+    item = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("at_s") / DAY).cast("string"))
+    return tables.queue_state(timed(t).withColumn("item", item).withColumn("state", state), "item", "at_s", "event_id", AS_OF)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The folder that all executors share, from the session; a local one only where none is set."""
-    return df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/newsloom"
+    """The folder that all executors share, from the session; where none is set, a local one for a local master only."""
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or f"{tempfile.gettempdir()}/newsloom-checkpoints"
 
 
 def drained(stream: DataFrame) -> DataFrame:
