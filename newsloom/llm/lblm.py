@@ -151,14 +151,17 @@ def _contexts(slots: np.ndarray, counts: np.ndarray, start: int) -> tuple[np.nda
     return near, far
 
 
+def _summed(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of x over each of n places, in one pass over the flat array."""
+    wide = x.shape[1]
+    return np.bincount((at[:, None] * wide + np.arange(wide)).ravel(), x.ravel(), n * wide).reshape(n, wide).astype(np.float32)
+
+
 def _scattered(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows of at, the sums of x over each, and how often each stands."""
     rows, back = np.unique(at, return_inverse=True)
     back = back.reshape(-1)
-    sums = np.empty((x.shape[1], len(rows)), np.float32)
-    for k, c in enumerate(np.ascontiguousarray(x.T)):
-        sums[k] = np.bincount(back, c, len(rows))
-    return rows, np.ascontiguousarray(sums.T), np.bincount(back, minlength=len(rows))
+    return rows, _summed(back, x, len(rows)), np.bincount(back, minlength=len(rows))
 
 
 def nce_steps(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, state: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.1) -> None:
@@ -182,12 +185,17 @@ def nce_steps(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near:
         qc, qd = p["context"].take(c, 0), p["context"].take(d, 0)
         h = qc @ p["near"] + qd @ p["far"]
         rw, rn = p["word"][w], p["word"][drawn]
-        true = np.einsum("ij,ij->i", h, rw) + p["bias"][w] - log_noise[w]
-        false = h @ rn.T + p["bias"][drawn] - log_noise[drawn]
+        over = p["bias"] - log_noise
+        true = np.einsum("ij,ij->i", h, rw) + over[w]
+        false = h @ rn.T
+        false += over[drawn]
         gt = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        gf = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        gf = np.negative(np.clip(false, -30, 30, out=false), out=false)
+        np.exp(gf, out=gf)
+        gf += 1
+        np.divide(-1, gf, out=gf)
         gh = gt[:, None] * rw + gf @ rn
-        grads = {"word": np.stack([np.bincount(w, x, n_classes) for x in (gt[:, None] * h).T], 1), "bias": np.bincount(w, gt, n_classes)}
+        grads = {"word": _summed(w, gt[:, None] * h, n_classes), "bias": np.bincount(w, gt, n_classes)}
         np.add.at(grads["word"], drawn, gf.T @ h)
         np.add.at(grads["bias"], drawn, gf.sum(0))
 
