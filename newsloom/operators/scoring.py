@@ -170,46 +170,3 @@ def accepted_output(summary: Column, interpretation: Column, shortest: int) -> C
 
 def decayed(final: Column, published: Column, as_of: Column, per_hour: float = 1.0) -> Column:
     return final - per_hour * F.greatest(F.lit(0.0), (as_of - published) / 3600.0)
-
-
-def cluster_titles(items: DataFrame, order: list[str], block: str, similarity: float = 0.55) -> DataFrame:
-    """Greedy leader clusters by characters: an item joins the first leader with an equal or similar title, else leads.
-
-    Order matters, so each block (a category and day, say; bounded by what a feed
-    publishes) is folded by itself, sorted, in one grouped task.
-    """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[set[str], str]] = []
-        out = []
-        for title in rows.sort_values(order)["match_title"]:
-            chars = set(title)
-            near = next((t for s, t in leaders if title and (t == title or len(s & chars) / len(s | chars) > similarity)), None)
-            if near is None and title:
-                leaders.append((chars, title))
-            out.append(near if near is not None else title)
-        return rows.sort_values(order).assign(leader=out)
-
-    df = items.withColumn("match_title", text.match_title(F.col("title")))
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", leader string"
-    return df.groupBy(block).applyInPandas(fold, schema)
-
-
-def dedup_titles(items: DataFrame, order: list[str], block: str, similarity: float = 0.7) -> DataFrame:
-    """Items whose title is not too like that of one kept before, folded block by block."""
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        kept: list[set[str]] = []
-        keep = []
-        for title in rows["title"]:
-            chars = set(title or "")
-            fresh = not any(chars | s and len(chars & s) / len(chars | s) > similarity for s in kept)
-            if fresh:
-                kept.append(chars)
-            keep.append(fresh)
-        return rows[keep]
-
-    return items.groupBy(block).applyInPandas(fold, items.schema)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, times, urls
-from newsloom.operators import gates, scoring, tables
+from newsloom.operators import gates, scoring, similar, tables
 from newsloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -62,10 +62,24 @@ def test_either_key_and_page(spark):
 
 
 def test_title_clusters(spark):
-    d = spark.createDataFrame([(1, "k", "央行宣布降准"), (2, "k", "央行今日宣布降准"), (3, "k", "足球比赛结果")], "id int, block string, title string")
-    leaders = {r.id: r.leader for r in scoring.cluster_titles(d, ["id"], "block").collect()}
-    assert leaders[1] == leaders[2] != leaders[3]
-    assert sorted(r.id for r in scoring.dedup_titles(d, ["id"], "block").collect()) == [1, 3]
+    rows = [(1, "k", "央行宣布降准", "a"), (2, "k", "央行今日宣布降准", "b"), (3, "k", "足球比赛结果", "a"), (4, None, "", None), (5, None, None, None), (6, None, "央行宣布降准", "a")]
+    d = spark.createDataFrame(rows, "id int, block string, title string, source string")
+    events = {r.id: (r.event_key, r.event_heat) for r in similar.event_clusters(d, "block", "id").collect()}
+    assert events == {1: ("央行宣布降准", 22), 2: ("央行宣布降准", 22), 3: ("足球比赛结果", 11), 4: (None, 10), 5: (None, 10), 6: ("央行宣布降准", 11)}
+    assert sorted(r.id for r in similar.dedup_titles(d, "block", "id").collect()) == [1, 3, 4, 5, 6]
+    assert similar.event_clusters(d.limit(0), "block", "id").count() == similar.dedup_titles(d.limit(0), "block", "id").count() == 0
+
+
+def test_leaders_over_many_rounds(spark):
+    # More leaders than a round settles, in one block, against the fold that they stand for.
+    names = ["".join(chr(0x4E00 + (i * 7 + k * (1 + i % 5)) % 60) for k in range(6)) for i in range(300)]
+    kept = []
+    for i, name in enumerate(names):
+        if not any(len(set(name) & set(names[j])) / len(set(name) | set(names[j])) > 0.7 for j in kept):
+            kept.append(i)
+    assert len(kept) > 2 * similar.WIDTH
+    d = spark.createDataFrame([(i, "k", n) for i, n in enumerate(names)], "id int, block string, title string")
+    assert sorted(r.id for r in similar.dedup_titles(d, "block", "id").collect()) == kept
 
 
 def test_entry_runs(spark):
