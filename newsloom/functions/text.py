@@ -325,3 +325,87 @@ def last_json_object(text: Column, schema: str) -> Column:
     parsed = [F.from_json(F.nullif(t, F.lit("")), schema, {"mode": "PERMISSIVE"}) for t in tries]
     usable = [F.when(F.try_parse_json(F.nullif(t, F.lit(""))).isNotNull() & F.trim(t).startswith("{"), p) for t, p in zip(tries, parsed, strict=True)]
     return F.coalesce(*usable)
+
+
+# Titles, markdown answers -------------------------------------------------------------------------------------------
+
+
+def clean_item_title(title: Column) -> Column:
+    """Without an aggregator's prefix; a title that is nothing else stays."""
+    t = trimmed(F.coalesce(title, F.lit("")))
+    return F.coalesce(F.nullif(trimmed(F.regexp_replace(t, f"(?i){fixed.TITLE_NOISE}", "")), F.lit("")), t)
+
+
+def category_name_key(name: Column) -> Column:
+    """Lower case, no white space."""
+    return F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), "[\\s　 ﻿]+", ""))
+
+
+def clean_markdown(line: Column) -> Column:
+    """Without marks of emphasis, code, headings, quotes and links, and without emoji."""
+    steps = [(r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"`([^`]+)`", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]", "")]
+    out = F.coalesce(line, F.lit(""))
+    for pattern, by in steps:
+        out = F.regexp_replace(out, pattern, by)
+    return trimmed(out)
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n+", -1), trimmed), lambda x: x != "")
+
+
+def _runs(parts: Column, starts: Callable[[Column, Column], Column], join: Callable[[Column], Column]) -> Column:
+    """join of every run of parts; starts(part, position) says where a run begins (the first part always does)."""
+
+    def cut(p: Column, at: Column) -> Column:
+        return F.transform(at, lambda s, k: join(F.slice(p, s, F.coalesce(F.get(at, k + 1), F.size(p) + 1) - s)))
+
+    def of(p: Column) -> Column:
+        marks = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | starts(x, F.get(p, i - 1)), i + 1)), lambda i: i.isNotNull())
+        return let(marks, lambda at: cut(p, at))
+
+    return let(parts, of)
+
+
+def markdown_sections(answer: Column) -> Column:
+    """array<struct<type, text>> of an answer: heading, bullet or para; neighbours of one type, headings apart, are one section.
+
+    Lines that only name sources go.  A null or empty answer has no sections.
+    """
+    source = lambda x: x.rlike(r"^参考来源[:：]") | x.rlike(r"(?i)^(?:参考|来源)[:：]?\s*(?:\d+[.、]\s*)?https?://")
+    heading, bullet = r"^#{1,6}\s+", r"^[-*]\s+"
+
+    def part(x: Column) -> Column:
+        kind = F.when(x.rlike(r"^\*\*[^*]+\*\*$") | x.rlike(heading), "heading").when(x.rlike(bullet), "bullet").otherwise("para")
+        body = F.when(kind == "heading", F.regexp_replace(x, heading, "")).when(kind == "bullet", F.regexp_replace(x, bullet, "")).otherwise(x)
+        return F.struct(kind.alias("type"), clean_markdown(body).alias("text"))
+
+    parts = F.filter(F.transform(F.filter(_lines(answer), lambda x: ~source(x)), part), lambda x: x["text"] != "")
+    joined = lambda run: F.struct(F.get(run, F.lit(0))["type"].alias("type"), F.array_join(F.transform(run, lambda x: x["text"]), "\n").alias("text"))
+    return _runs(parts, lambda x, before: (x["type"] == "heading") | (x["type"] != before["type"]), joined)
+
+
+def answer_points(answer: Column) -> Column:
+    """struct<summary, items: array<struct<title, body>>> of a search answer.
+
+    A short first line without a number is the summary.  A line "title：body" begins an item, any other line continues the item before it.
+    """
+    numbered, pattern = r"^\d+[.、]", r"(?s)^(?:\d+[.、]\s*)?(.+?)[:：]\s*(.*)$"
+
+    def of(lines: Column) -> Column:
+        first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+        head = ~first.rlike(numbered) & (F.length(first) < 40)
+        rest = F.when(head & (F.size(lines) > 0), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+
+        def part(x: Column) -> Column:
+            title = F.regexp_extract(x, pattern, 1)
+            begins = x.rlike(pattern) & (F.length(title) > 0) & (F.length(title) < 60)
+            return F.struct(begins.alias("begins"), F.when(begins, title).otherwise("").alias("title"), F.substring(F.when(begins, F.regexp_extract(x, pattern, 2)).otherwise(x), 1, 300).alias("body"))
+
+        def item(run: Column) -> Column:
+            body = F.array_join(F.filter(F.transform(run, lambda x: x["body"]), lambda x, i: (i > 0) | (x != "")), "\n")
+            return F.struct(F.get(run, F.lit(0))["title"].alias("title"), body.alias("body"))
+
+        return F.struct(F.when(head, first).otherwise("").alias("summary"), _runs(F.transform(rest, part), lambda x, _: x["begins"], item).alias("items"))
+
+    return let(F.transform(_lines(answer), clean_markdown), of)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 
 
 def ready_to_replace(queue: DataFrame, in_flight: list[str], done: str = "done") -> DataFrame:
@@ -149,3 +149,82 @@ def summary_of(ai: Column, desc: Column, content: Column, title: Column, shortes
     paragraph = F.get(F.filter(F.transform(F.split(F.coalesce(content, none), "\n", -1), text.trimmed), lambda x: F.length(x) >= shortest), F.lit(0))
     made = lambda value, source: F.when(value.isNotNull(), F.struct(value.alias("summary"), F.lit(source).alias("source")))
     return F.coalesce(made(clean(ai), "ai"), made(clean(desc), "desc"), made(clean(paragraph), "body"), made(F.coalesce(clean(title), none), "title"))
+
+
+# Shapes and queues ----------------------------------------------------------------------------------------------------
+
+
+def shown_content(content: Column, content_source: Column) -> Column:
+    """struct<content, content_source, blocked>: texts of other than the allowed sources are held back."""
+    allowed = F.coalesce(content_source.isin(*fixed.SHOWN_SOURCES), F.lit(False))
+    shown = F.when(allowed, F.coalesce(content, F.lit(""))).otherwise("")
+    return F.struct(shown.alias("content"), F.when(allowed, content_source).otherwise(fixed.HELD_BACK).alias("content_source"), (~allowed).alias("blocked"))
+
+
+def filled(value: Column, *others: Column) -> Column:
+    """The first that is neither null nor empty, else empty."""
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in (value, *others)], F.lit(""))
+
+
+def item_id(given: Column, source_id: Column, source_type: Column, url_key: Column) -> Column:
+    """The given id, else source and the first 16 characters of the URL's key."""
+    return filled(given, F.concat_ws("_", filled(source_id, source_type), F.substring(F.coalesce(url_key, F.lit("")), 1, 16)))
+
+
+def in_focus(tags: Column, focus: Column) -> Column:
+    """Whether an item has a tag of the profile."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.arrays_overlap(F.coalesce(tags, none), F.coalesce(focus, none)), F.lit(False))
+
+
+def story_blocks(happened: Column, prediction: Column) -> Column:
+    """array<struct<type, text>>: paragraphs as text, then the prediction; one that stands first before others is text."""
+    clean = lambda x: text.trimmed(F.coalesce(x, F.lit("")))
+    paragraphs = F.filter(F.transform(F.split(clean(happened), r"\n{2,}", -1), text.trimmed), lambda x: x != "")
+    block = lambda kind: lambda x: F.struct(F.lit(kind).alias("type"), x.alias("text"))
+    said = F.filter(F.array(clean(prediction)), lambda x: x != "")
+    return demoted(F.concat(F.transform(paragraphs, block("text")), F.transform(said, block("predict"))))
+
+
+def demoted(blocks: Column) -> Column:
+    """Blocks where a prediction in the first place, with others behind it, counts as text."""
+    first = lambda x, i: (i == 0) & (x["type"] == "predict") & (F.size(blocks) > 1)
+    return F.transform(blocks, lambda x, i: F.struct(F.when(first(x, i), "text").otherwise(x["type"]).alias("type"), x["text"].alias("text")))
+
+
+def detail(row: dict[str, Column]) -> Column:
+    """A detail without nulls: names, times and the source of the content fall back on what there is."""
+    empty = lambda name: F.coalesce(row.get(name, F.lit(None)).cast("string"), F.lit(""))
+    of = F.when((empty("content_source") == "") & (empty("summary") != ""), "ai_interpretation").otherwise(empty("content_source"))
+    plain = [empty(n).alias(n) for n in ("id", "title", "summary", "content", "category", "source", "source_url")]
+    return F.struct(*plain, of.alias("content_source"), filled(empty("source_name"), empty("source")).alias("source_name"), filled(empty("publish_time"), empty("time")).alias("publish_time"))
+
+
+def appended_new(page: DataFrame, shown: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Rows of a page whose key is not shown yet, each key once; rows without a key go."""
+    fresh = page.where(F.col(key).isNotNull()).join(shown.select(key), key, "left_anti")
+    return fresh.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__n") == 1).drop("__n")
+
+
+def claimed(queue: DataFrame, as_of: int, n: int, key: str = "id") -> DataFrame:
+    """The batch that a worker takes: the oldest n that are pending or whose claim ran out; of these, no item that failed too often or a short time ago."""
+    free = (F.col("status") == "pending") | ((F.col("status") == "processing") & (F.col("claimed_at") < as_of - fixed.CLAIM_LEASE))
+    cool = (F.coalesce("failed_at", F.lit(0)) == 0) | (as_of - F.col("failed_at") >= fixed.RETRY_COOLDOWN)
+    return oldest_batch(queue.where(free), [F.col("created"), F.col(key)], n).where((F.coalesce("retries", F.lit(0)) < fixed.MOST_RETRIES) & cool)
+
+
+def after_attempt(queue: DataFrame, outcomes: DataFrame, as_of: int, key: str = "id") -> DataFrame:
+    """The queue after a batch; outcomes: key and one of done, failed, postponed.  Three failures or twenty postponements discard."""
+    q = queue.join(outcomes.select(key, F.col("outcome").alias("__o")), key, "left")
+    o = F.coalesce("__o", F.lit(""))
+    retries = F.coalesce("retries", F.lit(0)) + (o == "failed").cast("int")
+    skips = F.coalesce("skips", F.lit(0)) + (o == "postponed").cast("int")
+    over = ((o == "failed") & (retries >= fixed.MOST_RETRIES)) | ((o == "postponed") & (skips >= fixed.MOST_SKIPS))
+    status = F.when(o == "done", "done").when(over, "discarded").when(o.isin("failed", "postponed"), "pending").otherwise(F.col("status"))
+    changed = {"status": status, "retries": retries, "skips": skips, "failed_at": F.when(o == "failed", F.lit(as_of)).otherwise(F.col("failed_at"))}
+    return q.select(*[changed[c].cast(kind).alias(c) if c in changed else F.col(c) for c, kind in queue.dtypes])
+
+
+def pending_verdict(fetched: Column, failures: Column, as_of: Column) -> Column:
+    """Why a pending item is rejected, or null: it waited over two days, or failed three times."""
+    return F.when(as_of - fetched > fixed.STALE_PENDING, "stale-pending(>48h)").when(F.coalesce(failures, F.lit(0)) >= fixed.MOST_RETRIES, "llm-fail-retry-exhausted")

@@ -66,7 +66,7 @@ def _led(classes: DataFrame, similarity: float) -> DataFrame:
         met.select("block", "chars", "first", found.alias("leader")).write.parquet(f"{place}/round-{number}")
         waiting = spark.read.schema(schema).parquet(f"{place}/round-{number}").where("leader is null").drop("leader")
         if waiting.isEmpty():
-            return spark.read.schema(schema).parquet(f"{place}/round-*").where("leader is not null")
+            return spark.read.schema(schema).parquet(*[f"{place}/round-{k}" for k in range(number + 1)]).where("leader is not null")
         number += 1
 
 

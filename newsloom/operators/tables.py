@@ -255,3 +255,24 @@ def brief_markdown(title: Column, summary: Column, source: Column, tags: Column)
     """A card of the brief; parts that are missing leave no line."""
     line = lambda label, c: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, F.concat(F.lit(f"**{label}**：") if label else F.lit("### "), c))
     return F.concat_ws("\n", line("", title), line("摘要", summary), line("来源", source), line("标签", F.array_join(tags, "、")))
+
+
+def with_engagement(items: DataFrame, events: DataFrame, key: str, favourite: Column, browse: Column) -> DataFrame:
+    """items with engagement: three a favourite and one a view of the events of their key; none is 0."""
+    points = events.groupBy(F.col(key).alias("__k")).agg((F.count_if(favourite) * 3 + F.count_if(browse)).alias("__points"))
+    return items.join(points, F.col(key) == F.col("__k"), "left").withColumn("engagement", F.coalesce("__points", F.lit(0))).drop("__k", "__points")
+
+
+def unnested(briefs: DataFrame, items: str = "items") -> DataFrame:
+    """The items of briefs as rows; a brief without items has none."""
+    return briefs.select(F.explode(items).alias("__i")).where("__i is not null").select("__i.*")
+
+
+def task_log(tasks: DataFrame, log: DataFrame, task: str, body: str, at: str, tie: str, newest: int = 3) -> DataFrame:
+    """The newest log blocks that name each task, and their rank.
+
+    A task's name is made of ASCII letters, digits and hyphens and counts only where none of these stands beside it, so
+    a block names the tasks that equal one of its runs of such characters: an equal key, no comparison of all pairs.
+    """
+    named = log.select(at, tie, F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit("([A-Za-z0-9-]+)")))).alias(task))
+    return top_per_group(tasks.select(task).distinct().join(named, task), task, [F.desc(at), F.desc(tie)], newest)

@@ -1,0 +1,134 @@
+"""Queries over details, answers, queues, changelogs and logs; rule cases go by doc_id."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import publish, tables
+from ..sources import exports, html
+from .registry import query
+from .rules import AS_OF, case
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'New model' WHEN 1 THEN 'AINews]' WHEN 2 THEN '' ELSE 'On AINews] today' END AS title,
+  CASE doc_id % 3 WHEN 0 THEN 'techworld' WHEN 1 THEN '' ELSE '科技新闻' END AS category FROM documents""")
+def item_titles_cleaned(t):
+    title = text.clean_item_title(case("ainews]  New model ", "AINews]", None, " On AINews] today"))
+    return t("documents").select("doc_id", title.alias("title"), text.category_name_key(case(" Tech World", None, "科技　新闻")).alias("category"))
+
+
+ANSWER = "**要点**\n\n- one `a`\n* two [b](http://x)\n参考来源：http://y\nplain *c* ☀\nmore\n# Next\n## Last"
+POINTS = "今天的要点\n1. 甲：**乙** 丙\n续行\n丁：戊\n"
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'heading=要点|bullet=one a/two b|para=plain c/more|heading=Next|heading=Last' WHEN 1 THEN '' ELSE 'para=only' END AS sections,
+  CASE doc_id % 4 WHEN 0 THEN '今天的要点' ELSE '' END AS summary, CASE doc_id % 4 WHEN 0 THEN '甲=乙 丙/续行|丁=戊' WHEN 1 THEN '' WHEN 2 THEN '=' || repeat('x', 40) ELSE 'a=b' END AS points FROM documents""")
+def markdown_answers(t):
+    sections = text.markdown_sections(case(ANSWER, None, " only \n来源: https://z.org"))
+    points = text.answer_points(case(POINTS, None, "x" * 40, "2、a: b"))
+    shown = lambda parts, a, b: F.array_join(F.transform(parts, lambda x: F.concat(x[a], F.lit("="), F.regexp_replace(x[b], "\n", "/"))), "|")
+    return t("documents").select("doc_id", shown(sections, "type", "text").alias("sections"), points["summary"].alias("summary"), shown(points["items"], "title", "body").alias("points"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN coalesce(text, '') ELSE '' END AS shown, CASE doc_id % 4 WHEN 0 THEN 'ai_interpretation' WHEN 1 THEN 'official_rss' WHEN 2 THEN 'ai_summary' ELSE 'r1_blocked_fulltext' END AS shown_source,
+  doc_id % 4 = 3 AS blocked, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE coalesce(nullif(source, ''), 'rss') || '_0123456789abcdef' END AS id, doc_id % 3 = 0 AS focus,
+  'T' AS title, CASE WHEN doc_id % 2 = 0 THEN 'ai_interpretation' ELSE 'rss' END AS content_source, coalesce(source, '') AS source_name, '10:00' AS publish_time FROM documents""")
+def detail_shapes(t):
+    shown = publish.shown_content(F.col("text"), case("ai_interpretation", "official_rss", "ai_summary", "cached"))
+    given = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string"))
+    tags, focus = case(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c")), F.lit(None).cast("array<string>")), F.array(F.lit("b"))
+    detail = publish.detail({"title": F.lit("T"), "summary": F.lit("s"), "content_source": case("", "rss"), "source": F.col("source"), "time": F.lit("10:00")})
+    return t("documents").select(
+        "doc_id", shown["content"].alias("shown"), shown["content_source"].alias("shown_source"), shown["blocked"].alias("blocked"), publish.item_id(given, F.col("source"), F.lit("rss"), F.lit("0123456789abcdef0123")).alias("id"),
+        publish.in_focus(tags, focus).alias("focus"), *[detail[n].alias(n) for n in ("title", "content_source", "source_name", "publish_time")],
+    )
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text=a|text=b|predict=p' WHEN 1 THEN 'predict=p' WHEN 2 THEN 'text=a' ELSE '' END AS blocks, CASE WHEN doc_id % 2 = 0 THEN 'text,text' ELSE 'predict' END AS demoted FROM documents")
+def story_block_rules(t):
+    blocks = publish.story_blocks(case(" a\n\n\nb ", "", "a", None), case("p", " p", None, ""))
+    one = lambda kind: F.struct(F.lit(kind).alias("type"), F.lit("x").alias("text"))
+    first = publish.demoted(case(F.array(one("predict"), one("text")), F.array(one("predict"))))
+    shown = F.array_join(F.transform(blocks, lambda x: F.concat_ws("=", x["type"], x["text"])), "|")
+    return t("documents").select("doc_id", shown.alias("blocks"), F.array_join(F.transform(first, lambda x: x["type"]), ",").alias("demoted"))
+
+
+def _queue(t):
+    n = F.col("doc_id")
+    return t("documents").select(
+        n.alias("id"), case("pending", "processing", "done", "pending").alias("status"), (F.lit(AS_OF) - (n % 11) * 60).cast("long").alias("claimed_at"), (n * 7 % 1000).alias("created"),
+        (n % 5).cast("int").alias("retries"), F.when(n % 3 == 0, F.lit(AS_OF) - (n % 20) * 60).cast("long").alias("failed_at"), (n % 21).cast("int").alias("skips"),
+    )
+
+
+QUEUE = f"""q AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'pending' END AS status, {AS_OF} - (doc_id % 11) * 60 AS claimed_at, doc_id * 7 % 1000 AS created,
+  doc_id % 5 AS retries, CASE WHEN doc_id % 3 = 0 THEN {AS_OF} - (doc_id % 20) * 60 END AS failed_at, doc_id % 21 AS skips FROM documents)"""
+
+
+@query(f"""WITH {QUEUE}, b AS (SELECT * FROM q WHERE status = 'pending' OR (status = 'processing' AND claimed_at < {AS_OF} - 300) ORDER BY created, id LIMIT 50)
+SELECT id FROM b WHERE retries < 3 AND (failed_at IS NULL OR {AS_OF} - failed_at >= 600)""")
+def queue_claims(t):
+    return publish.claimed(_queue(t), AS_OF, 50).select("id")
+
+
+@query(f"""WITH {QUEUE}, o AS (SELECT *, CASE id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'postponed' WHEN 2 THEN 'done' END AS o FROM q),
+n AS (SELECT id, status, o, CAST(retries + CASE WHEN o = 'failed' THEN 1 ELSE 0 END AS INT) AS retries, CAST(skips + CASE WHEN o = 'postponed' THEN 1 ELSE 0 END AS INT) AS skips, CASE WHEN o = 'failed' THEN {AS_OF} ELSE failed_at END AS failed_at FROM o)
+SELECT id, retries, skips, CAST(coalesce(failed_at, 0) AS BIGINT) AS failed_at, CASE WHEN o = 'done' THEN 'done' WHEN (o = 'failed' AND retries >= 3) OR (o = 'postponed' AND skips >= 20) THEN 'discarded' WHEN o IN ('failed', 'postponed') THEN 'pending' ELSE status END AS status FROM n""")
+def queue_after_attempts(t):
+    outcomes = t("documents").where("doc_id % 6 < 3").select(F.col("doc_id").alias("id"), F.element_at(F.array(*[F.lit(x) for x in ("failed", "postponed", "done")]), (F.col("doc_id") % 6 + 1).cast("int")).alias("outcome"))
+    return publish.after_attempt(_queue(t), outcomes, AS_OF).select("id", "retries", "skips", F.coalesce("failed_at", F.lit(0)).alias("failed_at"), "status")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 60 > 48 THEN 'stale-pending(>48h)' WHEN doc_id % 5 >= 3 THEN 'llm-fail-retry-exhausted' END AS reason FROM documents")
+def pending_rejections(t):
+    return t("documents").select("doc_id", publish.pending_verdict(F.lit(AS_OF) - (F.col("doc_id") % 60) * 3600, (F.col("doc_id") % 5), F.lit(AS_OF)).alias("reason"))
+
+
+@query("""SELECT doc_id, 'Release ' || doc_id AS title, 'https://x.org/log#release-' || doc_id AS url, '2024-01-05' AS date, 'Date: 2024-1-5 Release ' || doc_id || ' first' AS content FROM documents
+UNION ALL SELECT doc_id, '新版本', 'https://x.org/log#新版本', '2023-12-31', 'Date: 2023-12-31 新版本 b' FROM documents WHERE false
+UNION ALL SELECT doc_id, 'Minor fix!', 'https://x.org/log#minor-fix', '2023-11-02', 'Date: 2023-11-02 Minor fix! c' FROM documents""")
+def changelog_entries_parsed(t):
+    title = F.concat(F.lit("Release "), F.col("doc_id").cast("string"))
+    page = F.concat(F.lit("<p>intro</p><h2 id=a>Date: 2024-1-5</h2><h3>"), title, F.lit("</h3><p>first</p><h2>Date: 2023-12-31</h2><h3>新版本</h3>b<H2>Date: 2023-11-02</H2><h3>Minor <b>fix!</b></h3>c<h2>Date: 2023-10-01</h2><h3>"), title, F.lit("</h3>again"))
+    return t("documents").select("doc_id", F.explode(html.changelog_entries(page, F.lit("https://x.org/log"))).alias("e")).select("doc_id", "e.*")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def append_only_new(t):
+    d = t("documents").select("doc_id", "lang")
+    return publish.appended_new(d.unionByName(d.where("doc_id % 3 = 0")), t("labels").select("doc_id"), "doc_id", [F.col("lang")]).select("doc_id")
+
+
+@query("""WITH e AS (SELECT user_id, 3 * count_if(event_type = 'purchase') + count_if(event_type = 'view') AS points FROM events GROUP BY user_id)
+SELECT doc_id, CAST(coalesce(points, 0) AS BIGINT) AS engagement FROM documents LEFT JOIN e ON user_id = doc_id""")
+def items_with_engagement(t):
+    items = t("documents").select(F.col("doc_id").alias("user_id"))
+    return tables.with_engagement(items, t("events"), "user_id", F.col("event_type") == "purchase", F.col("event_type") == "view").select(F.col("user_id").alias("doc_id"), "engagement")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS found_in FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0""")
+def brief_item_lookup(t):
+    d = t("documents").select("doc_id", "source")
+    brief = lambda rows: tables.unnested(rows.groupBy("source").agg(F.collect_list(F.struct("doc_id", "source")).alias("items")))
+    return tables.lookup_chain(d, [d.where("doc_id % 5 = 0"), brief(d.where("doc_id % 3 = 0")), brief(d.where("doc_id % 2 = 0"))], "doc_id").select("doc_id", "found_in")
+
+
+@query("""WITH l AS (SELECT doc_id, regexp_extract_all('see T-' || doc_id % 7 || ', xT-1; T-' || doc_id % 5 || '-b (T-' || doc_id % 3 || ')', '[A-Za-z0-9-]+') AS names FROM documents),
+m AS (SELECT task, doc_id FROM (SELECT 'T-' || unnest(range(8)) AS task) JOIN l ON list_contains(names, task))
+SELECT task, doc_id, CAST(row_number() OVER (PARTITION BY task ORDER BY doc_id DESC) AS INT) AS rank FROM m QUALIFY rank <= 3""")
+def task_log_newest(t):
+    n = lambda k: (F.col("doc_id") % k).cast("string")
+    log = t("documents").select("doc_id", F.col("doc_id").alias("at"), F.concat(F.lit("see T-"), n(7), F.lit(", xT-1; T-"), n(5), F.lit("-b (T-"), n(3), F.lit(")")).alias("body"))
+    tasks = t("documents").where("doc_id < 8").select(F.concat(F.lit("T-"), F.col("doc_id").cast("string")).alias("task"))
+    return tables.task_log(tasks, log, "task", "body", "at", "doc_id").select("task", "doc_id", "rank")
+
+
+@query(f"""SELECT CASE WHEN doc_id % 2 = 0 THEN 'https://x.org/' || doc_id ELSE '' END AS url, CASE WHEN doc_id % 3 = 0 THEN '(无标题)' ELSE 'T' END AS title, CAST(CASE WHEN doc_id % 2 = 0 THEN {AS_OF} ELSE 0 END AS BIGINT) AS published,
+  left(coalesce(nullif(text, ''), 'd'), 5000) AS content, left(regexp_replace(coalesce(nullif(text, ''), 'd'), '\\s+', ' ', 'g'), 300) AS summary FROM documents""")
+def export_items_normalised(t):
+    rows = t("documents").select(
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://x.org/"), F.col("doc_id").cast("string"))).alias("link"), case("", "T", "T").alias("title"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit(AS_OF)).alias("publish_time"), F.col("text").alias("content"), F.lit("d").alias("digest"),
+    )
+    return exports.export_items(rows).withColumn("published", F.coalesce("published", F.lit(0)))

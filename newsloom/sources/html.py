@@ -31,3 +31,27 @@ def links(html: Column, most: int = 30) -> Column:
     hrefs, titles = (F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(k)) for k in (1, 2))
     both = F.arrays_zip(hrefs.alias("href"), F.transform(titles, plain).alias("title"))
     return F.slice(F.filter(both, lambda x: F.length(x["title"]) > 0), 1, most)
+
+
+DATED = r"(?i)<h2[^>]*>\s*Date:\s*(\d{4})-(\d{1,2})-(\d{1,2})"
+
+
+def changelog_entries(html: Column, base: Column, most: int = 30) -> Column:
+    """array<struct<title, url, date, content>> of a page of dated blocks: one entry a block, by its first heading, each address once.
+
+    A page without a dated heading has none; a null page too.
+    """
+    page = F.coalesce(html, F.lit(""))
+    blocks = F.filter(F.split(page, f"(?={DATED})", -1), lambda b: b.rlike(f"^{DATED}"))
+
+    def entry(b: Column) -> Column:
+        day = F.concat_ws("-", F.regexp_extract(b, DATED, 1), F.lpad(F.regexp_extract(b, DATED, 2), 2, "0"), F.lpad(F.regexp_extract(b, DATED, 3), 2, "0"))
+        title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(b, r"(?is)<h3[^>]*>(.*?)</h3>", 1), "<[^>]+>", " "), "​", ""), r"\s+", " "))
+        slug = F.regexp_replace(F.regexp_replace(F.lower(title), r"[^a-z0-9\x{4e00}-\x{9fa5}]+", "-"), "^-|-$", "")
+        slug = F.coalesce(F.nullif(slug, F.lit("")), F.substring(F.sha2(title, 256), 1, 12))
+        content = F.substring(F.trim(F.regexp_replace(F.regexp_replace(b, "<[^>]+>", " "), r"\s+", " ")), 1, 500)
+        return F.struct(title.alias("title"), F.concat(base, F.lit("#"), slug).alias("url"), day.alias("date"), content.alias("content"))
+
+    found = F.filter(F.transform(blocks, entry), lambda e: F.length(e["title"]) >= 4)
+    first = lambda all_: F.filter(all_, lambda e, i: F.array_position(F.transform(all_, lambda x: x["url"]), e["url"]) == i + 1)
+    return F.slice(text.let(found, first), 1, most)
