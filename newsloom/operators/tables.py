@@ -276,3 +276,9 @@ def task_log(tasks: DataFrame, log: DataFrame, task: str, body: str, at: str, ti
     """
     named = log.select(at, tie, F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit("([A-Za-z0-9-]+)")))).alias(task))
     return top_per_group(tasks.select(task).distinct().join(named, task), task, [F.desc(at), F.desc(tie)], newest)
+
+
+def insert_absent(registry: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """The registry and the seeds whose key it has not, each key once; what stands in the registry stays as it is.  Seeds of one key count as equal: any of them is taken."""
+    new = seeds.where(F.col(key).isNotNull()).join(registry.select(key), key, "left_anti")
+    return registry.unionByName(new.dropDuplicates([key]).select(*registry.columns))

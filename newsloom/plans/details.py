@@ -132,3 +132,16 @@ def export_items_normalised(t):
         F.when(F.col("doc_id") % 2 == 0, F.lit(AS_OF)).alias("publish_time"), F.col("text").alias("content"), F.lit("d").alias("digest"),
     )
     return exports.export_items(rows).withColumn("published", F.coalesce("published", F.lit(0)))
+
+
+@query("""SELECT doc_id, 'https://x.org/a/' || doc_id AS url, 'First one' AS title FROM documents UNION ALL SELECT doc_id, 'http://y.org/b', 'Third one' FROM documents""")
+def heading_links_parsed(t):
+    n = F.col("doc_id").cast("string")
+    page = F.concat(F.lit("<h2 class=t> <a class='k' href='/a/"), n, F.lit("'>First <b>one</b></a></h2><h3><a href=\"/c\">abc</a></h3><h3><a href=\"https://x.org/a/"), n, F.lit("\">Again one</a></h3><H4><a href=\"http://y.org/b\">Third\none</a></H4><h2><a href=\"/d\">Unclosed</a></h3>"))
+    return t("documents").select("doc_id", F.explode(html.heading_links(page, F.lit("https://x.org/list"))).alias("e")).select("doc_id", "e.*")
+
+
+@query("SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id % 4 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def seeds_inserted_if_absent(t):
+    seeds = t("documents").where("doc_id % 4 = 0").select("doc_id", F.lit(0).alias("quality"))
+    return tables.insert_absent(t("labels").select("doc_id", "quality"), seeds.unionByName(seeds), "doc_id")

@@ -55,3 +55,22 @@ def changelog_entries(html: Column, base: Column, most: int = 30) -> Column:
     found = F.filter(F.transform(blocks, entry), lambda e: F.length(e["title"]) >= 4)
     first = lambda all_: F.filter(all_, lambda e, i: F.array_position(F.transform(all_, lambda x: x["url"]), e["url"]) == i + 1)
     return F.slice(text.let(found, first), 1, most)
+
+
+HEADING_ANCHOR = r"(?is)<h([1-4])[^>]*>\s*<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>\s*</h\1>"
+
+
+def heading_links(html: Column, base: Column, most: int = 30) -> Column:
+    """array<struct<url, title>> of links that are headings, each address once; titles have four characters or more.
+
+    A path from the root is set on the base's host.  A null page has no links.
+    """
+    page = F.coalesce(html, F.lit(""))
+    hrefs, titles = (F.regexp_extract_all(page, F.lit(HEADING_ANCHOR), F.lit(k)) for k in (2, 3))
+    host = F.regexp_extract(base, "^(https?://[^/]+)", 1)
+    url = lambda h: F.when(h.rlike("(?i)^https?://"), h).otherwise(F.concat(host, F.when(h.startswith("/"), h).otherwise(F.concat(F.lit("/"), h))))
+    spaced = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " "))
+    both = F.zip_with(hrefs, titles, lambda h, x: F.struct(url(F.trim(h)).alias("url"), spaced(x).alias("title")))
+    long = F.filter(both, lambda x: F.length(x["title"]) >= 4)
+    first = lambda all_: F.filter(all_, lambda e, i: F.array_position(F.transform(all_, lambda x: x["url"]), e["url"]) == i + 1)
+    return F.slice(text.let(long, first), 1, most)
