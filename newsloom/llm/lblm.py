@@ -16,8 +16,9 @@ tokens of larger classes, from common weights.  After a round the changes are
 averaged row by row, by how often a task met the row.  Rounds take disjoint parts
 of the training documents, so every one is used once.
 
-Both levels are normalised exactly, by matrix products over blocks of tokens: all
-classes first, then the tokens of each class with the words of it.
+Both levels are normalised exactly, by matrix products over blocks: all classes
+first, once for each distinct pair of context words of a stretch, then the
+distinct triples of each class with the words of it.
 
 Counts of all words stay a table.  The words above the floor travel to the tasks,
 ``FREQUENT`` of them at most: where more are met ``FLOOR`` times, a histogram of
@@ -34,15 +35,17 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, written
-from .ngrams import chunks
+from .ngrams import ranges
 
 #: A word met less often has no vector of its own.
 FLOOR = 5
@@ -57,8 +60,10 @@ FREQUENT = 150_000
 TRAINER_TOKENS = 1_000_000
 #: Rows of weights that travel as one.
 ROWS = 64
-#: Tokens normalised at once.
+#: Contexts normalised at once.
 BLOCK = 512
+#: exp() of twice this is finite in float32, and so is its inverse.
+SAFE = 40
 #: Distinct words a task counts before it hands them on.
 COUNTED = 200_000
 OTHER, END = 0, 1
@@ -66,36 +71,37 @@ OTHER, END = 0, 1
 END_WORD = ""
 
 
-class Known(dict):
-    """Word to index; -1 for others."""
+def _tokens(column: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """Ranges of texts: begin, end, distinct words, the place of each token among these (their number for the end of a text), tokens of each text."""
+    for a, b in ranges(column):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.slice(a, b - a), "")))
+        parts = lists.flatten()
+        words = parts.dictionary_encode()
+        # A text that begins or ends with white space has an empty part there.
+        full = np.flatnonzero(pc.binary_length(parts).to_numpy(zero_copy_only=False))
+        doc = np.repeat(np.arange(b - a), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[full]
+        tokens = np.full(len(full) + b - a, len(words.dictionary))
+        tokens[np.arange(len(full)) + doc] = words.indices.to_numpy(zero_copy_only=False)[full]
+        yield a, b, words.dictionary, tokens, np.bincount(doc, minlength=b - a) + 1
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
 
-
-def _tokens(column: pa.Array) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
-    """Ranges of texts with their words, each text's followed by None, and the number of tokens of each text."""
-    for a, b, some in chunks(column):
-        words: list = []
-        counts = np.zeros(b - a, np.int64)
-        for k, text in enumerate(some):
-            w = text.lower().split()
-            words += w
-            words.append(None)
-            counts[k] = len(w) + 1
-        yield a, b, words, counts
+def _places(words: pa.Array, known: pa.Array, tokens: np.ndarray) -> np.ndarray:
+    """The place of each token among known words, -1 for others; their number for the end of a text."""
+    found = pc.fill_null(pc.index_in(words, known), -1).to_numpy(zero_copy_only=False)
+    return np.append(found, len(known)).astype(np.int64)[tokens]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
     def said() -> pa.RecordBatch:
-        words = pa.array([w.decode() if w else END_WORD for w in seen], pa.string())
-        return pa.RecordBatch.from_arrays([words, pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for _, _, words, _ in _tokens(batch.column(0)):
-            seen.update(words)
+        for _, _, words, tokens, _ in _tokens(batch.column(0)):
+            for word, n in zip([*words.to_pylist(), END_WORD], np.bincount(tokens, minlength=len(words) + 1).tolist(), strict=True):
+                if n:
+                    seen[word] += n
             if len(seen) >= COUNTED:
                 yield said()
                 seen.clear()
@@ -151,17 +157,24 @@ def _contexts(slots: np.ndarray, counts: np.ndarray, start: int) -> tuple[np.nda
     return near, far
 
 
+@lru_cache(8)
+def _flat(n: int) -> np.ndarray:
+    """Where each number of n rows stands in a flat array."""
+    return np.arange(n * DIMS).reshape(n, DIMS)
+
+
 def _summed(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of x over each of n places, in one pass over the flat array."""
-    wide = x.shape[1]
-    return np.bincount((at[:, None] * wide + np.arange(wide)).ravel(), x.ravel(), n * wide).reshape(n, wide).astype(np.float32)
+    """Sums of the rows of x, DIMS wide, over each of n places, in one pass over the flat array."""
+    return np.bincount(_flat(1 << n.bit_length()).take(at, 0).ravel(), x.ravel(), n * DIMS).reshape(n, DIMS).astype(np.float32)
 
 
-def _scattered(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows of at, the sums of x over each, and how often each stands."""
-    rows, back = np.unique(at, return_inverse=True)
-    back = back.reshape(-1)
-    return rows, _summed(back, x, len(rows)), np.bincount(back, minlength=len(rows))
+def _distinct(at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of at, and where in them each stands; place: an integer for every row there is, of any value."""
+    here = np.arange(len(at))
+    place[at] = here
+    last = place.take(at)  # where each row stands last: no sorting
+    kept = last == here
+    return at[kept], (np.cumsum(kept) - 1).take(last)
 
 
 def nce_steps(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, state: dict[str, np.ndarray], rng: np.random.Generator, rate: float = 0.1) -> None:
@@ -172,6 +185,7 @@ def nce_steps(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near:
     log_noise = np.log(NOISE * noise).astype(np.float32)
     heap = np.cumsum(noise)
     n_classes = len(p["word"])
+    place = np.zeros(len(p["context"]), np.int64)
 
     def step(name: str, rows: np.ndarray, g: np.ndarray) -> None:
         squares = state[name].take(rows) + np.einsum("ij,ij->i", g, g) / DIMS
@@ -187,17 +201,16 @@ def nce_steps(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near:
         rw, rn = p["word"][w], p["word"][drawn]
         over = p["bias"] - log_noise
         true = np.einsum("ij,ij->i", h, rw) + over[w]
-        false = h @ rn.T
-        false += over[drawn]
         gt = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        gf = np.negative(np.clip(false, -30, 30, out=false), out=false)
+        gf = h @ -rn.T
+        gf -= over[drawn]
+        np.clip(gf, -30, 30, out=gf)
         np.exp(gf, out=gf)
         gf += 1
         np.divide(-1, gf, out=gf)
         gh = gt[:, None] * rw + gf @ rn
-        grads = {"word": _summed(w, gt[:, None] * h, n_classes), "bias": np.bincount(w, gt, n_classes)}
-        np.add.at(grads["word"], drawn, gf.T @ h)
-        np.add.at(grads["bias"], drawn, gf.sum(0))
+        met = np.concatenate([w, drawn])
+        grads = {"word": _summed(met, np.concatenate([gt[:, None] * h, gf.T @ h]), n_classes), "bias": np.bincount(met, np.concatenate([gt, gf.sum(0)]), n_classes)}
 
         at = np.flatnonzero(kinds.size[w] > 1)
         if len(at):
@@ -209,16 +222,18 @@ def nce_steps(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near:
             g = -1 / (1 + np.exp(-x))
             g[:, 0] += 1
             gh[at] += np.einsum("mk,mki->mi", g, r)
-            rows, sums, times = _scattered(ids.ravel(), np.concatenate([(g[:, :, None] * hs[:, None, :]).reshape(-1, DIMS), g.reshape(-1, 1)], 1))
-            step("inner", rows, sums[:, :DIMS])
-            state["inner_bias"][rows] += sums[:, DIMS] ** 2
-            p["inner_bias"][rows] += (rate * sums[:, DIMS] / np.sqrt(state["inner_bias"][rows] + 1e-4)).astype(np.float32)
-            state["met_inner"][rows] += times
+            rows, back = _distinct(ids.ravel(), place)
+            step("inner", rows, _summed(back, (g[:, :, None] * hs[:, None, :]).reshape(-1, DIMS), len(rows)))
+            bias = np.bincount(back, g.ravel())
+            squares = state["inner_bias"].take(rows) + bias**2
+            state["inner_bias"][rows] = squares
+            p["inner_bias"][rows] = p["inner_bias"].take(rows) + rate * bias / np.sqrt(squares + 1e-4)
+            state["met_inner"][rows] = state["met_inner"].take(rows) + np.bincount(back)
 
         grads["near"], grads["far"] = qc.T @ gh, qd.T @ gh
-        rows, sums, times = _scattered(np.concatenate([c, d]), np.concatenate([gh @ p["near"].T, gh @ p["far"].T]))
-        step("context", rows, sums)
-        state["met_context"][rows] += times
+        rows, back = _distinct(np.concatenate([c, d]), place)
+        step("context", rows, _summed(back, np.concatenate([gh @ p["near"].T, gh @ p["far"].T]), len(rows)))
+        state["met_context"][rows] = state["met_context"].take(rows) + np.bincount(back)
         for k, g in grads.items():
             state[k] += g * g
             p[k] += (rate * g / np.sqrt(state[k] + 1e-4)).astype(np.float32)
@@ -229,30 +244,41 @@ def first_state(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return state | {f"met_{k}": np.zeros(len(p[k]), np.float32) for k in ("context", "inner")}
 
 
+def _log_sums(h: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum over rows of exp(h . row + bias), for every h."""
+    weights = np.concatenate([rows, bias[:, None]], 1).T
+    h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+    # No product leaves this bound; within it neither overflow nor a sum of zeros is possible, and no maximum is needed.
+    safe = np.sqrt(np.einsum("ij,ij->i", h, h).max() * np.einsum("ij,ij->j", weights, weights).max()) < SAFE
+    one, out = np.ones(len(rows), np.float32), np.empty(len(h))
+    for a in range(0, len(h), BLOCK):
+        x = h[a : a + BLOCK] @ weights
+        top = 0 if safe else x.max(1, keepdims=True)
+        if not safe:
+            x -= top
+            top = top[:, 0]
+        out[a : a + BLOCK] = np.log(np.exp(x, out=x) @ one) + top
+    return out
+
+
 def log_probabilities(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Normalised natural log-probability of each token's slot after its contexts."""
-    h = p["context"][near] @ p["near"] + p["context"][far] @ p["far"]
+    n = len(p["context"])
+    pairs, pair = np.unique(near * n + far, return_inverse=True)
+    h = p["context"].take(pairs // n, 0) @ p["near"] + p["context"].take(pairs % n, 0) @ p["far"]
+    dot = lambda x, y: np.einsum("ij,ij->i", x, y)
     w = kinds.of[slots]
-    out = np.empty(len(slots))
-
-    def log_sum(x: np.ndarray) -> np.ndarray:
-        top = x.max(1, keepdims=True)
-        x -= top
-        return np.log(np.exp(x, out=x).sum(1)) + top[:, 0]
-
-    for a in range(0, len(slots), BLOCK):
-        x = h[a : a + BLOCK] @ p["word"].T + p["bias"]
-        out[a : a + BLOCK] = x[np.arange(len(x)), w[a : a + BLOCK]]
-        out[a : a + BLOCK] -= log_sum(x)
-    order = np.argsort(w, kind="stable")
-    ends = np.searchsorted(w[order], np.arange(len(kinds.size) + 1))
-    for k in np.flatnonzero((kinds.size > 1) & (np.diff(ends) > 0)):
-        first, last = kinds.first[k], kinds.first[k] + kinds.size[k]
-        for a in range(ends[k], ends[k + 1], BLOCK):
-            at = order[a : min(a + BLOCK, ends[k + 1])]
-            x = h[at] @ p["inner"][first:last].T + p["inner_bias"][first:last]
-            out[at] += x[np.arange(len(at)), slots[at] - first]
-            out[at] -= log_sum(x)
+    out = dot(h.take(pair, 0), p["word"].take(w, 0)) + p["bias"][w] - _log_sums(h, p["word"], p["bias"])[pair]
+    at = np.flatnonzero(kinds.size[w] > 1)
+    # Slots of a class follow one another, so sorted triples lie class by class.
+    triples, triple = np.unique(slots[at] * len(pairs) + pair[at], return_inverse=True)
+    slot, pair = np.divmod(triples, max(1, len(pairs)))
+    inner = dot(h.take(pair, 0), p["inner"].take(slot, 0)) + p["inner_bias"][slot]
+    ends = np.searchsorted(kinds.of[slot], np.arange(len(kinds.size) + 1))
+    for k in np.flatnonzero(np.diff(ends) > 0):
+        some, words = slice(ends[k], ends[k + 1]), slice(kinds.first[k], kinds.first[k] + kinds.size[k])
+        inner[some] -= _log_sums(h[pair[some]], p["inner"][words], p["inner_bias"][words])
+    out[at] += inner[triple]
     return out
 
 
@@ -301,7 +327,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["block", "x"])
 
 
-def train(rows: DataFrame, n_tokens: int, known: dict[bytes, int], kinds: Classes, noise: np.ndarray, inner: np.ndarray) -> dict[str, np.ndarray]:
+def train(rows: DataFrame, n_tokens: int, known: pa.Array, kinds: Classes, noise: np.ndarray, inner: np.ndarray) -> dict[str, np.ndarray]:
     """Weights after ROUNDS rounds over the training rows (key, text)."""
     p = parameters(np.log(noise), inner)
 
@@ -309,12 +335,12 @@ def train(rows: DataFrame, n_tokens: int, known: dict[bytes, int], kinds: Classe
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {k: v.copy() for k, v in p.items()}
             state = first_state(p)
-            index, rng, total = Known(known), np.random.default_rng(number), 0
+            rng, total = np.random.default_rng(number), 0
             for batch in batches:
-                for _, _, words, counts in _tokens(batch.column(0)):
-                    slots = _slots(np.fromiter(map(index.__getitem__, words), np.int64, len(words)), len(known) - 1)
+                for _, _, words, tokens, counts in _tokens(batch.column(0)):
+                    slots = _slots(_places(words, known, tokens), len(known))
                     nce_steps(own, kinds, slots, *_contexts(slots, counts, len(kinds.of)), noise, state, rng)
-                    total += len(words)
+                    total += len(tokens)
             if total:
                 x = (_packed(own) - _packed(p)).astype(np.float16)
                 n = np.concatenate([state["met_inner"], np.full(len(noise), total), state["met_context"], np.full(2 * DIMS, total)]).astype(np.float32)
@@ -366,8 +392,7 @@ def _scores(docs: DataFrame, floor: int, frequent: int, keep: Callable[[DataFram
     n_all, v_all = total.n, total.v
     top = frequent_words(counts, floor, frequent)
     ends = n_ends[0].n if (n_ends := counts.where(F.col("word") == END_WORD).collect()) else 0
-    known: dict = {w.encode(): i for i, (w, _) in enumerate(top)}
-    known[None] = len(top)
+    known = pa.array([w for w, _ in top], pa.string())
     size = np.array([n for _, n in top] + [ends], np.float64)
     rare_n = n_all - ends - size[:-1].sum()
     rare_v = max(0, v_all - len(top) - (ends > 0))
@@ -382,11 +407,10 @@ def _scores(docs: DataFrame, floor: int, frequent: int, keep: Callable[[DataFram
     smoothed = np.log10(size + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Known(known)
-        end = len(known) - 1
+        end = len(known)
         for batch in batches:
-            for a, b, words, counts in _tokens(batch.column(2)):
-                ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            for a, b, words, tokens, counts in _tokens(batch.column(2)):
+                ids = _places(words, known, tokens)
                 doc = np.repeat(np.arange(b - a), counts)
                 slots = _slots(ids, end)
                 model = log_probabilities(p, kinds, slots, *_contexts(slots, counts, len(kinds.of))) / np.log(10)
@@ -395,7 +419,7 @@ def _scores(docs: DataFrame, floor: int, frequent: int, keep: Callable[[DataFram
                 sums = lambda x: np.bincount(doc, x, b - a)
                 rare = np.flatnonzero(~here)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=b - a))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array([words[i].decode() for i in rare.tolist()], pa.string()))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(tokens[rare])).cast(pa.string()))
                 known_here = sums(here & ((ids != end) | (ends > 0))).astype(np.int64)
                 columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts), pa.array(known_here), pa.array(sums(base)), pa.array(sums(model)), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])

@@ -78,14 +78,20 @@ class Grams:
         return mixed((self.sums[k:] - self.sums[:m]) * self.down[:m], salt + k)
 
 
-def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
-    """A column of texts in ranges of together at most so many bytes, one text at least: begin, end, UTF-8 (empty for nulls)."""
-    column = column.cast(pa.binary())
+def ranges(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """A column of texts in ranges (begin, end) of together at most so many bytes, one text at least."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
     for i, size in enumerate([*sizes.tolist(), None]):
         if size is None or total and total + size > most:
             if i > begin:
-                yield begin, i, [x or b"" for x in column.slice(begin, i - begin).to_pylist()]
+                yield begin, i
             begin, total = i, 0
         total += size or 0
+
+
+def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The ranges of a column with their texts as UTF-8, empty for nulls."""
+    column = column.cast(pa.binary())
+    for begin, end in ranges(column, most):
+        yield begin, end, [x or b"" for x in column.slice(begin, end - begin).to_pylist()]
