@@ -33,7 +33,6 @@ smoothed base; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import log10
@@ -65,7 +64,9 @@ BLOCK = 512
 #: exp() of twice this is finite in float32, and so is its inverse.
 SAFE = 40
 #: Distinct words a task counts before it hands them on.
-COUNTED = 200_000
+COUNTED = 400_000
+#: Contexts whose exponentials of both places are kept for a stretch; any value gives the same result.
+COMMON = 4_000
 OTHER, END = 0, 1
 #: No word is empty, so this stands for the end of a text among words.
 END_WORD = ""
@@ -92,21 +93,26 @@ def _places(words: pa.Array, known: pa.Array, tokens: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    """Words with their counts, merged as long as a task can hold them; the end of a text as END_WORD."""
+    pending: list[pa.Table] = []
 
-    def said() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+    def merged() -> pa.Table:
+        found = pa.concat_tables(pending).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return found.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
     for batch in batches:
-        for _, _, words, tokens, _ in _tokens(batch.column(0)):
-            for word, n in zip([*words.to_pylist(), END_WORD], np.bincount(tokens, minlength=len(words) + 1).tolist(), strict=True):
-                if n:
-                    seen[word] += n
-            if len(seen) >= COUNTED:
-                yield said()
-                seen.clear()
-    if seen:
-        yield said()
+        column = batch.column(0)
+        for a, b in ranges(column):
+            met = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.slice(a, b - a), ""))).flatten().value_counts()
+            here = pa.table([met.field("values"), met.field("counts")], names=["word", "n"])
+            here = here.filter(pc.greater(pc.binary_length(here["word"]), 0))
+            pending += [here, pa.table([pa.array([END_WORD], here.schema.field("word").type), pa.array([b - a], pa.int64())], names=["word", "n"])]
+            if sum(map(len, pending)) >= 2 * COUNTED:
+                pending = [merged()]
+                if len(pending[0]) >= COUNTED:
+                    yield from pending.pop().to_batches()
+    if pending:
+        yield from merged().to_batches()
 
 
 class Classes:
@@ -246,6 +252,8 @@ def first_state(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def _log_sums(h: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Logarithm of the sum over rows of exp(h . row + bias), for every h."""
+    if not len(h):
+        return np.zeros(0)
     weights = np.concatenate([rows, bias[:, None]], 1).T
     h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
     # No product leaves this bound; within it neither overflow nor a sum of zeros is possible, and no maximum is needed.
@@ -261,14 +269,34 @@ def _log_sums(h: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pair_sums(p: dict[str, np.ndarray], c: np.ndarray, d: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Log normalisers of the classes after pairs of contexts (c, d) with predictions h.
+
+    The exponential of a sum is a product, so pairs of common contexts need only the exponentials of either place.
+    """
+    near, far = p["context"][:COMMON] @ p["near"] @ p["word"].T, p["context"][:COMMON] @ p["far"] @ p["word"].T
+    near += p["bias"]
+    common = (c < COMMON) & (d < COMMON) if max(np.abs(near).max(), np.abs(far).max()) < SAFE / 2 else np.zeros(len(c), bool)
+    out = np.empty(len(c))
+    out[~common] = _log_sums(h[~common], p["word"], p["bias"])
+    np.exp(near, out=near)
+    np.exp(far, out=far)
+    at = np.flatnonzero(common)
+    for a in range(0, len(at), BLOCK):
+        some = at[a : a + BLOCK]
+        out[some] = np.log(np.einsum("ij,ij->i", near.take(c[some], 0), far.take(d[some], 0)))
+    return out
+
+
 def log_probabilities(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Normalised natural log-probability of each token's slot after its contexts."""
     n = len(p["context"])
     pairs, pair = np.unique(near * n + far, return_inverse=True)
-    h = p["context"].take(pairs // n, 0) @ p["near"] + p["context"].take(pairs % n, 0) @ p["far"]
+    c, d = pairs // n, pairs % n
+    h = (p["context"] @ p["near"]).take(c, 0) + (p["context"] @ p["far"]).take(d, 0)
     dot = lambda x, y: np.einsum("ij,ij->i", x, y)
     w = kinds.of[slots]
-    out = dot(h.take(pair, 0), p["word"].take(w, 0)) + p["bias"][w] - _log_sums(h, p["word"], p["bias"])[pair]
+    out = dot(h.take(pair, 0), p["word"].take(w, 0)) + p["bias"][w] - _pair_sums(p, c, d, h)[pair]
     at = np.flatnonzero(kinds.size[w] > 1)
     # Slots of a class follow one another, so sorted triples lie class by class.
     triples, triple = np.unique(slots[at] * len(pairs) + pair[at], return_inverse=True)
@@ -417,18 +445,19 @@ def _scores(docs: DataFrame, floor: int, frequent: int, keep: Callable[[DataFram
                 here = ids >= 0
                 base = np.where(here, smoothed[ids] - all_log, 0)
                 sums = lambda x: np.bincount(doc, x, b - a)
-                rare = np.flatnonzero(~here)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=b - a))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(tokens[rare])).cast(pa.string()))
+                rare, times = np.unique((doc * (len(words) + 1) + tokens)[~here], return_counts=True)
+                rare_doc, rare = np.divmod(rare, len(words) + 1)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(rare_doc, minlength=b - a))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (words.take(pa.array(rare)).cast(pa.string()), pa.array(times.astype(np.int64)))]
                 known_here = sums(here & ((ids != end) | (ends > 0))).astype(np.int64)
-                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts), pa.array(known_here), pa.array(sums(base)), pa.array(sums(model)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts), pa.array(known_here), pa.array(sums(base)), pa.array(sums(model)), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>")
+    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word array<string>, times array<long>")
     scored = keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    # Words beyond the frequent ones: their counts by a join, one row a document and word before it.
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    # Words beyond the frequent ones: their counts by a join, one row a document and distinct word before it.
+    rare = scored.select("row", F.inline(F.arrays_zip("word", "times")))
     c = F.coalesce(F.col("n"), F.lit(0))
     rare = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
@@ -436,7 +465,7 @@ def _scores(docs: DataFrame, floor: int, frequent: int, keep: Callable[[DataFram
         F.sum(F.col("times") * (F.log10(c + 0.5) - rare_log)).alias("more_score"),
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return scored.drop("word", "times").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + zero(F.col("more_known"))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
