@@ -59,6 +59,8 @@ FREQUENT = 150_000
 TRAINER_TOKENS = 1_000_000
 #: Rows of weights that travel as one.
 ROWS = 64
+#: Bytes of text handled at once; more contexts repeat in a longer stretch.
+STRETCH_BYTES = 4_000_000
 #: Contexts normalised at once.
 BLOCK = 512
 #: exp() of twice this is finite in float32, and so is its inverse.
@@ -74,7 +76,7 @@ END_WORD = ""
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
     """Ranges of texts: begin, end, distinct words, the place of each token among these (their number for the end of a text), tokens of each text."""
-    for a, b in ranges(column):
+    for a, b in ranges(column, STRETCH_BYTES):
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.slice(a, b - a), "")))
         parts = lists.flatten()
         words = parts.dictionary_encode()
@@ -102,7 +104,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         column = batch.column(0)
-        for a, b in ranges(column):
+        for a, b in ranges(column, STRETCH_BYTES):
             met = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.slice(a, b - a), ""))).flatten().value_counts()
             here = pa.table([met.field("values"), met.field("counts")], names=["word", "n"])
             here = here.filter(pc.greater(pc.binary_length(here["word"]), 0))
@@ -196,7 +198,9 @@ def nce_steps(p: dict[str, np.ndarray], kinds: Classes, slots: np.ndarray, near:
     def step(name: str, rows: np.ndarray, g: np.ndarray) -> None:
         squares = state[name].take(rows) + np.einsum("ij,ij->i", g, g) / DIMS
         state[name][rows] = squares
-        p[name][rows] = p[name].take(rows, 0) + g * (rate / np.sqrt(squares + 1e-4)).astype(np.float32)[:, None]
+        changed = p[name].take(rows, 0) + g * (rate / np.sqrt(squares + 1e-4)).astype(np.float32)[:, None]
+        row = np.dtype((np.void, changed.itemsize * DIMS))  # a row stored as one item
+        p[name].view(row)[rows, 0] = changed.view(row)[:, 0]
 
     for a in range(0, len(slots), BATCH):
         s, c, d = slots[a : a + BATCH], near[a : a + BATCH], far[a : a + BATCH]
