@@ -66,4 +66,27 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op3_line_frequency": OP3, "op7_pareto_mixing": OP7, "op8_bit_sliced_top_k": OP8}
+#: A list of the 256 values of the crc32 table, and crc32 of a list of bytes.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS t"
+CRC = "xor(list_reduce(list_concat([4294967295], {bytes}), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
+UTF8 = "list_transform(range(1, octet_length(encode({x})) + 1), lambda i: CAST('0x' || substr(hex(encode({x})), CAST(2 * i - 1 AS INT), 2) AS BIGINT))"
+
+OP11 = rf"""
+WITH crc AS ({CRC_TABLE}),
+w AS (SELECT 0 AS target, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+d AS (SELECT target, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM w),
+g AS (SELECT target, r, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]),
+  list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) AS x FROM d),
+c AS (SELECT target, r, x, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY ALL),
+f AS (SELECT x, {CRC.format(bytes=UTF8.format(x="x"))} % 10000 AS bucket FROM (SELECT DISTINCT x FROM c), crc),
+b AS (SELECT bucket, CAST(sum(CASE WHEN target = 0 THEN n ELSE 0 END) AS DOUBLE) AS s, CAST(sum(CASE WHEN target = 1 THEN n ELSE 0 END) AS DOUBLE) AS t FROM c JOIN f USING (x) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(CAST(1000 AS DOUBLE) * ln(((t + 1) * (sum(s) OVER () + 10000)) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM b),
+weighed AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM c JOIN f USING (x) JOIN gain USING (bucket) WHERE target = 0 GROUP BY r),
+scored AS (SELECT d.r, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(CAST(-1000 AS DOUBLE) *
+  ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM d LEFT JOIN weighed USING (r) WHERE target = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id ASC NULLS LAST) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * fit // 100 THEN place END AS rank FROM k
+"""
+
+ORACLE_SQL = {"op11_importance_resampling": OP11, "op3_line_frequency": OP3, "op7_pareto_mixing": OP7, "op8_bit_sliced_top_k": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltree, jaccard, lblm, mixing, oracle, packing, pii, quality, sharding, substrings, topk
+from . import htmltree, importance, jaccard, lblm, mixing, oracle, packing, pii, quality, sharding, substrings, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,11 +52,17 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_read(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rlz_substring_dedup, op2_tree_model_html, op3_line_frequency, op4_conflict_best_fit_packing, op5_log_bilinear_scores,
         op6_grouped_prefix_join, op7_pareto_mixing, op8_bit_sliced_top_k, op9_consistent_hash_sharding, op10_weak_supervision_pii,
+        op11_importance_resampling,
     )
 }
 ORACLE_SQL = oracle.ORACLE_SQL
