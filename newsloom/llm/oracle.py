@@ -89,4 +89,20 @@ k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DES
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * fit // 100 THEN place END AS rank FROM k
 """
 
-ORACLE_SQL = {"op11_importance_resampling": OP11, "op3_line_frequency": OP3, "op7_pareto_mixing": OP7, "op8_bit_sliced_top_k": OP8}
+OP13 = rf"""
+WITH crc AS ({CRC_TABLE}),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, substr(sha256(CAST(length(role) AS VARCHAR) || ':' || role || text), 1, 32)) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, turns, {CRC.format(bytes=UTF8.format(x="CAST(conv_id AS VARCHAR)"))} % 4 AS h FROM c, crc),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h], []), h.turns[h + 1:]) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, k AS depth, turns[1:k] AS path, len(turns) = k AS ends FROM r, unnest(range(0, len(turns) + 1)) AS u(k)),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
+  CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[-1].text, '{WORD}')) END AS saved FROM p GROUP BY depth, path),
+k AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT n.path[1:up] AS path, up AS depth, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM n LEFT JOIN k ON n.path = k.path AND n.depth = k.depth, unnest(range(0, n.depth + 1)) AS u(up) GROUP BY ALL)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, a.n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN a ON n.path = a.path AND n.depth = a.depth LEFT JOIN k ON n.path = k.path AND n.depth = k.depth LEFT JOIN n m ON m.depth = n.depth - 1 AND m.path = n.path[1:n.depth - 1]
+"""
+
+ORACLE_SQL = {"op13_conversation_prefix_trie": OP13, "op11_importance_resampling": OP11, "op3_line_frequency": OP3, "op7_pareto_mixing": OP7, "op8_bit_sliced_top_k": OP8}

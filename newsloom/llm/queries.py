@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltree, importance, jaccard, lblm, mixing, oracle, packing, pii, quality, sharding, substrings, topk
+from . import htmltree, importance, jaccard, lblm, mixing, oracle, packing, pii, quality, sharding, substrings, topk, trie
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,12 +57,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_common_heads(trie.turn_arrays(_read(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rlz_substring_dedup, op2_tree_model_html, op3_line_frequency, op4_conflict_best_fit_packing, op5_log_bilinear_scores,
         op6_grouped_prefix_join, op7_pareto_mixing, op8_bit_sliced_top_k, op9_consistent_hash_sharding, op10_weak_supervision_pii,
-        op11_importance_resampling,
+        op11_importance_resampling, op13_conversation_prefix_trie,
     )
 }
 ORACLE_SQL = oracle.ORACLE_SQL
