@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltree, importance, jaccard, lblm, mixing, oracle, packing, pii, quality, sharding, substrings, topk, trie
+from . import htmltree, importance, jaccard, lblm, mixing, mixpack, oracle, packing, pii, quality, sharding, substrings, topk, trie
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_mixture_controlled_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return mixpack.mixture_pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.with_common_heads(trie.turn_arrays(_read(spark, sf_dir, "conversations"))))
 
@@ -66,7 +72,7 @@ QUERIES = {
     for f in (
         op1_rlz_substring_dedup, op2_tree_model_html, op3_line_frequency, op4_conflict_best_fit_packing, op5_log_bilinear_scores,
         op6_grouped_prefix_join, op7_pareto_mixing, op8_bit_sliced_top_k, op9_consistent_hash_sharding, op10_weak_supervision_pii,
-        op11_importance_resampling, op13_conversation_prefix_trie,
+        op11_importance_resampling, op12_mixture_controlled_packing, op13_conversation_prefix_trie,
     )
 }
 ORACLE_SQL = oracle.ORACLE_SQL
