@@ -108,7 +108,7 @@ def features(column: pa.Array, buckets: int, order: int = ORDER) -> Iterator[tup
     """For each stretch of texts: begin, end, words of each text, and for each run length (text of each run, bucket of each run)."""
     for begin, end in ranges(column, CHUNK_BYTES):
         doc, words = _words(column.slice(begin, end - begin))
-        known = words.dictionary.cast(pa.large_binary()).to_pylist()
+        known = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         space = zlib.crc32(b" ")
         single = np.fromiter((zlib.crc32(w) for w in known), np.uint32, len(known))
         spaced = np.fromiter((zlib.crc32(w, space) for w in known), np.uint32, len(known))

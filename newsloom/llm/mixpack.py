@@ -58,7 +58,12 @@ CALL_WORDS = 1000
 
 
 class WordIds(dict):
-    """Ids of a word as little-endian bytes, remembered as long as a worker lives; any tokenizer whose pieces never cross white space will do."""
+    """Ids of a word as little-endian bytes, remembered as long as a worker lives; any tokenizer whose pieces never cross white space will do.
+
+    Where the tokenizer marks the last id of each piece that a text is cut into, words of plain characters are encoded side
+    by side in one text, without normalising it again, and told apart by their numbers of pieces.  Their sum is checked: where it is another than that of
+    the marked ids, the words go one by one.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -68,20 +73,81 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = _kind(path)
-
-    def learn(self, words: list[str]) -> None:
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.closes[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _cut(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw = ids.astype(self.kind).tobytes()
+        ends = (ends * self.kind.itemsize).tolist()
+        found = [raw[begin:end] for begin, end in zip([0, *ends[:-1]], ends, strict=True)]
+        self.update(zip(words, found, strict=True))
+        return found
+
+    def learn(self, words: list[str], pieces: np.ndarray | None) -> list[bytes]:
+        """Ids of words that are not known yet; pieces: of each word of plain characters."""
         if len(self) + len(words) > CACHE_WORDS:
             self.clear()
+        out: list[bytes] = []
         for k in range(0, len(words), CALL_WORDS):
             some = words[k : k + CALL_WORDS]
+            if pieces is not None:
+                ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                count = np.cumsum(pieces[k : k + CALL_WORDS])
+                if len(ends) == count[-1] and ends[-1] == len(ids):
+                    out += self._cut(some, ids, ends[count - 1])
+                    continue
             found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, self.kind).tobytes()
-            place = np.array(found.word_ids, np.int64)
-            ends = (np.searchsorted(place, np.arange(len(some)), "right") * self.kind.itemsize).tolist()
-            begin = 0
-            for word, end in zip(some, ends, strict=True):
-                self[word] = ids[begin:end]
-                begin = end
+            out += self._cut(some, np.array(found.ids, np.int64), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some)), "right"))
+        return out
+
+
+#: ASCII and Latin-1 letters: in lower case they are what any normaliser of case, composition and white space leaves of them.
+PLAIN = r"^[\x21-\x7EÀ-ÖØ-öø-ÿ]+$"
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Taken off behind a letter before a word is looked up.
+TAILS = (".", ",")
+SPECIAL = "<|"
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of some stretches of n places, end to end."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _encoded(words: pa.Array, ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some words laid end to end, and how many each has."""
+    plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, SPECIAL)))
+    low = pc.utf8_lower(words)
+    tailed = pc.and_(plain, pc.match_substring_regex(low, r"\p{L}[.,]$"))
+    cores = pc.if_else(plain, pc.if_else(tailed, pc.utf8_slice_codeunits(low, 0, -1), low), words).dictionary_encode()
+    told = tailed.to_numpy(zero_copy_only=False)
+    at = cores.indices.to_numpy()
+    of_plain = np.zeros(len(cores.dictionary), bool)
+    of_plain[at] = plain.to_numpy(zero_copy_only=False)
+    names = [*cores.dictionary.to_numpy(zero_copy_only=False).tolist(), *TAILS]
+    pieces = list(map(ids.get, names))
+    new = np.array([k for k, piece in enumerate(pieces) if piece is None], np.int64)
+    known = new < len(of_plain)
+    is_plain = np.zeros(len(new), bool)
+    is_plain[known] = of_plain[new[known]]
+    for some, count in ((new[is_plain], pc.count_substring_regex(cores.dictionary.take(pa.array(new[is_plain])), PIECE).to_numpy()), (new[~is_plain], None)):
+        for k, piece in zip(some.tolist(), ids.learn([names[k] for k in some.tolist()], count), strict=True):
+            pieces[k] = piece
+    flat = np.frombuffer(b"".join(pieces), ids.kind)
+    n = np.fromiter(map(len, pieces), np.int64, len(pieces)) // ids.kind.itemsize
+    start = np.cumsum(n) - n
+    # A word is its core and, maybe, its tail: two stretches.
+    stretch = np.full((len(words), 2), -1)
+    stretch[:, 0] = at
+    for k, t in enumerate(TAILS):
+        stretch[told & pc.ends_with(words, t).to_numpy(zero_copy_only=False), 1] = len(of_plain) + k
+    size = np.where(stretch >= 0, n[stretch], 0)
+    return flat[_spread(start[stretch].ravel(), size.ravel())], size.sum(axis=1)
 
 
 _KNOWN: dict[str, WordIds] = {}
@@ -97,21 +163,14 @@ def _kind(path: str) -> np.dtype:
 
 def token_ids(column: pa.Array, ids: WordIds, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each stretch of texts: begin, end, ids laid end to end, and where each text's ids end."""
-    size = ids.kind.itemsize
     for first, last in ranges(column, CHUNK_BYTES):
         parts = pc.ascii_split_whitespace(pc.fill_null(column.slice(first, last - first), ""))
         words = parts.values.dictionary_encode()
-        known = words.dictionary.to_pylist()
-        ids.learn([w for w in known if w not in ids])
-        pieces = [ids[w] for w in known]
-        flat = np.frombuffer(b"".join(pieces), ids.kind)
-        length = np.fromiter(map(len, pieces), np.int64, len(pieces)) // size
-        start = np.cumsum(length) - length
+        flat, length = _encoded(words.dictionary, ids)
         at = words.indices.to_numpy()
         n = length[at]
         ends = np.concatenate([[0], np.cumsum(n)])
-        token = np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])
-        tokens = flat[token]
+        tokens = flat[_spread((np.cumsum(length) - length)[at], n)]
         # One end token after each text.
         close = ends[parts.offsets.to_numpy()[1:] - parts.offsets.to_numpy()[0]]
         yield first, last, np.insert(tokens, close, end).astype(ids.kind), close + np.arange(1, len(close) + 1)
