@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..streaming.drain import shared_folder
+from ..shared import shared_dir
 
 #: Classes of a block settled in a round: at most so many sets come together in a row.
 WIDTH = 32
@@ -53,7 +53,7 @@ def similar_pairs(titles: DataFrame, key: str, title: str, similarity: float) ->
 
 def _led(classes: DataFrame, similarity: float) -> DataFrame:
     """block, chars, first and leader (the first of the leader's class) of every class (block, chars, first)."""
-    spark, place, number = classes.sparkSession, f"{shared_folder(classes)}/leaders-{uuid.uuid4().hex}", 0
+    spark, place, number = classes.sparkSession, f"{shared_dir(spark)}/leaders-{uuid.uuid4().hex}", 0
     schema = classes.withColumn("leader", F.col("first")).schema
     waiting = classes
     while True:

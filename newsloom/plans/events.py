@@ -10,7 +10,8 @@ from ..operators import tables
 from .registry import query
 
 DAY = 86400
-AS_OF = 1704067200 + 31 * DAY
+BEGAN = 1704067200
+AS_OF = BEGAN + 31 * DAY
 AT = "CAST(epoch(ts) AS BIGINT)"
 E = f"e AS (SELECT event_id, user_id, event_type, value, props, {AT} AS at_s FROM events)".replace(AT, "CAST(floor(epoch(ts)) AS BIGINT)")
 

@@ -34,8 +34,8 @@ class BatchTables:
         rows.select(*columns).write.mode("overwrite").parquet(f"{self.where}/{name}/batch={batch}")
 
 
-def cursor_intake(rows: DataFrame, tables: BatchTables, source: str, at: str, now: Column, log: str, look_back: int = 86400) -> StreamingQuery:
-    """A running intake of each source's rows from its cursor (not included) to now (included), with cursors and counts.
+def take_from_cursor(batch: DataFrame, number: int, tables: BatchTables, source: str, at: str, now: Column, look_back: int = 86400) -> None:
+    """One batch of each source's rows from its cursor (not included) to now (included), with cursors and counts.
 
     ``tables`` has kept (the rows' columns), cursors (source, cursor) and counts (source, kept, late, future, undated).
     A source without a cursor looks back so many seconds from the batch's latest now.  The cursor becomes the latest time
@@ -43,28 +43,31 @@ def cursor_intake(rows: DataFrame, tables: BatchTables, source: str, at: str, no
     Only the cursors, one row a source, are joined to the rows: no row of a source is gathered.
     """
 
-    def take(batch: DataFrame, number: int) -> None:
-        cursors = tables.read("cursors", number).groupBy(F.col(source).alias("__source")).agg(F.max("cursor").alias("__cursor"))
-        clock = batch.agg(F.max(now).alias("__latest"))
-        dated = batch.join(cursors, F.col(source).eqNullSafe(F.col("__source")), "left").crossJoin(F.broadcast(clock))  # one row
-        start = F.coalesce(F.col("__cursor"), F.col("__latest") - look_back)
-        verdict = F.when(F.col(at).isNull(), "undated").when(F.col(at) <= start, "late").when(F.col(at) > now, "future").otherwise("kept")
-        judged = dated.withColumn("__verdict", verdict)
-        kept = judged.where("__verdict = 'kept'")
-        tables.put("kept", kept, number)
-        # Cursors follow what was written, not a second reading of the batch.
-        mine = tables.read("kept").where(F.col("batch") == number)
-        tables.put("cursors", mine.groupBy(source).agg(F.max(at).alias("cursor")), number)
-        tables.put("counts", judged.groupBy(source).agg(*[F.count_if(F.col("__verdict") == v).alias(v) for v in ("kept", "late", "future", "undated")]), number)
+    cursors = tables.read("cursors", number).groupBy(F.col(source).alias("__source")).agg(F.max("cursor").alias("__cursor"))
+    clock = batch.agg(F.max(now).alias("__latest"))
+    dated = batch.join(cursors, F.col(source).eqNullSafe(F.col("__source")), "left").crossJoin(F.broadcast(clock))  # one row
+    start = F.coalesce(F.col("__cursor"), F.col("__latest") - look_back)
+    verdict = F.when(F.col(at).isNull(), "undated").when(F.col(at) <= start, "late").when(F.col(at) > now, "future").otherwise("kept")
+    judged = dated.withColumn("__verdict", verdict)
+    kept = judged.where("__verdict = 'kept'")
+    tables.put("kept", kept, number)
+    # Cursors follow what was written, not a second reading of the batch.
+    mine = tables.read("kept").where(F.col("batch") == number)
+    tables.put("cursors", mine.groupBy(source).agg(F.max(at).alias("cursor")), number)
+    tables.put("counts", judged.groupBy(source).agg(*[F.count_if(F.col("__verdict") == v).alias(v) for v in ("kept", "late", "future", "undated")]), number)
+
 
-    return rows.writeStream.foreachBatch(take).option("checkpointLocation", log).trigger(availableNow=True).start()
+def cursor_intake(rows: DataFrame, tables: BatchTables, source: str, at: str, now: Column, log: str, look_back: int = 86400) -> StreamingQuery:
+    """A stream of take_from_cursor()."""
+    each = lambda batch, number: take_from_cursor(batch, number, tables, source, at, now, look_back)
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", log).trigger(availableNow=True).start()
 
 
 BRIEF = "day string, version int, mode string, locked boolean, n_items long, items array<struct<score: double, id: long>>"
 
 
-def brief_intake(rows: DataFrame, tables: BatchTables, log: str, cap: int = 20) -> StreamingQuery:
-    """A running daily brief: rows (day, id, score, closes) are merged into the day's items, and a version is published.
+def publish_brief(batch: DataFrame, number: int, tables: BatchTables, cap: int = 20) -> None:
+    """One batch of a running daily brief: rows (day, id, score, closes) are merged into the day's items, and a version is published.
 
     ``tables`` has items (day, id, score) and briefs (BRIEF).  A day's new items give the next version, of mode increment, of
     its ``cap`` best items; an item that comes again counts as it came last (the higher score within a batch).  A batch with a
@@ -73,29 +76,31 @@ def brief_intake(rows: DataFrame, tables: BatchTables, log: str, cap: int = 20)
     still close its day.
     """
 
-    def publish(batch: DataFrame, number: int) -> None:
-        briefs = tables.read("briefs", number)
-        last = briefs.groupBy("day").agg(F.max("version").alias("last"), F.bool_or("locked").alias("was_locked"))
-        open_rows = batch.where("day is not null").join(last.where("was_locked").select("day"), "day", "left_anti")
-        fresh = open_rows.where("id is not null and score is not null").groupBy("day", "id").agg(F.max("score").alias("score"))
-        tables.put("items", fresh, number)
-        fresh = tables.read("items").where(F.col("batch") == number)
-        closing = open_rows.where("closes").select("day").distinct().withColumn("closing", F.lit(True))
-        touched = fresh.select("day").union(closing.select("day")).distinct()
-        everything = tables.read("items", number + 1).join(touched, "day", "left_semi")
-        current = everything.groupBy("day", "id").agg(F.max_by("score", "batch").alias("score"))
-        rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("score"), "id"))
-        best = current.withColumn("rank", rank).where(F.col("rank") <= cap)
-        made = best.groupBy("day").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.struct("rank", "score", "id"))).alias("ranked"))
-        made = made.join(last.select("day", "last"), "day", "left").join(closing, "day", "left")
-        closes = F.coalesce("closing", F.lit(False))
-        made = made.select(
-            "day", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("version"), F.when(closes, "summary").otherwise("increment").alias("mode"), closes.alias("locked"), "n_items",
-            F.transform("ranked", lambda x: F.struct(x["score"].alias("score"), x["id"].alias("id"))).alias("items"),
-        )
-        tables.put("briefs", made, number)
-
-    return rows.writeStream.foreachBatch(publish).option("checkpointLocation", log).trigger(availableNow=True).start()
+    briefs = tables.read("briefs", number)
+    last = briefs.groupBy("day").agg(F.max("version").alias("last"), F.bool_or("locked").alias("was_locked"))
+    open_rows = batch.where("day is not null").join(last.where("was_locked").select("day"), "day", "left_anti")
+    fresh = open_rows.where("id is not null and score is not null").groupBy("day", "id").agg(F.max("score").alias("score"))
+    tables.put("items", fresh, number)
+    fresh = tables.read("items").where(F.col("batch") == number)
+    closing = open_rows.where("closes").select("day").distinct().withColumn("closing", F.lit(True))
+    touched = fresh.select("day").union(closing.select("day")).distinct()
+    everything = tables.read("items", number + 1).join(touched, "day", "left_semi")
+    current = everything.groupBy("day", "id").agg(F.max_by("score", "batch").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("score"), "id"))
+    best = current.withColumn("rank", rank).where(F.col("rank") <= cap)
+    made = best.groupBy("day").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.struct("rank", "score", "id"))).alias("ranked"))
+    made = made.join(last.select("day", "last"), "day", "left").join(closing, "day", "left")
+    closes = F.coalesce("closing", F.lit(False))
+    made = made.select(
+        "day", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("version"), F.when(closes, "summary").otherwise("increment").alias("mode"), closes.alias("locked"), "n_items",
+        F.transform("ranked", lambda x: F.struct(x["score"].alias("score"), x["id"].alias("id"))).alias("items"),
+    )
+    tables.put("briefs", made, number)
+
+
+def brief_intake(rows: DataFrame, tables: BatchTables, log: str, cap: int = 20) -> StreamingQuery:
+    """A stream of publish_brief()."""
+    return rows.writeStream.foreachBatch(lambda batch, number: publish_brief(batch, number, tables, cap)).option("checkpointLocation", log).trigger(availableNow=True).start()
 
 
 def source_alerts(counts: DataFrame, streak: Column, most: int = fixed.BULK_ROWS) -> DataFrame:

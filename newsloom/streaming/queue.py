@@ -25,7 +25,7 @@ from ..functions import fixed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Steps of an item: ``event`` is null for a lapse; retries and skips as they are after the step.
-STEPS = "item long, event long, at long, action string, accepted boolean, status string, retries int, skips int"
+STEPS = "item long, event long, at_ms long, action string, accepted boolean, status string, retries int, skips int"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = "status string, retries int, skips int, failed_at long, claimed_at long, last_at long, last_event long"
 
@@ -76,7 +76,7 @@ class Item:
         return True
 
 
-_Step = Row("item", "event", "at", "action", "accepted", "status", "retries", "skips")
+_Step = Row("item", "event", "at_ms", "action", "accepted", "status", "retries", "skips")
 
 
 class _Queue(StatefulProcessor):
@@ -99,7 +99,7 @@ class _Queue(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         item = self._load()
         # A batch may bring an item's actions in any order; those of an earlier batch stand.
-        for at, event, action in sorted((r["at"], r["event"], r["action"]) for r in rows):
+        for at, event, action in sorted((r["at_ms"], r["event"], r["action"]) for r in rows):
             if item.lapses(at):
                 yield _Step(key[0], None, item.claimed_at + item.lease, "lapse", True, item.status, item.retries, item.skips)
             accepted = item.step(at, action)
@@ -135,6 +135,6 @@ def queue_steps(
     actions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # timers need it
     known = action.isin("queued", "claim", "done", "failed", "postponed")
     rows = actions.select(item.cast("long").alias("item"), event.cast("long").alias("event"), F.col(at).cast("timestamp").alias("__at"), action.alias("action")).where(F.col("item").isNotNull() & F.col("__at").isNotNull() & known)
-    rows = rows.withWatermark("__at", delay).withColumn("at", F.unix_millis("__at"))
+    rows = rows.withWatermark("__at", delay).withColumn("at_ms", F.unix_millis("__at"))
     limits = (lease * 1000, cooldown * 1000, retries, skips)
     return rows.groupBy("item").transformWithState(_Queue(*limits), STEPS, "Append", "eventTime")
