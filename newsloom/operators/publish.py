@@ -76,21 +76,6 @@ def yields_to(done: Column, backlog: Column, most: int = 36) -> Column:
     return (done > 0) | (backlog >= most)
 
 
-def alerts(events: DataFrame, key: str, at: str, quiet: int = 3600) -> DataFrame:
-    """(key, at) of the alerts sent: one per key, then silence for quiet seconds; suppressed ones do not prolong it.
-
-    An alert after a gap of quiet seconds is always sent, so only stretches without such a gap need a fold: times of a
-    stretch, sorted, as an array of numbers.
-    """
-    by = Window.partitionBy(key).orderBy(at)
-    d = events.select(key, at).where(F.col(key).isNotNull() & F.col(at).isNotNull()).distinct().withColumn("__new", F.coalesce((F.col(at) - F.lag(at).over(by)) >= quiet, F.lit(True)).cast("int"))
-    d = d.withColumn("__stretch", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    stretch = d.groupBy(key, "__stretch").agg(F.sort_array(F.collect_list(at)).alias("__times"))
-    none = F.array().cast("array<long>")
-    sent = F.aggregate(F.col("__times"), F.struct(none.alias("sent"), F.lit(None).cast("long").alias("last")), lambda s, x: F.when(s["last"].isNull() | (x - s["last"] >= quiet), F.struct(F.array_append(s["sent"], x.cast("long")).alias("sent"), x.cast("long").alias("last"))).otherwise(s))
-    return stretch.select(key, F.explode(sent["sent"]).alias(at))
-
-
 def board_summary(tasks: DataFrame) -> DataFrame:
     """Tasks by status, and the urgent ones that are open."""
     return tasks.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("priority").isin("P0", "P1") & (F.col("status") != "done")).alias("n_urgent_open"))

@@ -25,11 +25,6 @@ def best_per_key(df: DataFrame, key: str, rank: Column) -> DataFrame:
     return picked.select("__row.*")
 
 
-def either_key_dedup(df: DataFrame, first: str, second: str, order: list[Column]) -> DataFrame:
-    """First of each first key, then of each second key: two passes, so chains over both keys are cut by the first one."""
-    return first_per_key(first_per_key(df, [first], order), [second], order)
-
-
 def two_key_anti_join(new: DataFrame, old: DataFrame, first: str, second: str) -> DataFrame:
     """Rows of new that share neither key with old."""
     return new.join(old.select(first).where(F.col(first).isNotNull()).distinct(), first, "left_anti").join(old.select(second).where(F.col(second).isNotNull()).distinct(), second, "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import publish, tables
+from ..operators import folds, publish, tables
 from .events import E, timed
 from .registry import query
 
@@ -82,7 +82,7 @@ def changed_pages_only(t):
   UNION ALL SELECT r.event_type, min(k.at_s) FROM r JOIN k ON k.event_type = r.event_type AND k.at_s >= r.at_s + 3600 GROUP BY r.event_type, r.at_s)
 SELECT event_type, at_s FROM r""")
 def alert_debounce(t):
-    return publish.alerts(timed(t), "event_type", "at_s").select("event_type", "at_s")
+    return folds.debounced(timed(t), "event_type", "at_s").select("event_type", "at_s")
 
 
 @query("""WITH s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'review' END AS status, 'P' || (CAST(left(o_orderpriority, 1) AS INT) - 1) AS priority FROM orders)

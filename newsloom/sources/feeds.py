@@ -88,6 +88,51 @@ def story_hits(json: Column) -> Column:
     return F.coalesce(F.filter(found, lambda x: (x["title"] != "") & (x["url"] != "")), F.array())
 
 
+def company_items(json: Column, site: str) -> Column:
+    """Items of a company's news interface: data that have a title; times are milliseconds, tags one category."""
+    kind = "data array<struct<title: string, summary: string, publishDate: string, slug: string, newsId: string, tags: array<string>>>"
+    when = lambda d: F.when(d["publishDate"].try_cast("double") > 0, F.date_format(F.timestamp_millis(d["publishDate"].try_cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    found = F.transform(
+        F.from_json(json, kind)["data"],
+        lambda d: F.struct(
+            _said(d["title"]).alias("title"), F.concat_ws("/", F.lit(site), F.nullif(_said(d["slug"]), F.lit(""))).alias("url"), F.coalesce(when(d), F.lit("")).alias("pub_date"),
+            F.concat(F.lit("data:"), _first(d["newsId"], d["slug"], d["title"])).alias("guid"), _first(d["summary"], d["title"]).alias("desc"), _first(d["summary"], d["title"]).alias("content"),
+            _said(F.array_join(d["tags"], ",")).alias("category"),
+        ),
+    )
+    return F.coalesce(F.filter(found, lambda x: x["title"] != ""), F.array())
+
+
+def research_items(json: Column, site: str) -> Column:
+    """Items of a research interface: docs that have a title in either language; body is the rich-text tree for trees.tree_texts()."""
+    kind = "docs array<struct<id: string, title_zh: string, title_en: string, createAt: string, resume_zh: string, category: string, content_zh: variant>>"
+    found = F.transform(
+        F.from_json(json, kind)["docs"],
+        lambda d: F.struct(
+            _first(d["title_zh"], d["title_en"]).alias("title"), F.concat(F.lit(f"{site}/"), d["id"]).alias("url"), _said(d["createAt"]).alias("pub_date"), F.concat(F.lit("docs:"), d["id"]).alias("guid"),
+            _first(d["resume_zh"], d["title_zh"], d["title_en"]).alias("desc"), _said(d["resume_zh"]).alias("short"), _said(d["category"]).alias("category"), F.to_json(d["content_zh"]).alias("body"),
+        ),
+    )
+    return F.coalesce(F.filter(found, lambda x: x["title"] != ""), F.array())
+
+
+def account_items(json: Column) -> Column:
+    """Items of a local message account's answer, a list or {items: []}: those with a title or an address; broken answers give none."""
+    names = ("title", "url", "link", "app_msg_url", "published_at", "publish_time", "guid", "summary", "digest", "content", "author")
+    row = "array<struct<" + ", ".join(f"{n}: string" for n in names) + ">>"
+    rows = F.when(F.trim(json).startswith("["), F.from_json(json, row)).otherwise(F.from_json(json, f"items {row}")["items"])
+    kept = F.filter(rows, lambda r: (_said(r["title"]) != "") | (_said(r["url"]) != "") | (_said(r["link"]) != ""))
+    found = F.transform(
+        kept,
+        lambda r: F.struct(
+            F.coalesce(F.nullif(_said(r["title"]), F.lit("")), F.lit("(无标题)")).alias("title"), _first(r["url"], r["link"], r["app_msg_url"]).alias("url"), _first(r["published_at"], r["publish_time"]).alias("pub_date"),
+            _first(r["guid"], F.concat(F.lit("wechat:"), F.sha2(_first(r["url"], r["link"], F.concat(_said(r["title"]), _said(r["published_at"]))), 256))).alias("guid"),
+            _first(r["summary"], r["digest"], r["content"], r["title"]).alias("desc"), _first(r["content"], r["digest"]).alias("content"), _said(r["author"]).alias("category"),
+        ),
+    )
+    return F.coalesce(found, F.array())
+
+
 def _aggregated(rows: Column, prefix: str, category: Column, out_category: Column, fields: dict[str, list[str]]) -> Column:
     pick = lambda r, name: _first(*[r[c] for c in fields[name]])
     return F.coalesce(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,3 +77,41 @@ def heading_links(html: Column, base: Column, most: int = 30) -> Column:
     long = F.filter(both, lambda x: F.length(x["title"]) >= 4)
     first = lambda all_: F.filter(all_, lambda e, i: F.array_position(F.transform(all_, lambda x: x["url"]), e["url"]) == i + 1)
     return F.slice(text.let(long, first), 1, most)
+
+
+#: A card's title: a title attribute, or a heading, near its link.
+CARD_TITLE = r"""(?i)<[^>]*title\s*=\s*["']([^"']+)["']|<h\d[^>]*>([\s\S]{4,200}?)</h\d>"""
+CARDS = "array<struct<url: string, title: string, date: string>>"
+
+
+def cards(html: Column, base: Column, link: Column, date: Column, most: int = 10) -> Column:
+    """The first ``most`` cards of a list page by a site's rule: distinct addresses that match link, with title and date from the markup around.
+
+    link captures an address, date a date; a title stands within 400 characters before the link or 200 behind it.  A path
+    is set on the base's host, other relative addresses are left out.  Nulls give no cards.  Places of matches are beyond
+    built-in functions, so this is one pass of Python over Arrow batches.
+    """
+    return F.pandas_udf(_cards, CARDS)(html, base, link, date, F.lit(most))
+
+
+def _cards(html: pd.Series, base: pd.Series, link: pd.Series, date: pd.Series, most: pd.Series) -> pd.Series:
+    title = re.compile(CARD_TITLE)
+
+    def page(markup: str | None, base: str | None, link: str | None, date: str | None, most: int) -> list[dict]:
+        found: dict[str, dict] = {}
+        if not markup or not link:
+            return []
+        host = re.match(r"(?i)https?://[^/?#]+", base or "")
+        for m in re.finditer(link, markup):
+            url = (host[0] if host else "") + m[1] if m[1].startswith("/") else m[1]
+            if url in found or not re.match(r"(?i)https?://", url):
+                continue
+            around = markup[max(0, m.start() - 400) : m.end() + 200]
+            head, day = title.search(around), re.search(date, around) if date else None
+            plain = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", head[1] or head[2] or "")).strip() if head else ""
+            found[url] = {"url": url, "title": plain, "date": day[1] if day else ""}
+            if len(found) == most:
+                break
+        return list(found.values())
+
+    return pd.Series([page(*row) for row in zip(html, base, link, date, most, strict=True)], index=html.index)
