@@ -260,12 +260,15 @@ def split_bold(text: Column) -> Column:
     return F.filter(parts, lambda x: F.length(x["text"]) > 0)
 
 
-def split_opinion(text: Column, marker: str) -> Column:
-    """struct<body, opinion> around the first marker."""
-    at = F.locate(marker, text)
-    body = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
-    opinion = F.when(at > 0, F.substring(text, at + len(marker), F.length(text)))
-    return F.struct(trimmed(body).alias("body"), trimmed(opinion).alias("opinion"))
+def split_opinion(text: Column) -> Column:
+    """struct<body, opinion>: the text before and behind the first mark of an opinion, without the separators around it; empty for what is missing."""
+    whole, none = F.coalesce(text, F.lit("")), F.lit("")
+    body, opinion = whole, none
+    for mark in reversed(fixed.OPINION_MARKS):
+        at = F.locate(mark, whole)
+        body = F.when(at > 0, F.regexp_replace(trimmed(F.substring(whole, F.lit(1), at - 1)), fixed.OPINION_TAIL, "")).otherwise(body)
+        opinion = F.when(at > 0, F.regexp_replace(trimmed(F.substring(whole, at + len(mark), F.length(whole))), fixed.OPINION_LEAD, "")).otherwise(opinion)
+    return F.struct(body.alias("body"), opinion.alias("opinion"))
 
 
 def card_field(markdown: Column, label: str) -> Column:

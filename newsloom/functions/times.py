@@ -68,15 +68,33 @@ def mode_of_hour(hour: Column) -> Column:
     return F.when(hour == 5, "morning").when(hour == 11, "noon").otherwise("summary")
 
 
+def _local(seconds: Column, pattern: str) -> Column:
+    """A Beijing time of day or date, by pattern."""
+    return F.date_format(F.timestamp_add("SECOND", seconds + BEIJING, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), pattern)
+
+
 def relative_label(seconds: Column, as_of: Column) -> Column:
+    """Just now, minutes, hours or days ago, from three days on the date; empty for null."""
     age = as_of - seconds
-    return (
-        F.when(age < 60, "just now")
-        .when(age < HOUR, F.concat(F.floor(age / 60).cast("string"), F.lit(" min")))
-        .when(age < DAY, F.concat(F.floor(age / HOUR).cast("string"), F.lit(" h")))
-        .when(age < 7 * DAY, F.concat(F.floor(age / DAY).cast("string"), F.lit(" d")))
-        .otherwise(F.date_format(beijing_date(seconds), "yyyy-MM-dd"))
-    )
+    ago = lambda unit, name: F.concat(F.floor(age / unit).cast("string"), F.lit(name))
+    label = F.when(age < 60, "刚刚").when(age < HOUR, ago(60, "分钟前")).when(age < DAY, ago(HOUR, "小时前")).when(age < 3 * DAY, ago(DAY, "天前")).otherwise(_local(seconds, "M月d日"))
+    return F.when(seconds.isNull(), "").otherwise(label)
+
+
+def absolute_label(seconds: Column) -> Column:
+    return F.coalesce(_local(seconds, "M/d HH:mm"), F.lit(""))
+
+
+def browse_label(seconds: Column, as_of: Column) -> Column:
+    """Time of day for today, then yesterday and days ago up to seven, else empty."""
+    days = F.datediff(beijing_date(as_of), beijing_date(seconds))
+    return F.when(seconds.isNull(), "").when(days <= 0, _local(seconds, "HH:mm")).when(days == 1, "昨天").when(days <= 7, F.concat(days.cast("string"), F.lit("天前"))).otherwise("")
+
+
+def day_label(seconds: Column, as_of: Column) -> Column:
+    """Time of day for today, else with the date; empty for null."""
+    same = beijing_date(seconds) == beijing_date(as_of)
+    return F.coalesce(F.when(same, F.concat(F.lit("今天 "), _local(seconds, "HH:mm"))).otherwise(_local(seconds, "MM-dd HH:mm")), F.lit(""))
 
 
 def duration_seconds(text: str) -> int:

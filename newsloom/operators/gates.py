@@ -41,21 +41,25 @@ def news_reason(title: Column, summary: Column, source: Column) -> Column:
 
 
 def intel_record_reason(title: Column, url: Column) -> Column:
-    t, u = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(url, F.lit("")))
-    return first_reason(("no title", t == ""), ("url scheme", ~u.rlike("(?i)^https?://")), ("title long", F.length(t) > 300))
+    """Why a candidate is no record: no title, no URL, another scheme, a title of under 4 or over 300 characters."""
+    t, u = text.fingerprint_title(title), text.trimmed(F.coalesce(url, F.lit("")))
+    return first_reason(("no title", t == ""), ("no url", u == ""), ("url scheme", ~u.rlike("(?i)^https?://")), ("title short", F.length(t) < 4), ("title long", F.length(t) > 300))
 
 
 def source_url_reason(url: Column, source: Column) -> Column:
-    """Why a source URL is blanked (the row stays): scheme, placeholders, a domain of another source, an odd host."""
-    u, h = F.coalesce(url, F.lit("")), urls.host(url)
-    expected = F.lit(None).cast("string")
-    for domain, name in fixed.SOURCE_DOMAINS.items():
-        expected = F.when((h == domain) | h.endswith("." + domain), name).otherwise(expected)
-    named = F.coalesce(source, F.lit("")).isin(*fixed.SOURCE_DOMAINS.values())
-    return first_reason(
-        ("scheme", ~u.rlike("(?i)^https?://")), ("placeholder", u.rlike(r"(?i)example\.(com|org)/?$|placeholder|xxx+|/(?:123456|0{4,})")),
-        ("source mismatch", named & expected.isNotNull() & (expected != source)), ("host", ~h.contains(".") | (F.length(h) < 6)),
-    )
+    """Why a source URL is blanked (the row stays): none, scheme, a placeholder, a host that is not the named source's, an odd host."""
+    u = text.trimmed(F.coalesce(url, F.lit("")))
+    h = urls.host(u)
+    strange = F.lit(False)
+    for name, domains in fixed.EXPECTED_DOMAINS.items():
+        own = F.lit(False)
+        for d in domains:
+            own = own | (h == d) | h.endswith("." + d)
+        strange = F.when(source == name, ~own).otherwise(strange)
+    placeholder = F.lit(False)
+    for p in fixed.PLACEHOLDER_URLS:
+        placeholder = placeholder | u.rlike(p)
+    return first_reason(("empty", u == ""), ("scheme", ~u.rlike("(?i)^https?://")), ("placeholder", placeholder), ("parse", h == ""), ("source mismatch", strange), ("host", ~h.contains(".") | (F.length(h) < 6)))
 
 
 def category_allowed(category: Column, extra: Column | None = None) -> Column:
@@ -138,13 +142,19 @@ def compliance(title: Column, summary: Column, content: Column, url_date: Column
 
 
 def due_sources(sources: DataFrame, as_of: Column) -> DataFrame:
-    """Sources to poll now: enabled and the interval over, or disabled for 24 hours and so tried again."""
-    elapsed = F.coalesce(as_of - F.col("last_fetch") >= F.col("poll_seconds"), F.lit(True))
-    again = (F.col("status") == "disabled") & (as_of - F.col("disabled_at") >= times.DAY)
-    return sources.where(F.coalesce(F.col("enabled"), F.lit(False)) & (((F.col("status") != "disabled") & elapsed) | F.coalesce(again, F.lit(False))))
-
-
-def invalid_description(desc: Column, source: Column) -> Column:
-    """Empty, a bare date, the source's name, or too short to say anything."""
-    d = F.trim(F.coalesce(desc, F.lit("")))
-    return (d == "") | d.rlike(r"^\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日?(\s+\d{1,2}:\d{2}(:\d{2})?)?$") | (d == F.coalesce(source, F.lit(""))) | (F.length(d) < 10)
+    """Sources to poll now: enabled and never fetched or the interval (an hour unless stated) over.
+
+    A disabled one is tried again a day after it was disabled, or last fetched where that is not known, and at once if neither is.
+    """
+    interval = F.coalesce(F.nullif(F.col("poll_seconds").cast("long"), F.lit(0).cast("long")), F.lit(times.HOUR).cast("long"))
+    elapsed = F.coalesce(as_of - F.col("last_fetch") >= interval, F.lit(True))
+    rested = F.coalesce(as_of - F.coalesce("disabled_at", "last_fetch") >= times.DAY, F.lit(True))
+    off = F.coalesce(F.col("status") == "disabled", F.lit(False))
+    return sources.where(F.coalesce(F.col("enabled"), F.lit(False)) & F.when(off, rested).otherwise(elapsed))
+
+
+def invalid_description(desc: Column, title: Column, source: Column) -> Column:
+    """Whether a description says nothing: empty, the title or the source's name, under 20 characters, or dates and punctuation but for 4."""
+    d = F.coalesce(desc, F.lit(""))
+    bare = F.regexp_replace(d, fixed.DATE_CHARACTERS, "")
+    return (d == "") | F.coalesce(d == title, F.lit(False)) | (F.length(d) < 20) | (F.length(bare) < 5) | F.coalesce(d == source, F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from . import gates
 
 
 def ready_to_replace(queue: DataFrame, in_flight: list[str], done: str = "done") -> DataFrame:
@@ -127,13 +128,36 @@ def labelled(tags: Column, labels: dict[str, str]) -> Column:
     return F.transform(tags, lambda x: F.struct(x.alias("tag"), F.coalesce(F.try_element_at(known, x), x).alias("label")))
 
 
-def summary_of(ai: Column, desc: Column, content: Column, title: Column, shortest: int = 30) -> Column:
-    """struct<summary, source>: the model's, else the description, else the first paragraph that is long enough, else the title."""
+def summary_of(ai: Column, desc: Column, content: Column, title: Column, source: Column, adopted: int = 60) -> Column:
+    """struct<summary, source>: a model's summary that is long enough, else the first paragraph that says something, else the title.
+
+    Without a text of over 10 characters the description stays, marked title if it says nothing.  Nulls are empty.
+    """
+    none = F.lit("")
+    given, head, body = text.trimmed(F.coalesce(desc, none)), F.coalesce(title, none), F.coalesce(content, none)
+    lines = F.filter(F.transform(F.split(body, "\n", -1), text.trimmed), lambda x: ~gates.invalid_description(x, head, source))
+    made = lambda value, kind: F.struct(value.alias("summary"), F.lit(kind).alias("source"))
+    of_text = F.when(F.size(lines) > 0, made(F.get(lines, F.lit(0)), "content")).otherwise(made(head, "title"))
+    as_given = F.when(gates.invalid_description(given, head, source), made(given, "title")).otherwise(made(given, "desc"))
+    return F.when(F.length(F.coalesce(ai, none)) >= adopted, made(ai, "ai")).when(F.length(body) > 10, of_text).otherwise(as_given)
+
+
+def body_of(content: Column, content_source: Column, raw: Column, summary: Column, summary_source: Column, title: Column, official: Column) -> Column:
+    """struct<content, content_source> that is published: a model's text, else its summary, else a short text; never the fetched one.
+
+    content is raw where no model has written it.  A body that would be empty is the summary, else the title.  Nulls are empty.
+    """
     none = F.lit("")
-    clean = lambda x: F.nullif(text.trimmed(F.coalesce(x, none)), none)
-    paragraph = F.get(F.filter(F.transform(F.split(F.coalesce(content, none), "\n", -1), text.trimmed), lambda x: F.length(x) >= shortest), F.lit(0))
-    made = lambda value, source: F.when(value.isNotNull(), F.struct(value.alias("summary"), F.lit(source).alias("source")))
-    return F.coalesce(made(clean(ai), "ai"), made(clean(desc), "desc"), made(clean(paragraph), "body"), made(F.coalesce(clean(title), none), "title"))
+    body, kind, brief, head = (F.coalesce(c, none) for c in (content, content_source, summary, title))
+    official = F.coalesce(official, F.lit(False))
+    kept = F.when(official & (body != "") & (body == F.coalesce(raw, none)), none).otherwise(body)
+    allowed = kind.isin("ai_interpretation", "official_rss")
+    by_model = (summary_source == "ai") & (brief != "")
+    kept = F.when(allowed, kept).when(by_model, brief).otherwise(none)
+    label = F.when(allowed, kind).when(by_model, "ai_summary").otherwise(F.when(kind == "fetched", none).otherwise(kind))
+    short = F.when(by_model | ((brief != "") & (brief != head)), brief).otherwise(head)
+    empty = (text.trimmed(kept) == "") & (short != "")
+    return F.struct(F.when(empty, short).otherwise(kept).alias("content"), F.when(empty, F.when(official, "official_rss").otherwise("ai_summary")).otherwise(label).alias("content_source"))
 
 
 # Shapes and queues ----------------------------------------------------------------------------------------------------

@@ -110,10 +110,23 @@ def gate(hard: Column, quality: Column, noise: Column) -> Column:
     return F.when(hard.isNotNull(), "compliance").when(quality < fixed.MIN_QUALITY, "quality").when(noise > fixed.MAX_NOISE, "noise")
 
 
-def feed_heat(tier: Column, published: Column, as_of: Column) -> Column:
-    """Heat of the per-item variant: a fixed heat by tier of the source, fading over a day."""
-    base = F.element_at(F.array(*[F.lit(x) for x in (20, 15, 12, 8, 6)]), F.greatest(F.lit(1), F.least(F.lit(5), tier)).cast("int"))
-    return F.round(base * F.exp(-F.greatest(F.lit(0.0), (as_of - published) / 3600.0) / 24)).cast("int")
+def feed_heat(authority: Column) -> Column:
+    """Heat of an official feed's item: fixed by the authority of its source, without any decay."""
+    out = F.lit(fixed.FEED_HEAT_OTHER)
+    for least, heat in reversed(fixed.FEED_HEAT):
+        out = F.when(authority >= least, heat).otherwise(out)
+    return out
+
+
+def feed_score(source: Column, url: Column, summary: Column, published: Column, hard: Column, as_of: Column) -> Column:
+    """struct<quality, heat, final, gated> of an official feed's item, scored by itself: the summary stands for the content, and it counts as unique."""
+    authority = source_authority(source, url)
+    said = text.trimmed(F.coalesce(summary, F.lit("")))
+    tidy = F.when(said == "", 0).otherwise(fixed.FEED_TEXT)
+    quality = F.when(hard.isNotNull(), 0).otherwise(quality_score(authority, completeness(summary, summary), timeliness(published, as_of), tidy, F.lit(100), F.lit(None).cast("string")))
+    heat = feed_heat(source_authority(source, F.lit("")))
+    noise = F.when(said == "", 0.0).otherwise(fixed.FEED_NOISE)
+    return F.struct(quality.alias("quality"), heat.alias("heat"), final_score(quality, heat).alias("final"), gate(hard, quality, noise).alias("gated"))
 
 
 def relevance(body: Column, focus: list[str], depth: str = "std") -> Column:
@@ -163,9 +176,11 @@ def search_fast_path(query: Column) -> Column:
     return F.when(text.any_of(fixed.SEARCH_OTHER, q), F.lit(None)).when(related, F.lit(True)).cast("boolean")
 
 
-def accepted_output(summary: Column, interpretation: Column, shortest: int) -> Column:
-    """Whether a model's answer is long enough to be adopted."""
-    return (F.length(summary) >= 60) & (F.length(interpretation) >= max(50, shortest // 4))
+def accepted_output(summary: Column, interpretation: Column, shortest: Column) -> Column:
+    """struct<summary_usable, summary_adopted, interpretation>: whether a model's answers are long enough; shortest is the length asked for."""
+    least = F.greatest(F.lit(50), F.floor(shortest * 0.25 + 0.5).cast("int"))
+    n = lambda c: F.length(F.coalesce(c, F.lit("")))
+    return F.struct((n(summary) >= 30).alias("summary_usable"), (n(summary) >= 60).alias("summary_adopted"), (n(interpretation) >= least).alias("interpretation"))
 
 
 def decayed(final: Column, published: Column, as_of: Column, per_hour: float = 1.0) -> Column:

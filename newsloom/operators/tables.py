@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed, text
+from . import gates
+
 # Dedup ------------------------------------------------------------------------------------------------------------
 
 
@@ -52,22 +55,48 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: list[str] =
     return both.select(key, *[pick(c).alias(c) for c in existing.columns if c != key])
 
 
-def merge_published(existing: DataFrame, incoming: DataFrame, key: str = "dedup_key") -> DataFrame:
-    """Published rows after a batch: a model's summary beats others, a longer description beats a shorter one, an
-    interpretation is never lost, and creation time and retention stay."""
-    e = existing.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in existing.columns if c != key])
-    j = incoming.join(e, key, "full_outer")
-    from_model = F.coalesce(F.col("summary_source") == "model", F.lit(False))
-    old_model = F.coalesce(F.col("__summary_source") == "model", F.lit(False))
-    keep_old = F.col("summary").isNull() | (old_model & ~from_model) | (~old_model & ~from_model & (F.length(F.coalesce("__summary", F.lit(""))) > F.length(F.col("summary"))))
+def best_of_batch(batch: DataFrame, key: str = "dedup_key", order: Column | None = None) -> DataFrame:
+    """One row of each key of a batch: an interpretation before a model's summary before others, then one with an opinion, then quality; ties to the first in order."""
+    kind = F.when(F.col("content_source") == "ai_interpretation", 3.0).when(F.col("content_source") == "ai_summary", 2.0).otherwise(0.0)
+    opinion = F.when(F.trim(F.coalesce("opinion", F.lit(""))) != "", 0.5).otherwise(0.0)
+    rank = kind + opinion + F.coalesce(F.col("quality"), F.lit(0)) / 100
+    place = F.row_number().over(Window.partitionBy(key).orderBy(rank.desc(), F.col(key) if order is None else order))
+    return batch.withColumn("__n", place).where(F.col("__n") == 1).drop("__n")
+
+
+def merge_published(existing: DataFrame, incoming: DataFrame, as_of: int, key: str = "dedup_key") -> DataFrame:
+    """Published rows after a batch, a row a key on both sides.
+
+    Both have title, source, summary, summary_source (ai, desc or title), content, content_source, opinion, created, retained,
+    retained_at and expires; other columns are taken as they come.  A model's summary is not replaced by another kind, a
+    description that says something not by a shorter one.  Fetched text that a model's summary stands for is marked so, and
+    without a text it has no mark.  An interpretation gives way only to another one or to an official feed.  The time of creation
+    and retention stay; a retained row lives 30 days from when it was retained, others 7 days from now.
+    """
+    e = existing.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in existing.columns if c != key], F.lit(True).alias("__there"))
+    j = incoming.withColumn("__new", F.lit(True)).join(e, key, "full_outer")
+    none = F.lit("")
+    said, old_said = F.coalesce("summary", none), F.coalesce("__summary", none)
+    kind = F.coalesce(F.nullif("summary_source", none), F.when((said == "") | (said == F.coalesce("title", none)), "title").otherwise("desc"))
+    old_kind = F.coalesce(F.nullif("__summary_source", none), F.when((old_said != "") & (old_said != F.coalesce("__title", none)), "desc").otherwise("title"))
+    there = F.coalesce("__there", F.lit(False))
+    old_ai = there & (old_kind == "ai") & (kind != "ai")
+    worthy = ~gates.invalid_description(old_said, F.col("title"), F.col("source"))
+    old_desc = there & (old_kind != "ai") & (kind != "ai") & worthy & (F.length(old_said) > F.length(said))
+    summary = F.when(old_ai | old_desc, old_said).otherwise(said)
+    summary_source = F.when(old_ai, "ai").when(old_desc, "desc").otherwise(kind)
+    body, mark = F.coalesce("content", none), F.coalesce("content_source", none)
+    mark = F.when((mark == "fetched") & (summary_source == "ai") & (summary != ""), "ai_summary").when((mark == "fetched") & (text.trimmed(body) == ""), none).otherwise(mark)
+    guarded = there & (F.col("__content_source") == "ai_interpretation") & ~mark.isin("ai_interpretation", "official_rss")
+    keep = lambda c: F.when(F.coalesce(guarded, F.lit(False)), F.coalesce(F.nullif(f"__{c}", none), F.coalesce(c, none))).otherwise(F.coalesce(c, none))
+    retained = there & F.coalesce("__retained", F.lit(False))
+    retained_at = F.when(retained, F.coalesce("__retained_at", F.lit(as_of).cast("long")))
     picked = {
-        "summary": F.when(keep_old, F.coalesce("__summary", "summary")).otherwise(F.col("summary")),
-        "summary_source": F.when(keep_old, F.coalesce("__summary_source", "summary_source")).otherwise(F.col("summary_source")),
-        "opinion": F.coalesce("opinion", "__opinion"),
-        "created": F.coalesce("__created", "created"),
-        "retained": F.coalesce("__retained", "retained", F.lit(False)),
-    }
-    return j.select(key, *[picked.get(c, F.coalesce(c, f"__{c}")).alias(c) for c in incoming.columns if c != key])
+        "summary": summary, "summary_source": summary_source, "content": keep("content"), "opinion": keep("opinion"), "content_source": F.when(F.coalesce(guarded, F.lit(False)), "ai_interpretation").otherwise(mark),
+        "created": F.coalesce("__created", F.lit(as_of).cast("long")), "retained": retained, "retained_at": retained_at, "expires": F.when(retained, retained_at + fixed.RETAINED_TTL).otherwise(F.lit(as_of + fixed.PUBLISHED_TTL)),
+    }
+    old = lambda c: F.col(f"__{c}") if c in existing.columns else F.lit(None)
+    return j.select(key, *[F.when(F.col("__new"), picked.get(c, F.col(c))).otherwise(old(c)).cast(kind_).alias(c) for c, kind_ in incoming.dtypes if c != key])
 
 
 def override_by_priority(frames: list[DataFrame], key: str) -> DataFrame:
@@ -246,10 +275,22 @@ def daily_brief(items: DataFrame, day: str, order: list[Column], source_cap: int
     return ranked.groupBy(day).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.struct("rank", "id", "title", "source"))).alias("items"))
 
 
-def brief_markdown(title: Column, summary: Column, source: Column, tags: Column) -> Column:
-    """A card of the brief; parts that are missing leave no line."""
-    line = lambda label, c: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, F.concat(F.lit(f"**{label}**：") if label else F.lit("### "), c))
-    return F.concat_ws("\n", line("", title), line("摘要", summary), line("来源", source), line("标签", F.array_join(tags, "、")))
+def brief_card(row: dict[str, Column], labels: dict[str, str] = fixed.CARD) -> Column:
+    """A card of the brief in Markdown.
+
+    row: title, contract (a change of contract), source, source_id, published, url, happened, definition, scene, practice, action;
+    what is missing or empty leaves no line, but for title and source.  Of what happened the first two paragraphs are shown, 160
+    characters each.
+    """
+    of = lambda name: text.trimmed(F.coalesce(row.get(name, F.lit(None)).cast("string"), F.lit("")))
+    or_else = lambda c, other: F.when(c == "", other).otherwise(c)
+    link = F.when(of("url") == "", fixed.CARD_NO_LINK).otherwise(F.concat(F.lit("["), of("url"), F.lit("]("), of("url"), F.lit(")")))
+    head = F.concat(F.lit("### "), or_else(of("title"), F.lit(fixed.CARD_UNTITLED)), F.when(F.coalesce(row.get("contract", F.lit(False)), F.lit(False)), "\n" + fixed.CARD_CONTRACT).otherwise(""))
+    parts = F.slice(F.filter(F.split(of("happened"), "\n+", -1), lambda x: x != ""), 1, 2)
+    happened = F.array_join(F.transform(parts, lambda x: F.substring(text.trimmed(x), 1, 160)), " ")
+    line = lambda name, c: F.when(c != "", F.concat(F.lit(f"- **{labels[name]}**："), c))
+    traced = F.concat(or_else(of("source"), or_else(of("source_id"), F.lit(fixed.CARD_UNKNOWN))), F.lit(" · "), of("published"), F.lit(" · "), link)
+    return F.concat_ws("\n", head, line("source", traced), line("happened", happened), *[line(n, of(n)) for n in ("definition", "scene", "practice", "action")])
 
 
 def with_engagement(items: DataFrame, events: DataFrame, key: str, favourite: Column, browse: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over details, answers, queues, changelogs and logs; rule cases go by doc_id."""
+"""Queries over details, answers, queues, changelogs and logs, made of the tables' own texts, addresses and events."""
 
 from __future__ import annotations
 
@@ -7,91 +7,115 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import publish, tables
 from ..sources import exports, html
+from .documents import ITEMS, items
+from .events import AS_OF, E, timed
 from .registry import query
-from .rules import AS_OF, case
+from .rules import PLAIN, TRIM, first_words
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'New model' WHEN 1 THEN 'AINews]' WHEN 2 THEN '' ELSE 'On AINews] today' END AS title,
-  CASE doc_id % 3 WHEN 0 THEN 'techworld' WHEN 1 THEN '' ELSE '科技新闻' END AS category FROM documents""")
+@query(f"""WITH {ITEMS}, d AS (SELECT id, {TRIM.format("title")} AS name, category FROM items)
+SELECT id, CASE WHEN name = '' THEN 'ainews]' ELSE name END AS title, lower(replace(category, ' ', '')) || 'news' AS category FROM d""")
 def item_titles_cleaned(t):
-    title = text.clean_item_title(case("ainews]  New model ", "AINews]", None, " On AINews] today"))
-    return t("documents").select("doc_id", title.alias("title"), text.category_name_key(case(" Tech World", None, "科技　新闻")).alias("category"))
+    d = items(t("documents")).withColumn("name", text.trimmed(F.col("title")))
+    title = F.when(F.length("name") % 2 == 0, F.concat(F.lit(" ainews]  "), "name")).otherwise(F.concat(F.lit("  "), "name"))
+    return d.select("id", text.clean_item_title(title).alias("title"), text.category_name_key(F.concat(F.lit(" "), F.upper("category"), F.lit("　News"))).alias("category"))
 
 
-ANSWER = "**要点**\n\n- one `a`\n* two [b](http://x)\n参考来源：http://y\nplain *c* ☀\nmore\n# Next\n## Last"
-POINTS = "今天的要点\n1. 甲：**乙** 丙\n续行\n丁：戊\n"
+_WORDS = "string_split(plain, ' ')"
+_PART = lambda n, k: f"array_to_string(({_WORDS})[{n}:{k}], ' ')"
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'heading=要点|bullet=one a/two b|para=plain c/more|heading=Next|heading=Last' WHEN 1 THEN '' ELSE 'para=only' END AS sections,
-  CASE doc_id % 4 WHEN 0 THEN '今天的要点' ELSE '' END AS summary, CASE doc_id % 4 WHEN 0 THEN '甲=乙 丙/续行|丁=戊' WHEN 1 THEN '' WHEN 2 THEN '=' || repeat('x', 40) ELSE 'a=b' END AS points FROM documents""")
+@query(f"""WITH {PLAIN}, w AS (SELECT doc_id, plain, {_PART(1, 4)} AS a, {_PART(5, 8)} AS b, {_PART(9, 12)} AS c, {_PART(13, 16)} AS e FROM d WHERE len({_WORDS}) >= 16 AND length({_PART(1, 4)}) < 33)
+SELECT doc_id, 'heading=' || a || '|bullet=' || b || '/' || c || '|para=' || e || '|heading=' || a AS sections, 'About ' || a AS summary, b || '=' || c || '/' || e AS points FROM w""")
 def markdown_answers(t):
-    sections = text.markdown_sections(case(ANSWER, None, " only \n来源: https://z.org"))
-    points = text.answer_points(case(POINTS, None, "x" * 40, "2、a: b"))
+    """A model's answer put together from a text's first words."""
+    d = first_words(t("documents")).withColumn("w", F.split("plain", " ", -1))
+    part = lambda n: F.array_join(F.slice("w", n, 4), " ")
+    d = d.where(F.size("w") >= 16).select("doc_id", part(1).alias("a"), part(5).alias("b"), part(9).alias("c"), part(13).alias("e")).where(F.length("a") < 33)
+    answer = F.concat(F.lit("**"), "a", F.lit("**\n\n- "), "b", F.lit("\n* ["), "c", F.lit("](http://x)\n参考来源：http://y\n"), "e", F.lit("\n## "), "a")
+    listed = F.concat(F.lit("About "), "a", F.lit("\n1. "), "b", F.lit("：**"), "c", F.lit("**\n"), "e", F.lit("\n"))
+    sections, points = text.markdown_sections(answer), text.answer_points(listed)
     shown = lambda parts, a, b: F.array_join(F.transform(parts, lambda x: F.concat(x[a], F.lit("="), F.regexp_replace(x[b], "\n", "/"))), "|")
-    return t("documents").select("doc_id", shown(sections, "type", "text").alias("sections"), points["summary"].alias("summary"), shown(points["items"], "title", "body").alias("points"))
+    return d.select("doc_id", shown(sections, "type", "text").alias("sections"), points["summary"].alias("summary"), shown(points["items"], "title", "body").alias("points"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN coalesce(text, '') ELSE '' END AS shown, CASE doc_id % 4 WHEN 0 THEN 'ai_interpretation' WHEN 1 THEN 'official_rss' WHEN 2 THEN 'ai_summary' ELSE 'r1_blocked_fulltext' END AS shown_source,
-  doc_id % 4 = 3 AS blocked, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE coalesce(nullif(source, ''), 'rss') || '_0123456789abcdef' END AS id, doc_id % 3 = 0 AS focus,
-  'T' AS title, CASE WHEN doc_id % 2 = 0 THEN 'ai_interpretation' ELSE 'rss' END AS content_source, coalesce(source, '') AS source_name, '10:00' AS publish_time FROM documents""")
+_KIND = "CASE length(content) % 4 WHEN 0 THEN 'ai_interpretation' WHEN 1 THEN 'official_rss' WHEN 2 THEN 'ai_summary' ELSE 'cached' END"
+
+
+@query(f"""WITH {ITEMS}, d AS (SELECT *, {_KIND} AS kind FROM items)
+SELECT id AS doc, CASE WHEN kind <> 'cached' THEN content ELSE '' END AS shown, CASE WHEN kind = 'cached' THEN 'r1_blocked_fulltext' ELSE kind END AS shown_source, kind = 'cached' AS blocked, CASE WHEN length(content) % 2 = 0 THEN CAST(id AS VARCHAR) ELSE coalesce(nullif(source, ''), 'rss') || '_' || left(sha256(title), 16) END AS id,
+  category IN ('en', 'fr') AS focus, title, CASE WHEN summary <> '' THEN 'ai_interpretation' ELSE '' END AS content_source, coalesce(source, '') AS source_name, CAST(published AS VARCHAR) AS publish_time FROM d""")
 def detail_shapes(t):
-    shown = publish.shown_content(F.col("text"), case("ai_interpretation", "official_rss", "ai_summary", "cached"))
-    given = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string"))
-    tags, focus = case(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c")), F.lit(None).cast("array<string>")), F.array(F.lit("b"))
-    detail = publish.detail({"title": F.lit("T"), "summary": F.lit("s"), "content_source": case("", "rss"), "source": F.col("source"), "time": F.lit("10:00")})
-    return t("documents").select(
-        "doc_id", shown["content"].alias("shown"), shown["content_source"].alias("shown_source"), shown["blocked"].alias("blocked"), publish.item_id(given, F.col("source"), F.lit("rss"), F.lit("0123456789abcdef0123")).alias("id"),
-        publish.in_focus(tags, focus).alias("focus"), *[detail[n].alias(n) for n in ("title", "content_source", "source_name", "publish_time")],
+    d = items(t("documents"))
+    size = F.length("content")
+    kind = F.when(size % 4 == 0, "ai_interpretation").when(size % 4 == 1, "official_rss").when(size % 4 == 2, "ai_summary").otherwise("cached")
+    shown = publish.shown_content(F.col("content"), kind)
+    detail = publish.detail({"title": F.col("title"), "summary": F.col("summary"), "source": F.col("source"), "time": F.col("published")})
+    given = F.when(size % 2 == 0, F.col("id").cast("string"))
+    return d.select(
+        F.col("id").alias("doc"), shown["content"].alias("shown"), shown["content_source"].alias("shown_source"), shown["blocked"].alias("blocked"), publish.item_id(given, F.col("source"), F.lit("rss"), F.sha2("title", 256)).alias("id"),
+        publish.in_focus(F.array("category", F.lit("x")), F.array(F.lit("en"), F.lit("fr"))).alias("focus"), *[detail[n].alias(n) for n in ("title", "content_source", "source_name", "publish_time")],
     )
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text=a|text=b|predict=p' WHEN 1 THEN 'predict=p' WHEN 2 THEN 'text=a' ELSE '' END AS blocks, CASE WHEN doc_id % 2 = 0 THEN 'text,text' ELSE 'predict' END AS demoted FROM documents")
+@query(f"""WITH {ITEMS}, b AS (SELECT id, list_filter(list_transform(string_split_regex({TRIM.format("replace(content, chr(10), chr(10) || chr(10))")}, '\n{{2,}}'), lambda x: {TRIM.format("x")}), lambda x: x <> '') AS parts, CASE WHEN length(content) % 2 = 0 THEN {TRIM.format("title")} ELSE '' END AS said FROM items)
+SELECT id, len(parts) AS n_text, CAST(said <> '' AND len(parts) > 0 OR said <> '' AS INT) AS n_predict, array_to_string(parts, '|') || CASE WHEN said <> '' THEN '|' || said ELSE '' END AS words, CASE WHEN said <> '' THEN CASE WHEN len(parts) > 0 THEN 'text' ELSE 'predict' END ELSE '' END AS turned FROM b""")
 def story_block_rules(t):
-    blocks = publish.story_blocks(case(" a\n\n\nb ", "", "a", None), case("p", " p", None, ""))
-    one = lambda kind: F.struct(F.lit(kind).alias("type"), F.lit("x").alias("text"))
-    first = publish.demoted(case(F.array(one("predict"), one("text")), F.array(one("predict"))))
-    shown = F.array_join(F.transform(blocks, lambda x: F.concat_ws("=", x["type"], x["text"])), "|")
-    return t("documents").select("doc_id", shown.alias("blocks"), F.array_join(F.transform(first, lambda x: x["type"]), ",").alias("demoted"))
+    said = F.when(F.length("content") % 2 == 0, F.col("title")).otherwise("")
+    d = items(t("documents")).select("id", publish.story_blocks(F.replace("content", F.lit("\n"), F.lit("\n\n")), said).alias("b"))
+    of = lambda kind: F.filter("b", lambda x: x["type"] == kind)
+    # A prediction set before the rest counts as text.
+    turned = publish.demoted(F.concat(of("predict"), of("text")))
+    first = F.when(F.size(of("predict")) > 0, F.get(turned, F.lit(0))["type"]).otherwise("")
+    return d.select("id", F.size(of("text")).cast("long").alias("n_text"), F.size(of("predict")).alias("n_predict"), F.array_join(F.transform("b", lambda x: x["text"]), "|").alias("words"), first.alias("turned"))
 
 
 def _queue(t):
-    n = F.col("doc_id")
-    return t("documents").select(
-        n.alias("id"), case("pending", "processing", "done", "pending").alias("status"), (F.lit(AS_OF) - (n % 11) * 60).cast("long").alias("claimed_at"), (n * 7 % 1000).alias("created"),
-        (n % 5).cast("int").alias("retries"), F.when(n % 3 == 0, F.lit(AS_OF) - (n % 20) * 60).cast("long").alias("failed_at"), (n % 21).cast("int").alias("skips"),
-    )
+    kind = F.col("event_type")
+    status = F.when(kind == "click", "processing").when(kind == "purchase", "done").otherwise("pending")
+    retries, skips = F.floor(F.col("value") / 8).cast("int"), F.floor(F.col("value") % 21).cast("int")
+    failed = F.when(kind == "error", F.col("at_s")).cast("long")
+    return timed(t).select(F.col("event_id").alias("id"), status.alias("status"), F.col("at_s").alias("claimed_at"), (F.col("at_s") % 86400).alias("created"), retries.alias("retries"), failed.alias("failed_at"), skips.alias("skips"))
 
 
-QUEUE = f"""q AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'pending' END AS status, {AS_OF} - (doc_id % 11) * 60 AS claimed_at, doc_id * 7 % 1000 AS created,
-  doc_id % 5 AS retries, CASE WHEN doc_id % 3 = 0 THEN {AS_OF} - (doc_id % 20) * 60 END AS failed_at, doc_id % 21 AS skips FROM documents)"""
+#: Within the events, so that leases and cool-downs of some are over and of others not.
+_AT = AS_OF - 2 * 86400
+QUEUE = f"""{E}, q AS (SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'done' ELSE 'pending' END AS status, at_s AS claimed_at, at_s % 86400 AS created, CAST(floor(value / 8) AS INT) AS retries,
+  CASE WHEN event_type = 'error' THEN at_s END AS failed_at, CAST(floor(value % 21) AS INT) AS skips FROM e)"""
 
 
-@query(f"""WITH {QUEUE}, b AS (SELECT * FROM q WHERE status = 'pending' OR (status = 'processing' AND claimed_at < {AS_OF} - 300) ORDER BY created, id LIMIT 50)
-SELECT id FROM b WHERE retries < 3 AND (failed_at IS NULL OR {AS_OF} - failed_at >= 600)""")
+@query(f"""WITH {QUEUE}, b AS (SELECT * FROM q WHERE status = 'pending' OR (status = 'processing' AND claimed_at < {_AT} - 300) ORDER BY created, id LIMIT 50)
+SELECT id FROM b WHERE retries < 3 AND (failed_at IS NULL OR {_AT} - failed_at >= 600)""")
 def queue_claims(t):
-    return publish.claimed(_queue(t), AS_OF, 50).select("id")
+    return publish.claimed(_queue(t), _AT, 50).select("id")
 
 
-@query(f"""WITH {QUEUE}, o AS (SELECT *, CASE id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'postponed' WHEN 2 THEN 'done' END AS o FROM q),
-n AS (SELECT id, status, o, CAST(retries + CASE WHEN o = 'failed' THEN 1 ELSE 0 END AS INT) AS retries, CAST(skips + CASE WHEN o = 'postponed' THEN 1 ELSE 0 END AS INT) AS skips, CASE WHEN o = 'failed' THEN {AS_OF} ELSE failed_at END AS failed_at FROM o)
+@query(f"""WITH {QUEUE}, o AS (SELECT *, CASE WHEN claimed_at % 6 = 0 THEN 'failed' WHEN claimed_at % 6 = 1 THEN 'postponed' WHEN claimed_at % 6 = 2 THEN 'done' END AS o FROM q),
+n AS (SELECT id, status, o, CAST(retries + CASE WHEN o = 'failed' THEN 1 ELSE 0 END AS INT) AS retries, CAST(skips + CASE WHEN o = 'postponed' THEN 1 ELSE 0 END AS INT) AS skips, CASE WHEN o = 'failed' THEN {_AT} ELSE failed_at END AS failed_at FROM o)
 SELECT id, retries, skips, CAST(coalesce(failed_at, 0) AS BIGINT) AS failed_at, CASE WHEN o = 'done' THEN 'done' WHEN (o = 'failed' AND retries >= 3) OR (o = 'postponed' AND skips >= 20) THEN 'discarded' WHEN o IN ('failed', 'postponed') THEN 'pending' ELSE status END AS status FROM n""")
 def queue_after_attempts(t):
-    outcomes = t("documents").where("doc_id % 6 < 3").select(F.col("doc_id").alias("id"), F.element_at(F.array(*[F.lit(x) for x in ("failed", "postponed", "done")]), (F.col("doc_id") % 6 + 1).cast("int")).alias("outcome"))
-    return publish.after_attempt(_queue(t), outcomes, AS_OF).select("id", "retries", "skips", F.coalesce("failed_at", F.lit(0)).alias("failed_at"), "status")
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("failed", "postponed", "done")]), (F.col("claimed_at") % 6 + 1).cast("int"))
+    outcomes = _queue(t).where("claimed_at % 6 < 3").select("id", outcome.alias("outcome"))
+    return publish.after_attempt(_queue(t), outcomes, _AT).select("id", "retries", "skips", F.coalesce("failed_at", F.lit(0)).alias("failed_at"), "status")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 60 > 48 THEN 'stale-pending(>48h)' WHEN doc_id % 5 >= 3 THEN 'llm-fail-retry-exhausted' END AS reason FROM documents")
+@query(f"""WITH {E} SELECT event_id, CASE WHEN {_AT} - at_s > 172800 THEN 'stale-pending(>48h)' WHEN floor(value / 15) >= 3 THEN 'llm-fail-retry-exhausted' END AS reason FROM e""")
 def pending_rejections(t):
-    return t("documents").select("doc_id", publish.pending_verdict(F.lit(AS_OF) - (F.col("doc_id") % 60) * 3600, (F.col("doc_id") % 5), F.lit(AS_OF)).alias("reason"))
+    return timed(t).select("event_id", publish.pending_verdict(F.col("at_s"), F.floor(F.col("value") / 15), F.lit(_AT)).alias("reason"))
+
 
+_SLUG = "'https://x.org/log#' || regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g')"
 
-@query("""SELECT doc_id, 'Release ' || doc_id AS title, 'https://x.org/log#release-' || doc_id AS url, '2024-01-05' AS date, 'Date: 2024-1-5 Release ' || doc_id || ' first' AS content FROM documents
-UNION ALL SELECT doc_id, '新版本', 'https://x.org/log#新版本', '2023-12-31', 'Date: 2023-12-31 新版本 b' FROM documents WHERE false
-UNION ALL SELECT doc_id, 'Minor fix!', 'https://x.org/log#minor-fix', '2023-11-02', 'Date: 2023-11-02 Minor fix! c' FROM documents""")
+
+@query(f"""WITH {PLAIN}, w AS (SELECT doc_id, trim({_PART(1, 3)}) AS a, trim({_PART(4, 6)}) AS b FROM d WHERE len({_WORDS}) >= 6), c AS (SELECT * FROM w WHERE length(a) >= 4 AND length(b) >= 4)
+SELECT doc_id, a AS title, {_SLUG.format("a")} AS url, '2024-01-05' AS date, left('Date: 2024-1-5 ' || a || ' first', 500) AS content FROM c
+UNION ALL SELECT doc_id, b, {_SLUG.format("b")}, '2023-11-02', left('Date: 2023-11-02 ' || b || ' c', 500) FROM c WHERE lower(a) <> lower(b)""")
 def changelog_entries_parsed(t):
-    title = F.concat(F.lit("Release "), F.col("doc_id").cast("string"))
-    page = F.concat(F.lit("<p>intro</p><h2 id=a>Date: 2024-1-5</h2><h3>"), title, F.lit("</h3><p>first</p><h2>Date: 2023-12-31</h2><h3>新版本</h3>b<H2>Date: 2023-11-02</H2><h3>Minor <b>fix!</b></h3>c<h2>Date: 2023-10-01</h2><h3>"), title, F.lit("</h3>again"))
-    return t("documents").select("doc_id", F.explode(html.changelog_entries(page, F.lit("https://x.org/log"))).alias("e")).select("doc_id", "e.*")
+    d = first_words(t("documents")).withColumn("w", F.split("plain", " ", -1)).where(F.size("w") >= 6)
+    part = lambda n: F.trim(F.array_join(F.slice("w", n, 3), " "))
+    d = d.select("doc_id", part(1).alias("a"), part(4).alias("b")).where((F.length("a") >= 4) & (F.length("b") >= 4))
+    page = F.concat(F.lit("<p>intro</p><h2 id=a>Date: 2024-1-5</h2><h3>"), "a", F.lit("</h3><p>first</p><H2>Date: 2023-11-02</H2><h3><b>"), "b", F.lit("</b></h3>c<h2>Date: 2023-10-01</h2><h3>"), "a", F.lit("</h3>again"))
+    return d.select("doc_id", F.explode(html.changelog_entries(page, F.lit("https://x.org/log"))).alias("e")).select("doc_id", "e.*")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -114,31 +138,34 @@ def brief_item_lookup(t):
     return tables.lookup_chain(d, [d.where("doc_id % 5 = 0"), brief(d.where("doc_id % 3 = 0")), brief(d.where("doc_id % 2 = 0"))], "doc_id").select("doc_id", "found_in")
 
 
-@query("""WITH l AS (SELECT doc_id, regexp_extract_all('see T-' || doc_id % 7 || ', xT-1; T-' || doc_id % 5 || '-b (T-' || doc_id % 3 || ')', '[A-Za-z0-9-]+') AS names FROM documents),
-m AS (SELECT task, doc_id FROM (SELECT 'T-' || unnest(range(8)) AS task) JOIN l ON list_contains(names, task))
-SELECT task, doc_id, CAST(row_number() OVER (PARTITION BY task ORDER BY doc_id DESC) AS INT) AS rank FROM m QUALIFY rank <= 3""")
+@query("""WITH l AS (SELECT doc_id, n_chars, list_distinct(regexp_extract_all(text, '[A-Za-z0-9-]+')) AS names FROM documents), m AS (SELECT task, doc_id, n_chars FROM (SELECT DISTINCT lang AS task FROM documents) JOIN l ON list_contains(names, task))
+SELECT task, doc_id, CAST(row_number() OVER (PARTITION BY task ORDER BY n_chars DESC, doc_id DESC) AS INT) AS rank FROM m QUALIFY rank <= 3""")
 def task_log_newest(t):
-    n = lambda k: (F.col("doc_id") % k).cast("string")
-    log = t("documents").select("doc_id", F.col("doc_id").alias("at"), F.concat(F.lit("see T-"), n(7), F.lit(", xT-1; T-"), n(5), F.lit("-b (T-"), n(3), F.lit(")")).alias("body"))
-    tasks = t("documents").where("doc_id < 8").select(F.concat(F.lit("T-"), F.col("doc_id").cast("string")).alias("task"))
-    return tables.task_log(tasks, log, "task", "body", "at", "doc_id").select("task", "doc_id", "rank")
+    """Texts that name a language's code as a word."""
+    tasks = t("documents").select(F.col("lang").alias("task"))
+    return tables.task_log(tasks, t("documents").select("doc_id", "n_chars", "text"), "task", "text", "n_chars", "doc_id").select("task", "doc_id", "rank")
 
 
 @query(f"""SELECT CASE WHEN doc_id % 2 = 0 THEN 'https://x.org/' || doc_id ELSE '' END AS url, CASE WHEN doc_id % 3 = 0 THEN '(无标题)' ELSE 'T' END AS title, CAST(CASE WHEN doc_id % 2 = 0 THEN {AS_OF} ELSE 0 END AS BIGINT) AS published,
   left(coalesce(nullif(text, ''), 'd'), 5000) AS content, left(regexp_replace(coalesce(nullif(text, ''), 'd'), '\\s+', ' ', 'g'), 300) AS summary FROM documents""")
 def export_items_normalised(t):
     rows = t("documents").select(
-        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://x.org/"), F.col("doc_id").cast("string"))).alias("link"), case("", "T", "T").alias("title"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://x.org/"), F.col("doc_id").cast("string"))).alias("link"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("T").alias("title"),
         F.when(F.col("doc_id") % 2 == 0, F.lit(AS_OF)).alias("publish_time"), F.col("text").alias("content"), F.lit("d").alias("digest"),
     )
     return exports.export_items(rows).withColumn("published", F.coalesce("published", F.lit(0)))
 
 
-@query("""SELECT doc_id, 'https://x.org/a/' || doc_id AS url, 'First one' AS title FROM documents UNION ALL SELECT doc_id, 'http://y.org/b', 'Third one' FROM documents""")
+_LINK = "<li><a href=\"([^\"]+)\">([^<]*)</a></li>"
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS host, regexp_extract_all(html, '{_LINK}', 1) AS hrefs, regexp_extract_all(html, '{_LINK}', 2) AS names FROM pages),
+i AS (SELECT page_id, host, hrefs, names, unnest(range(1, len(hrefs) + 1)) AS i FROM p), k AS (SELECT page_id, i, host || CASE WHEN starts_with(hrefs[i], '/') THEN hrefs[i] ELSE '/' || hrefs[i] END AS url, trim(regexp_replace(names[i], '\\s+', ' ', 'g')) AS title FROM i)
+SELECT page_id, url, title FROM (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY i) AS n FROM k WHERE length(title) >= 4) WHERE n = 1""")
 def heading_links_parsed(t):
-    n = F.col("doc_id").cast("string")
-    page = F.concat(F.lit("<h2 class=t> <a class='k' href='/a/"), n, F.lit("'>First <b>one</b></a></h2><h3><a href=\"/c\">abc</a></h3><h3><a href=\"https://x.org/a/"), n, F.lit("\">Again one</a></h3><H4><a href=\"http://y.org/b\">Third\none</a></H4><h2><a href=\"/d\">Unclosed</a></h3>"))
-    return t("documents").select("doc_id", F.explode(html.heading_links(page, F.lit("https://x.org/list"))).alias("e")).select("doc_id", "e.*")
+    """The pages' menus, set as headings."""
+    page = F.regexp_replace("html", _LINK, '<h3 class="t"> <a class="k" href="$1">$2</a></h3>')
+    return t("pages").select("page_id", F.explode(html.heading_links(page, F.regexp_extract("url", "^https?://[^/]+", 0))).alias("e")).select("page_id", "e.url", "e.title")
 
 
 @query("SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id % 4 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")

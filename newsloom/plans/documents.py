@@ -155,16 +155,20 @@ def upsert_latest_wins(t):
     return tables.upsert(t("labels"), incoming, "doc_id", keep=["toxic"])
 
 
-@query(f"""WITH {ITEMS}, e AS (SELECT 'T:' || title AS dedup_key, any_value(content ORDER BY id) AS summary, min(published) AS created FROM items WHERE title <> '' AND category = 'en' GROUP BY 1),
-i AS (SELECT 'T:' || title AS dedup_key, min(summary) AS summary, min(published) + 1 AS created FROM items WHERE title <> '' GROUP BY 1)
-SELECT dedup_key, CASE WHEN i.summary IS NULL OR length(coalesce(e.summary, '')) > length(i.summary) THEN coalesce(e.summary, i.summary) ELSE i.summary END AS summary, coalesce(e.created, i.created) AS created
-FROM i FULL JOIN e USING (dedup_key)""")
+_BARE = r"[\d\s\-/:.\x{3000},，。、年月日时分秒]+"
+
+
+@query(f"""WITH {ITEMS}, e AS (SELECT title, any_value(content ORDER BY id) AS summary, min(published) AS created FROM items WHERE title <> '' AND category = 'en' GROUP BY title),
+i AS (SELECT title, min(summary) AS summary FROM items WHERE title <> '' GROUP BY title)
+SELECT 'T:' || title AS dedup_key, CASE WHEN e.summary <> title AND length(e.summary) >= 20 AND length(regexp_replace(e.summary, '{_BARE}', '', 'g')) >= 5 AND length(e.summary) > length(i.summary) THEN e.summary ELSE i.summary END AS summary,
+  CAST(coalesce(e.created, {AS_OF}) AS BIGINT) AS created FROM i LEFT JOIN e USING (title)""")
 def left_merge_priority(t):
     d = items(t("documents")).where("title <> ''").withColumn("dedup_key", tables.dedup_key(F.lit(""), F.col("title")))
-    rest = [F.lit("feed").alias("summary_source"), F.lit(None).cast("string").alias("opinion"), F.lit(None).cast("boolean").alias("retained")]
-    existing = d.where("category = 'en'").groupBy("dedup_key").agg(F.min_by("content", "id").alias("summary"), F.min("published").alias("created")).select("*", *rest)
-    incoming = d.groupBy("dedup_key").agg(F.min("summary").alias("summary"), (F.min("published") + 1).alias("created")).select("*", *rest)
-    return tables.merge_published(existing, incoming).select("dedup_key", "summary", "created")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    rest = [*none("string", "source", "summary_source", "content", "content_source", "opinion"), *none("boolean", "retained"), *none("long", "retained_at", "expires")]
+    existing = d.where("category = 'en'").groupBy("dedup_key").agg(F.first("title").alias("title"), F.min_by("content", "id").alias("summary"), F.min("published").alias("created")).select("*", *rest)
+    incoming = d.groupBy("dedup_key").agg(F.first("title").alias("title"), F.min("summary").alias("summary"), F.min("published").alias("created")).select("*", *rest)
+    return tables.merge_published(existing, incoming, AS_OF).select("dedup_key", "summary", "created")
 
 
 @query(f"""WITH {ITEMS}, f AS (SELECT id FROM items WHERE published > {AS_OF} - 86400), n AS (SELECT count(*) AS n FROM f)

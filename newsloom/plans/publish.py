@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import folds, publish, tables
+from .documents import ITEMS, items
 from .events import E, timed
 from .registry import query
+from .rules import TRIM
 
 STATUS = "CASE WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'error' THEN 'failed' ELSE 'pending' END"
 
@@ -109,28 +111,41 @@ def relaxed_gates(t):
     )
 
 
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'short' WHEN 1 THEN 'no sentence' WHEN 2 THEN 'noise' END AS problem FROM documents""")
+_SAID = TRIM
+
+
+@query(f"""WITH d AS (SELECT doc_id, replace(replace(replace(left(coalesce(text, ''), CASE WHEN n_chars % 3 = 0 THEN 70 WHEN n_chars % 3 = 1 THEN 45 ELSE n_chars END), ' the ', '。'), ' de ', '来源'), ' der ', '版权') AS said FROM documents), k AS (SELECT doc_id, {_SAID.format("said")} AS s FROM d)
+SELECT doc_id, CASE WHEN length(s) < 30 THEN 'short' WHEN length(s) < 100 AND NOT contains(s, '。') THEN 'no sentence' WHEN regexp_matches(s, '(?is)^.{{0,50}}(来源|转载|版权|声明|免责).{{0,50}}$') OR regexp_matches(s, '(?is)^(推荐|相关|更多).{{0,30}}(阅读|新闻|文章)$') THEN 'noise' END AS problem FROM k""")
 def content_problems(t):
-    texts = F.array(F.lit("太短"), F.lit("x" * 60), F.lit("本文来源于网络，版权归原作者所有，如有问题请联系我们处理，谢谢大家。"), F.lit("一" * 40 + "。"), F.lit("word " * 30))
-    return t("documents").select("doc_id", publish.content_problem(F.get(texts, (F.col("doc_id") % 5).cast("int"))).alias("problem"))
+    size = F.when(F.col("n_chars") % 3 == 0, 70).when(F.col("n_chars") % 3 == 1, 45).otherwise(F.col("n_chars")).cast("int")
+    said = F.substring(F.coalesce("text", F.lit("")), F.lit(1), size)
+    for word, by in ((" the ", "。"), (" de ", "来源"), (" der ", "版权")):
+        said = F.replace(said, F.lit(word), F.lit(by))
+    return t("documents").select("doc_id", publish.content_problem(said).alias("problem"))
 
 
-@query("""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['tech', 'bad', 'tech', 'life'] WHEN 1 THEN ['bad'] END AS tags FROM documents)
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'tech=T,life=life' ELSE 'life=life' END AS tags FROM d""")
+@query("""SELECT doc_id, CASE WHEN lang = 'en' AND source = 'src1' THEN 'en=E,src1=src1,life=life' WHEN lang = 'en' THEN 'en=E,life=life' WHEN source = 'src1' THEN 'src1=src1,life=life' WHEN n_chars % 2 = 0 THEN 'life=life' ELSE 'life=life' END AS tags FROM documents""")
 def scene_tags(t):
-    tags = F.when(F.col("doc_id") % 3 == 0, F.array(*[F.lit(x) for x in ("tech", "bad", "tech", "life")])).when(F.col("doc_id") % 3 == 1, F.array(F.lit("bad")))
-    named = publish.labelled(publish.tags_allowed(tags, ["tech", "life"]), {"tech": "T"})
+    tags = F.when((F.col("lang") == "en") | (F.coalesce("source", F.lit("")) == "src1") | (F.col("n_chars") % 2 == 0), F.array("lang", "source", "lang", F.lit("life")))
+    named = publish.labelled(publish.tags_allowed(tags, ["en", "src1", "life"]), {"en": "E"})
     return t("documents").select("doc_id", F.array_join(F.transform(named, lambda x: F.concat_ws("=", x["tag"], x["label"])), ",").alias("tags"))
 
 
-@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'by model' END AS ai, CASE WHEN doc_id % 4 = 1 THEN ' given ' ELSE '' END AS given FROM documents)
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'by model' WHEN 1 THEN 'given' WHEN 2 THEN 'a paragraph that is certainly long enough' ELSE 'the title' END AS summary,
-  CASE doc_id % 4 WHEN 0 THEN 'ai' WHEN 1 THEN 'desc' WHEN 2 THEN 'body' ELSE 'title' END AS kind FROM d""")
+_BARE = r"[\d\s\-/:.\x{3000},，。、年月日时分秒]+"
+_INVALID = lambda x: f"({x} = '' OR {x} = title OR length({x}) < 20 OR length(regexp_replace({x}, '{_BARE}', '', 'g')) < 5 OR {x} = coalesce(source, ''))"
+
+
+@query(f"""WITH {ITEMS}, d AS (SELECT *, length(content) % 4 AS form FROM items), k AS (SELECT *, CASE WHEN form = 0 THEN left(content, 80) ELSE '' END AS ai, CASE WHEN form = 3 THEN '' ELSE content END AS body, {_SAID.format("CASE WHEN form = 1 THEN left(content, 30) ELSE left(title, 15) END")} AS given FROM d),
+l AS (SELECT *, list_filter(list_transform(string_split(body, chr(10)), lambda x: {_SAID.format("x")}), lambda x: NOT {_INVALID("x")}) AS good FROM k),
+s AS (SELECT *, CASE WHEN length(ai) >= 60 THEN ai WHEN length(body) > 10 THEN coalesce(good[1], title) ELSE given END AS made, CASE WHEN length(ai) >= 60 THEN 'ai' WHEN length(body) > 10 THEN CASE WHEN len(good) > 0 THEN 'content' ELSE 'title' END WHEN {_INVALID("given")} THEN 'title' ELSE 'desc' END AS kind FROM l),
+b AS (SELECT *, CASE WHEN kind = 'ai' AND made <> '' THEN made ELSE '' END AS kept, CASE WHEN made <> '' AND (kind = 'ai' OR made <> title) THEN made ELSE title END AS short FROM s)
+SELECT id, made AS summary, kind, CASE WHEN {_SAID.format("kept")} = '' AND short <> '' THEN short ELSE kept END AS body, CASE WHEN ({_SAID.format("kept")} = '' AND short <> '') OR (kind = 'ai' AND made <> '') THEN 'ai_summary' ELSE '' END AS body_source FROM b""")
 def summary_fallbacks(t):
-    ai, desc = F.when(F.col("doc_id") % 4 == 0, "by model"), F.when(F.col("doc_id") % 4 == 1, " given ").otherwise("")
-    content = F.when(F.col("doc_id") % 4 == 2, "short\n a paragraph that is certainly long enough \nmore text that is long enough for it").otherwise("short")
-    d = t("documents").select("doc_id", publish.summary_of(ai, desc, content, F.lit("the title")).alias("s"))
-    return d.select("doc_id", "s.summary", F.col("s.source").alias("kind"))
+    form = F.length("content") % 4
+    d = items(t("documents")).select("id", "title", "source", F.when(form == 0, F.substring("content", 1, 80)).otherwise("").alias("ai"), F.when(form == 3, "").otherwise(F.col("content")).alias("body"), F.when(form == 1, F.substring("content", 1, 30)).otherwise(F.substring("title", 1, 15)).alias("given"))
+    d = d.withColumn("s", publish.summary_of(F.col("ai"), F.col("given"), F.col("body"), F.col("title"), F.col("source")))
+    body = publish.body_of(F.col("body"), F.lit("fetched"), F.col("body"), F.col("s.summary"), F.col("s.source"), F.col("title"), F.lit(False))
+    return d.select("id", "s.summary", F.col("s.source").alias("kind"), body["content"].alias("body"), body["content_source"].alias("body_source"))
 
 
 @query("""SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'insert' WHEN toxic = 0 AND n_chars > 1000 + 200 THEN 'upgrade' ELSE 'drop' END AS action FROM documents d LEFT JOIN labels l USING (doc_id)""".replace("l.doc_id IS NULL", "l.quality IS NULL"))

@@ -198,21 +198,27 @@ def feed_tab(category: Column) -> Column:
 
 
 def official_document(item: Column, feed: Column) -> Column:
-    """Raw document of an official feed's item (title, url, summary, category, pub_date) of a feed (id, name, category); content stays empty."""
-    key = urls.url_key(item["url"])
+    """Raw document of an official feed's item (title, url, summary, category, pub_date) of a feed (id, name, category); content stays empty.
+
+    Fingerprints are hashes of the normalised URL and of the title; the id is the URL's.
+    """
+    url_fp = urls.url_fingerprint(item["url"])
     return F.struct(
-        F.concat(F.lit("official_"), key).alias("id"), key.alias("url_key"), item["title"].alias("title"), item["url"].alias("url"), F.coalesce(item["summary"], F.lit("")).alias("summary"), F.lit("").alias("content"),
-        F.lit("official_rss").alias("source_type"), F.coalesce(feed["id"], feed["name"]).alias("source_id"), F.coalesce(feed["name"], F.lit("")).alias("source"),
+        F.concat(F.lit("official_"), url_fp).alias("id"), url_fp.alias("url_fp"), F.sha2(text.fingerprint_title(item["title"]), 256).alias("title_fp"), item["title"].alias("title"), item["url"].alias("url"),
+        F.coalesce(item["summary"], F.lit("")).alias("summary"), F.lit("").alias("content"), F.lit("official_rss").alias("source_type"), F.coalesce(feed["id"], feed["name"]).alias("source_id"), F.coalesce(feed["name"], F.lit("")).alias("source"),
         feed_tab(_first(item["category"], feed["category"], F.lit("tech"))).alias("category"), item["pub_date"].alias("publish_time"),
     )
 
 
 def aggregate_document(item: Column, source_type: str, category: Column) -> Column:
-    """Raw document of an aggregator's item; null without an http address or with a title of under four characters."""
-    url, title = _said(item["source_url"]), text.clean_title(item["title"])
-    key = urls.url_key(url)
+    """Raw document of an aggregator's item; null without an http address or with a title of under four characters.
+
+    The id is the hash of the normalised URL, the same whatever source or category brings the item.
+    """
+    url, title = _said(item["source_url"]), text.fingerprint_title(item["title"])
+    url_fp = urls.url_fingerprint(url)
     made = F.struct(
-        key.alias("id"), title.alias("title"), url.alias("url"), _first(item["summary"], item["title"]).alias("summary"), F.lit("").alias("content"), F.lit(source_type).alias("source_type"),
+        url_fp.alias("id"), url_fp.alias("url_fp"), F.sha2(title, 256).alias("title_fp"), title.alias("title"), url.alias("url"), _first(item["summary"], item["title"]).alias("summary"), F.lit("").alias("content"), F.lit(source_type).alias("source_type"),
         F.concat(F.lit(f"{source_type}_"), category).alias("source_id"), _first(item["source"], F.lit(fixed.AGGREGATOR_NAMES[source_type])).alias("source"), category.alias("category"), item["publish_time"].alias("publish_time"),
     )
     return F.when(url.rlike("(?i)^https?://") & (F.length(title) >= 4), made)
