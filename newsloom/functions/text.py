@@ -323,11 +323,19 @@ def char_jaccard(a: Column, b: Column) -> Column:
 
 
 def last_json_object(text: Column, schema: str) -> Column:
-    """The struct of a JSON answer: the text itself, a fenced block, or the stretch from the first to the last brace."""
-    tries = [text, F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(text, r"(?s)(\{.*\})", 1)]
-    parsed = [F.from_json(F.nullif(t, F.lit("")), schema, {"mode": "PERMISSIVE"}) for t in tries]
-    usable = [F.when(F.try_parse_json(F.nullif(t, F.lit(""))).isNotNull() & F.trim(t).startswith("{"), p) for t, p in zip(tries, parsed, strict=True)]
-    return F.coalesce(*usable)
+    """The struct of the JSON object in an answer: a fenced block, else the last flat object that is valid, else the stretch from the first to the last brace.
+
+    A fenced block that is broken gives null, as do answers without a valid object and null ones.
+    """
+    said = F.coalesce(text, F.lit(""))
+    fenced = F.regexp_extract(said, r"(?is)```(?:json)?\s*\n?(.*?)\s*```", 1)
+    flat = F.filter(F.regexp_extract_all(said, F.lit(r"(?s)(\{.*?\})")), lambda x: F.try_parse_json(x).isNotNull())
+    widest = F.regexp_extract(said, r"(?s)(\{.*\})", 1)
+
+    def parsed(json: Column) -> Column:
+        return F.when(F.try_parse_json(F.nullif(json, F.lit(""))).isNotNull() & F.trim(json).startswith("{"), F.from_json(json, schema))
+
+    return parsed(F.when(fenced != "", fenced).when(F.size(flat) > 0, F.try_element_at(flat, F.lit(-1))).otherwise(widest))
 
 
 # Titles, markdown answers -------------------------------------------------------------------------------------------

@@ -2,23 +2,33 @@
 
 Titles with equal sets are one class from the start, so copies never meet each other as pairs.
 
-The greedy operators keep the order of a fold (the first title leads) without folding a block in one task: each round
-takes the next ``WIDTH`` open classes of every block, settles the leaders among them in one expression, and gives every open
-class of the block the first leader that it is like.  Blocks need as many rounds as they have leaders over ``WIDTH``.
+Pairs come from a prefix join.  With characters in order of rareness, two sets above the threshold share characters among
+their first few; a join on one shared character has keys that thousands of titles hold, so sets are joined on ``TOGETHER``
+shared characters of a prefix that is as much longer, and on size.
+
+The greedy operators give what a fold in order gives (the first title leads).  A few rounds take the next ``WIDTH`` open
+classes of every block, settle the leaders among them and give every open class the first leader that it is like: where
+nearly all titles are alike, that settles nearly all.  The rest is far apart, so its links are few: they are joined once,
+and settled by first_come_by_links() in rounds that do not grow with the number of leaders.
 """
 
 from __future__ import annotations
 
-import uuid
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..shared import shared_dir
+from ..shared import forget, small_side, written
+from .settle import first_come_by_links
 
 #: Classes of a block settled in a round: at most so many sets come together in a row.
 WIDTH = 32
+#: Rounds of leaders before links are joined.
+ROUNDS = 5
+#: Characters that sets are joined on together.
+TOGETHER = 3
 
 
 def char_set(title: Column) -> Column:
@@ -31,43 +41,82 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0))
 
 
+def _joined(ranked: DataFrame, similarity: float, together: int) -> DataFrame:
+    """(block, a, b, x, y) of sets (block, id, s) that share ``together`` characters of their prefixes and may be alike by size; a pair once."""
+    n = F.size("s")
+    prefix = F.slice("s", F.lit(1), F.least(n, (n - F.ceil(n * similarity - 1e-9)).cast("int") + together))
+    d = ranked.withColumn("n", n).withColumn("prefix", prefix).where(F.size("prefix") >= together)
+    keys = F.transform(F.col("prefix"), lambda x: F.array(x))
+    for _ in range(together - 1):
+        # Each is made longer by the characters behind its last one.
+        keys = F.flatten(F.transform(keys, lambda k: F.transform(F.slice("prefix", F.array_position("prefix", F.element_at(k, -1)).cast("int") + 1, F.size("prefix")), lambda x: F.concat(k, F.array(x)))))
+    small = d.select("block", F.col("id").alias("a"), F.col("s").alias("x"), F.col("prefix").alias("px"), F.col("n").alias("size"), F.explode(keys).alias("k"))
+    sizes = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") * similarity - 1e-9).cast("int")), F.col("n"))
+    large = d.select("block", F.col("id").alias("b"), F.col("s").alias("y"), F.col("prefix").alias("py"), F.col("n").alias("m"), F.explode(keys).alias("k"), sizes.alias("sizes")).withColumn("size", F.explode("sizes"))
+    met = small.join(large.withColumnRenamed("block", "other"), (F.col("block") == F.col("other")) & (small["k"] == large["k"]) & (small["size"] == large["size"])).where((small["size"] < F.col("m")) | ((small["size"] == F.col("m")) & (F.col("a") < F.col("b"))))
+    # Of the keys that a pair shares, the one of its first shared characters counts.
+    return met.where(F.slice(F.array_intersect("px", "py"), 1, together) == small["k"]).select("block", "a", "b", "x", "y")
+
+
+def _pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(block, a, b, similarity) of sets (block, id, chars) of a block; ids are compared as they are, blocks are not null."""
+    counts = sets.select(F.explode("chars").alias("c")).groupBy("c").agg(F.count("*").alias("n"))  # one row a character at most
+    ranked = sets.select("block", "id", F.explode("chars").alias("c")).join(counts, "c").groupBy("block", "id").agg(F.sort_array(F.collect_list(F.struct("n", "c"))).alias("s"))
+    ranked = ranked.select("block", "id", F.transform("s", lambda x: x["c"]).alias("s"))
+    # The overlap of two sets of size n at least is that of two of size n; below so many characters one is joined on.
+    enough = next(n for n in range(1, 1000) if ceil(2 * n * similarity / (1 + similarity) - 1e-9) >= TOGETHER)
+    n = F.size("s")
+    many = _joined(ranked.where(n >= enough), similarity, TOGETHER)
+    few = _joined(ranked.where(n < enough / similarity + 1), similarity, 1).where(F.least(F.size("x"), F.size("y")) < enough)
+    both = many.unionByName(few).select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), jaccard(F.col("x"), F.col("y")).alias("similarity"))
+    return both.where(F.col("similarity") > similarity)
+
+
 def similar_pairs(titles: DataFrame, key: str, title: str, similarity: float) -> DataFrame:
     """(a, b, similarity) of the classes whose similarity is above the threshold; a class is named by its least key.
 
-    Prefixes in order of rare characters first, joined on (character, size): equal keys only, one row a pair.  Null and
-    empty titles are like nothing.
+    Null and empty titles are like nothing.
     """
     sets = titles.select(F.col(key).alias("id"), char_set(F.col(title)).alias("chars")).where(F.size("chars") > 0).groupBy("chars").agg(F.min("id").alias("id"))
-    counts = sets.select(F.explode("chars").alias("c")).groupBy("c").agg(F.count("*").alias("n"))  # one row a character at most
-    ranked = sets.select("id", F.explode("chars").alias("c")).join(counts, "c").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "c"))).alias("s"))
-    n = F.size("s")
-    ranked = ranked.select("id", F.transform("s", lambda x: x["c"]).alias("s"), n.alias("n"), (n - F.floor(n * similarity - 1e-9)).cast("int").alias("p"))
-    ranked = ranked.withColumn("prefix", F.slice("s", 1, F.col("p")))
-    small = ranked.select(F.col("id").alias("a"), F.col("s").alias("x"), F.col("prefix").alias("px"), F.explode("prefix").alias("c"), F.col("n").alias("size"))
-    sizes = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") * similarity - 1e-9).cast("int")), F.col("n"))
-    large = ranked.select(F.col("id").alias("b"), F.col("s").alias("y"), F.col("prefix").alias("py"), F.explode("prefix").alias("c"), sizes.alias("sizes")).withColumn("size", F.explode("sizes"))
-    met = small.join(large, ["c", "size"]).where((F.size("x") < F.size("y")) | ((F.size("x") == F.size("y")) & (F.col("a") < F.col("b"))))
-    once = met.where(F.get(F.array_intersect("px", "py"), F.lit(0)) == F.col("c")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), jaccard(F.col("x"), F.col("y")).alias("similarity"))
-    return once.where(F.col("similarity") > similarity)
+    return _pairs(sets.withColumn("block", F.lit(0)), similarity).drop("block")
 
 
 def _led(classes: DataFrame, similarity: float) -> DataFrame:
     """block, chars, first and leader (the first of the leader's class) of every class (block, chars, first)."""
-    spark, place, number = classes.sparkSession, f"{shared_dir(spark)}/leaders-{uuid.uuid4().hex}", 0
-    schema = classes.withColumn("leader", F.col("first")).schema
-    waiting = classes
-    while True:
+    waiting = written(classes, "classes")
+    done: list[DataFrame] = []
+    for _ in range(ROUNDS):
         nth = F.row_number().over(Window.partitionBy("block").orderBy("first"))
         next_ones = waiting.withColumn("__n", nth).where(F.col("__n") <= WIDTH).groupBy(F.col("block").alias("__block")).agg(F.sort_array(F.collect_list(F.struct("first", "chars"))).alias("__next"))
         like = lambda x: lambda led: jaccard(led["chars"], x["chars"]) > similarity
         leaders = F.aggregate("__next", F.slice("__next", 1, 0), lambda led, x: F.when(F.exists(led, like(x)), led).otherwise(F.concat(led, F.array(x))))
-        met = waiting.join(next_ones.select("__block", leaders.alias("__led")), F.col("block").eqNullSafe(F.col("__block")))
+        next_ones = written(next_ones.select("__block", leaders.alias("__led")), "next")
+        met = waiting.join(small_side(next_ones, next_ones.count(), 40_000), F.col("block").eqNullSafe(F.col("__block")))
         found = F.get(F.filter("__led", lambda led: jaccard(led["chars"], F.col("chars")) > similarity), F.lit(0))["first"]
-        met.select("block", "chars", "first", found.alias("leader")).write.parquet(f"{place}/round-{number}")
-        waiting = spark.read.schema(schema).parquet(f"{place}/round-{number}").where("leader is null").drop("leader")
+        judged = written(met.select("block", "chars", "first", found.alias("leader")), "judged")
+        forget(waiting)
+        forget(next_ones)
+        done.append(judged)
+        waiting = written(judged.where("leader is null").drop("leader"), "classes")
         if waiting.isEmpty():
-            return spark.read.schema(schema).parquet(*[f"{place}/round-{k}" for k in range(number + 1)]).where("leader is not null")
-        number += 1
+            break
+    else:
+        # A block may be null, so classes are known by both.
+        node = F.struct(F.col("block").isNull().alias("none"), F.col("block").alias("block"), F.col("first").alias("first"))
+        sets = waiting.select(F.xxhash64(F.col("block").isNull(), "block").alias("block"), node.alias("id"), "chars")
+        links = _pairs(sets, similarity).where("a.block <=> b.block").select("a", "b")
+        led = first_come_by_links(sets.select(F.col("id").alias("node")), links)
+        rest = waiting.withColumn("__node", node).join(led, F.col("__node") == F.col("node")).select("block", "chars", "first", F.col("leader.first").alias("leader"))
+        done.append(written(rest, "judged"))
+        forget(led)
+    forget(waiting)
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    out = written(every.where("leader is not null"), "led")
+    for part in done:
+        forget(part)
+    return out
 
 
 def dedup_titles(items: DataFrame, block: str, order: str, title: str = "title", similarity: float = 0.7) -> DataFrame:

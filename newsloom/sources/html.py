@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 
 PARAGRAPH = "(?is)<p(?:\\s[^>]*)?>(.*?)</p>"
 ANCHOR = "(?is)<a\\s[^>]*href=\"([^\"]+)\"[^>]*>(.*?)</a>"
@@ -24,16 +24,58 @@ def paragraphs(html: Column, shortest: int = 15) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(html, F.lit(PARAGRAPH), F.lit(1)), plain), lambda x: F.length(x) >= shortest)
 
 
-def article(html: Column) -> Column:
-    """Paragraphs with character references decoded, joined by blank lines."""
-    return text.decode_entities(F.array_join(paragraphs(html), "\n\n"))
+def _paragraphs_of(markup: Column, shortest: int) -> Column:
+    """Texts of <p> elements with spaces for tags, in order; short ones are left out."""
+
+    def said(x: Column) -> Column:
+        out = F.regexp_replace(x, "<[^>]+>", " ")
+        for name, char in fixed.PARAGRAPH_ENTITIES:
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return text.trimmed(F.regexp_replace(F.regexp_replace(out, r"&#\d+;", " "), r"\s+", " "))
+
+    return F.filter(F.transform(F.regexp_extract_all(markup, F.lit("(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), said), lambda x: F.length(x) >= shortest)
+
+
+def article(html: Column, shortest: int = 15) -> Column:
+    """Text of a page's article, a line a paragraph; null if it has none.
+
+    Scripts, menus and the like go first.  The article is the first container of the list that is there, cut where related
+    items begin if that is after its first 100 characters; with under two paragraphs the whole page counts.
+    """
+    page = F.coalesce(html, F.lit(""))
+    for block in fixed.PAGE_BLOCKS:
+        page = F.regexp_replace(page, block, " ")
+    held = F.coalesce(*[F.nullif(F.regexp_extract(page, c, 1), F.lit("")) for c in fixed.ARTICLE_CONTAINERS], F.lit(""))
+
+    def cut(body: Column) -> Column:
+        out = body
+        for pattern in reversed(fixed.ARTICLE_CUTS):
+            at = F.regexp_instr(body, F.lit(pattern))
+            out = F.when(at > 101, text.trimmed(F.substring(body, F.lit(1), at - 1))).otherwise(out)
+        return out
+
+    def joined(inside: Column) -> Column:
+        found = F.when(F.size(inside) >= 2, inside).otherwise(_paragraphs_of(page, shortest))
+        return F.when(F.size(found) > 0, F.array_join(found, "\n"))
+
+    return text.let(_paragraphs_of(cut(held), shortest), joined)
 
 
 def links(html: Column, most: int = 30) -> Column:
-    """array<struct<href, title>> of the first distinct links, at most 30 a page as list scrapes take."""
+    """array<struct<href, title>> of the first distinct links with a text, at most 30 a page as list scrapes take."""
     hrefs, titles = (F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(k)) for k in (1, 2))
-    both = F.arrays_zip(hrefs.alias("href"), F.transform(titles, plain).alias("title"))
-    return F.slice(F.filter(both, lambda x: F.length(x["title"]) > 0), 1, most)
+    both = F.filter(F.arrays_zip(hrefs.alias("href"), F.transform(titles, plain).alias("title")), lambda x: F.length(x["title"]) > 0)
+    return _first_by(both, "href", most)
+
+
+def _first_by(found: Column, field: str, most: int) -> Column:
+    """The first ``most`` elements with different values of a field, in order: each value is sought once, not among all before it."""
+
+    def kept(all_: Column) -> Column:
+        values = F.transform(all_, lambda x: x[field])
+        return F.transform(F.slice(F.array_distinct(values), 1, most), lambda v: F.element_at(all_, F.array_position(values, v).cast("int")))
+
+    return text.let(found, kept)
 
 
 DATED = r"(?i)<h2[^>]*>\s*Date:\s*(\d{4})-(\d{1,2})-(\d{1,2})"
@@ -56,27 +98,84 @@ def changelog_entries(html: Column, base: Column, most: int = 30) -> Column:
         return F.struct(title.alias("title"), F.concat(base, F.lit("#"), slug).alias("url"), day.alias("date"), content.alias("content"))
 
     found = F.filter(F.transform(blocks, entry), lambda e: F.length(e["title"]) >= 4)
-    first = lambda all_: F.filter(all_, lambda e, i: F.array_position(F.transform(all_, lambda x: x["url"]), e["url"]) == i + 1)
-    return F.slice(text.let(found, first), 1, most)
+    return _first_by(found, "url", most)
 
 
 HEADING_ANCHOR = r"(?is)<h([1-4])[^>]*>\s*<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>\s*</h\1>"
 
 
+def _address(href: Column, base: Column) -> Column:
+    """An address as it stands, or set on the host of the base."""
+    host = F.regexp_extract(base, "^(https?://[^/?#]+)", 1)
+    return F.when(href.rlike("(?i)^https?://"), href).otherwise(F.concat(host, F.when(href.startswith("/"), href).otherwise(F.concat(F.lit("/"), href))))
+
+
+def _spaced(markup: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(markup, "<[^>]+>", " "), r"\s+", " "))
+
+
+def _headings(page: Column, base: Column) -> Column:
+    hrefs, titles = (F.regexp_extract_all(page, F.lit(HEADING_ANCHOR), F.lit(k)) for k in (2, 3))
+    none = F.lit("")
+    both = F.zip_with(hrefs, titles, lambda h, x: F.struct(_address(F.trim(h), base).alias("url"), _spaced(x).alias("title"), none.alias("pub_date"), none.alias("desc")))
+    return F.filter(both, lambda x: F.length(x["title"]) >= 4)
+
+
 def heading_links(html: Column, base: Column, most: int = 30) -> Column:
     """array<struct<url, title>> of links that are headings, each address once; titles have four characters or more.
 
-    A path from the root is set on the base's host.  A null page has no links.
+    A path is set on the base's host.  A null page has no links.
     """
-    page = F.coalesce(html, F.lit(""))
-    hrefs, titles = (F.regexp_extract_all(page, F.lit(HEADING_ANCHOR), F.lit(k)) for k in (2, 3))
-    host = F.regexp_extract(base, "^(https?://[^/]+)", 1)
-    url = lambda h: F.when(h.rlike("(?i)^https?://"), h).otherwise(F.concat(host, F.when(h.startswith("/"), h).otherwise(F.concat(F.lit("/"), h))))
-    spaced = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " "))
-    both = F.zip_with(hrefs, titles, lambda h, x: F.struct(url(F.trim(h)).alias("url"), spaced(x).alias("title")))
-    long = F.filter(both, lambda x: F.length(x["title"]) >= 4)
-    first = lambda all_: F.filter(all_, lambda e, i: F.array_position(F.transform(all_, lambda x: x["url"]), e["url"]) == i + 1)
-    return F.slice(text.let(long, first), 1, most)
+    first = _first_by(_headings(F.coalesce(html, F.lit("")), base), "url", most)
+    return F.transform(first, lambda x: F.struct(x["url"], x["title"]))
+
+
+#: A link with a text of up to 300 characters and the 300 behind it; a link that holds a whole card.
+PLAIN_ANCHOR = r"(?is)<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>(.{2,300}?)</a>(?=(.{0,300}))"
+CARD_ANCHOR = r"(?is)<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>(.{0,6000}?)</a>"
+NO_ADDRESS = r"^(#|javascript:|mailto:)"
+
+
+def list_links(html: Column, base: Column, pattern: str, most: int = 30) -> Column:
+    """array<struct<url, title, pub_date, desc>> of a list page whose addresses match a pattern: headings, then links with a text, then cards.
+
+    Headings need a title of 4 characters, links one of 6 and take a date from the link or the 300 characters behind it; a card is
+    a link around 60 characters or more with a heading in it, its date and first paragraph that says something.  Each
+    address counts once, as it is found first.  A null page has none.
+    """
+    page, none = F.coalesce(html, F.lit("")), F.lit("")
+    fits = lambda x: x.rlike(f"(?i){pattern}")
+    pad = lambda x: F.lpad(x, 2, "0")
+    part = lambda x, p, k: F.regexp_extract(x, p, k)
+
+    def behind(x: Column) -> Column:
+        first, last = r"(20\d{2})[-/](\d{1,2})[-/](\d{1,2})", r"(\d{1,2})[-/](\d{1,2})[-/](20\d{2})"
+        day = lambda y, m, d: F.concat(y, F.lit("-"), pad(m), F.lit("-"), pad(d), F.lit("T00:00:00+08:00"))
+        return F.when(x.rlike(first), day(*(part(x, first, k) for k in (1, 2, 3)))).when(x.rlike(last), day(part(x, last, 3), part(x, last, 1), part(x, last, 2))).otherwise("")
+
+    whole, hrefs, said, rest = (F.regexp_extract_all(page, F.lit(PLAIN_ANCHOR), F.lit(k)) for k in range(4))
+    plain_ones = F.transform(
+        F.arrays_zip(whole.alias("w"), hrefs.alias("h"), said.alias("s"), rest.alias("r")),
+        lambda x: F.struct(F.trim(x["h"]).alias("raw"), _address(F.trim(x["h"]), base).alias("url"), _spaced(x["s"]).alias("title"), behind(F.concat(x["w"], x["r"])).alias("pub_date"), none.alias("desc")),
+    )
+    plain_ones = F.filter(plain_ones, lambda x: ~x["raw"].rlike(NO_ADDRESS) & fits(x["raw"]) & (F.length(x["title"]) >= 6))
+
+    def card(h: Column, inner: Column) -> Column:
+        title = _spaced(part(inner, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1))
+        dates = [r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日", r"(\d{4})-(\d{1,2})-(\d{1,2})", r"(\d{4})/(\d{1,2})/(\d{1,2})"]
+        day = none
+        for p in reversed(dates):
+            day = F.when(inner.rlike(p), F.concat(part(inner, p, 1), F.lit("-"), pad(part(inner, p, 2)), F.lit("-"), pad(part(inner, p, 3)))).otherwise(day)
+        says = lambda x: (F.length(x) > 10) & (x != title) & ~x.rlike(r"^(动态|新闻|公告|更新|资讯)?\s*\d{4}\s*[年/\-]")
+        lines = F.filter(F.transform(F.regexp_extract_all(inner, F.lit(r"(?is)(<p[^>]*>.*?</p>)")), _spaced), says)
+        desc = F.substring(F.coalesce(F.get(lines, F.lit(0)), none), 1, 300)
+        return F.struct(F.trim(h).alias("raw"), _address(F.trim(h), base).alias("url"), title.alias("title"), day.alias("pub_date"), desc.alias("desc"), F.length(inner).alias("n"))
+
+    cards_ = F.zip_with(*(F.regexp_extract_all(page, F.lit(CARD_ANCHOR), F.lit(k)) for k in (1, 2)), card)
+    cards_ = F.filter(cards_, lambda x: ~x["raw"].rlike("^(#|javascript:)") & fits(x["url"]) & (x["n"] >= 60) & (F.length(x["title"]) >= 4))
+    same = lambda found: F.transform(found, lambda x: F.struct(*[x[c].alias(c) for c in ("url", "title", "pub_date", "desc")]))
+    every = F.concat(F.filter(same(_headings(page, base)), lambda x: fits(x["url"])), same(plain_ones), same(cards_))
+    return _first_by(every, "url", most)
 
 
 #: A card's title: a title attribute, or a heading, near its link.

@@ -73,12 +73,12 @@ def test_title_clusters(spark):
 def test_leaders_over_many_rounds(spark):
     # More leaders than a round settles, in one block, against the fold that they stand for.
     draw = random.Random(1)
-    names = ["".join(draw.sample("abcdefghijklmnopq", 6)) for _ in range(300)]
+    names = ["".join(draw.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(900)]
     kept = []
     for i, name in enumerate(names):
         if not any(len(set(name) & set(names[j])) / len(set(name) | set(names[j])) > 0.7 for j in kept):
             kept.append(i)
-    assert len(kept) > 2 * similar.WIDTH
+    assert len(kept) > similar.ROUNDS * similar.WIDTH
     d = spark.createDataFrame([(i, "k", n) for i, n in enumerate(names)], "id int, block string, title string")
     assert sorted(r.id for r in similar.dedup_titles(d, "block", "id").collect()) == kept
 
