@@ -16,7 +16,7 @@ base AS (SELECT w.r, doc_id, source, body, len(words) AS n_words, coalesce(list_
 l AS (SELECT r, doc_id, source, body, n_words, len(regexp_extract_all(x, '{WORD}')) AS n,
   trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '{SPACES}', ' ', 'g')) AS line
   FROM base, unnest(lines) AS u(x)),
-h AS (SELECT source, count(*) AS host_docs FROM d GROUP BY source),
+h AS (SELECT source, count(DISTINCT body) AS host_docs FROM d GROUP BY source),
 f AS (SELECT l.source, line, min(doc_id) AS first_doc FROM l GROUP BY l.source, line
   HAVING count(DISTINCT body) > 20 AND count(DISTINCT body) > 0.02 * (SELECT host_docs FROM h WHERE h.source IS NOT DISTINCT FROM l.source)),
 lost AS (SELECT r, sum(n) AS n_lost FROM l JOIN f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source WHERE l.doc_id IS DISTINCT FROM f.first_doc GROUP BY r),

@@ -299,7 +299,7 @@ def accepted(model: dict, c: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """docs with base (struct of the four kinds' spans) and added (array of accepted candidates)."""
+    """docs with pii_base (struct of the four kinds' spans) and pii_added (array of accepted candidates); docs has no such columns."""
     model = fit(docs) if model is None else model
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.struct(*[c.alias(k) for k, c in base_spans(text).items()])
@@ -325,9 +325,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by <KIND>; columns unchanged, a null text stays null."""
+    """docs with every span of text replaced by <KIND>; columns unchanged, whatever their names, a null text stays null."""
     names = docs.columns
-    d = with_spans(docs)
+    carried = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"], F.lit(0).alias("__none")).alias("carried"))
+    d = with_spans(carried)
     tagged = lambda k: F.transform(F.col("pii_base")[k], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{k.upper()}>").alias("r")))
     flat = F.concat(
         *[tagged(k) for k in BASE_KINDS],
@@ -348,4 +349,5 @@ def mask_pii(docs: DataFrame) -> DataFrame:
         return let(reach, pieces)
 
     masked = F.when(F.size("pii_spans") > 0, let(F.col("pii_spans"), cut)).otherwise(F.col("text"))
-    return d.withColumn("pii_spans", F.sort_array(flat)).withColumn("text", masked).select(*names)
+    done = d.withColumn("pii_spans", F.sort_array(flat)).withColumn("text", masked)
+    return done.select(*[F.col("text") if c == "text" else F.col("carried")[c].alias(c) for c in names])

@@ -77,20 +77,24 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
+def row_key() -> Column:
+    """A hash of doc_id, source and text in which a null is not the same as leaving it out."""
+    return F.xxhash64("doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text")
+
+
 def with_key(docs: DataFrame) -> DataFrame:
     """source, doc_id, body (text without nulls) and a key of the whole row."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", "source", body.alias("body"), F.xxhash64("doc_id", "source", "text").alias("row_key"))
+    return docs.select("doc_id", "source", body.alias("body"), row_key().alias("row_key"))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02, distinct_hosts: bool = False) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02) -> DataFrame:
     """host, line, n_docs, first_doc of every line that more than max(min_docs, max_share of the host's documents) hold.
 
-    n_docs counts exact copies of a text once.  The documents of a host count every copy, as the SQL of
-    op3_line_frequency does, or with distinct_hosts each text once too, so that both sides of the share agree.
+    Exact copies of a text are one document, on both sides of the share.
     """
     rows = with_key(docs)
-    of_hosts = rows.select("source", F.xxhash64("body").alias("body_key")).distinct() if distinct_hosts else rows
+    of_hosts = rows.select("source", F.xxhash64("body").alias("body_key")).distinct()
     hosts = of_hosts.groupBy(F.col("source").alias("h")).agg(F.count("*").alias("host_docs"))
     hashes = F.array_distinct(F.transform(lines_of(F.col("body")), lambda x: F.xxhash64(normalised(x))))
     # What stands beside a generator is computed once a line, so the key and the hashes come first; an inner generator
@@ -103,12 +107,12 @@ def frequent_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02,
     return over.select(F.col("source").alias("host"), "line", "n_docs", "first_doc")
 
 
-def line_losses(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02, distinct_hosts: bool = False) -> DataFrame:
+def line_losses(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02) -> DataFrame:
     """row_key, n_words, n_lost (the words in removed lines) and lost_lines (hashes of these) of the documents that lose lines.
 
     Rows that repeat share a key, so n_lost adds up over them; it is divided by their number.
     """
-    found = frequent_lines(docs, min_docs, max_share, distinct_hosts)
+    found = frequent_lines(docs, min_docs, max_share)
     pieces = F.transform(lines_of(F.col("body")), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(F.array_remove(F.split(x, SPACES, -1), "")).alias("n")))
     lines = with_key(docs).select("row_key", "doc_id", "source", F.size(F.array_remove(F.split("body", SPACES, -1), "")).alias("n_words"), pieces.alias("pieces"))
     lines = lines.select("row_key", "doc_id", "source", "n_words", F.inline_outer("pieces")).where("line is not null")
@@ -138,7 +142,7 @@ def reject_by_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02
     depleted = depleted.select(F.col("row_key").alias("__row_key"))
     base = base_columns(F.coalesce(F.col("text"), F.lit("")))
     passed = docs.where(~base_failed(base["n_words"], base["n_repeat_words"]))
-    return passed.withColumn("__row_key", F.xxhash64("doc_id", "source", "text")).join(depleted, "__row_key", "left_anti").drop("__row_key")
+    return passed.withColumn("__row_key", row_key()).join(depleted, "__row_key", "left_anti").drop("__row_key")
 
 
 def remove_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02, min_words: int = 10, min_share: float = 0.2) -> DataFrame:
@@ -148,10 +152,10 @@ def remove_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02, m
     so do lines without words; a text that loses none stays as it is.
     """
     names = docs.columns
-    losses = line_losses(docs, min_docs, max_share, distinct_hosts=True)
+    losses = line_losses(docs, min_docs, max_share)
     losses = losses.select(F.col("row_key").alias("__row_key"), F.col("n_words").alias("__n_words"), F.col("n_lost").alias("__n_lost"), F.col("lost_lines").alias("__lost_lines"))
     base = base_columns(F.coalesce(F.col("text"), F.lit("")))
-    passed = docs.where(~base_failed(base["n_words"], base["n_repeat_words"])).withColumn("__row_key", F.xxhash64("doc_id", "source", "text"))
+    passed = docs.where(~base_failed(base["n_words"], base["n_repeat_words"])).withColumn("__row_key", row_key())
     left = F.col("__n_words") - F.col("__n_lost")
     kept = passed.join(losses, "__row_key", "left").where(F.col("__n_lost").isNull() | ((left >= min_words) & (left >= F.col("__n_words") * min_share)))
     stays = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("__lost_lines", F.xxhash64(normalised(x)))

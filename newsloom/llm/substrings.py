@@ -4,11 +4,14 @@ The reference of a document is every document with a smaller doc_id.  Its index
 is cut into blocks by anchor: a window of ``length`` words is filed under its
 minimizer, the smallest hash of its ``anchor``-word sequences, so equal windows
 meet in one block wherever they stand, and consecutive windows that share an
-anchor travel as one row.  Parsing greedily against every block yields factors
-(start, words, reference document and start); a document's factors from all
-blocks are then put together: greedy from left to right, the longest next, and
-at each factor boundary the windows that straddle it are looked at too.  Words
-that a factor of at least ``length`` words covers are the duplicate spans.
+anchor travel as one row.  A factor (start, words, reference document and start)
+is a run of windows that meet, each one step further, the windows of one
+reference document: the first that holds the run's first window.  Runs are found
+by window hashes and end with a block's windows, where the longest match in some
+other document may go on; a document's runs from all blocks are put together from
+left to right, the longest next, and runs in step with the same reference become
+one factor again.  Words that a factor of at least ``length`` words covers are
+the duplicate spans: which words are covered does not depend on how runs are cut.
 
 Scale: windows found twice within a task's chunk stay there (only the first
 document's goes to the index); anchors that a large share of the documents hold
@@ -18,7 +21,9 @@ is at most ``100 / HEAVY_SHARE`` of the mean anchors of a document, which bounds
 what is broadcast.  Blocks stream through tasks in key order; texts are shuffled
 once, to meet their factors.
 
-Window hashes carry 40 bits beside the anchor's 64 (or 64 and 40 for heavy ones).
+Window hashes carry 40 bits beside the anchor's 64 (or 64 and 40 for heavy ones) and
+matches are not compared word by word: within a block of n windows about n * n / 2**41
+pairs of different windows would meet.
 
 Edge cases: a null or empty text has no words; doc_id must name one text
 (repeated rows are repeated in the result, and are no reference for each other);

@@ -75,7 +75,7 @@ def line_frequency(docs, min_docs=20, max_share=0.02):
     """docs: (doc_id, source, text); rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
     normal = lambda x: " ".join(words(x.translate(low)))
-    hosts = Counter(s for _, s, _ in docs)
+    hosts = Counter(s for s, _ in {(s, t or "") for _, s, t in docs})  # copies of a text are one document
     holds, first = defaultdict(set), {}
     for i, s, t in docs:
         for x in {normal(x) for x in (t or "").split("\n") if words(x)}:

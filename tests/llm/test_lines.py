@@ -28,6 +28,11 @@ def test_copies_count_once_on_both_sides(spark):
     own = lambda i: " ".join(letters(i, k) for k in range(30))
     rows = [(i, f"{own(i)}\n{LINE}", "h") for i in range(40)] + [(1000 + i, own(9999), "h") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert quality.frequent_lines(docs).count() == 0
-    assert [r.n_docs for r in quality.frequent_lines(docs, distinct_hosts=True).collect()] == [40]
+    assert [r.n_docs for r in quality.frequent_lines(docs).collect()] == [40]
     assert quality.remove_lines(docs).where("doc_id between 1 and 39").orderBy("doc_id").select("text").collect() == [(own(i),) for i in range(1, 40)]
+
+
+def test_a_missing_source_is_not_a_missing_text(spark):
+    rows = [(1, None, "abc"), (1, "abc", None), (1, None, None), (1, "", ""), (2, None, "abc")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert docs.select(quality.row_key().alias("k")).distinct().count() == 5

@@ -74,3 +74,10 @@ def test_spans_column(spark):
     got = pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string, spans string, n_email int")).collect()
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert sorted((r.doc_id or 0, r.n_email, r.base_sha256, r.spans) for r in got) == [(0, 0, digest(""), ""), *[(1, 1, digest("email:5:11"), "email:5:11")] * 2]
+
+
+def test_mask_leaves_other_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.de now", "x", "y", 3, "dot"), (2, None, None, None, None, None)], "doc_id long, text string, pii_base string, pii_spans string, pii_added int, `a.b` string")
+    got = pii.mask_pii(docs)
+    assert got.dtypes == docs.dtypes
+    assert sorted(map(tuple, got.collect())) == [(1, "mail <EMAIL> now", "x", "y", 3, "dot"), (2, None, None, None, None, None)]
