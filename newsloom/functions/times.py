@@ -73,6 +73,11 @@ def _local(seconds: Column, pattern: str) -> Column:
     return F.date_format(F.timestamp_add("SECOND", seconds + BEIJING, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), pattern)
 
 
+def clock(seconds: Column) -> Column:
+    """Beijing time of day."""
+    return _local(seconds, "HH:mm")
+
+
 def relative_label(seconds: Column, as_of: Column) -> Column:
     """Just now, minutes, hours or days ago, from three days on the date; empty for null."""
     age = as_of - seconds

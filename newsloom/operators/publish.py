@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, text, times
 from . import gates
 
 
@@ -237,3 +237,59 @@ def after_attempt(queue: DataFrame, outcomes: DataFrame, as_of: int, key: str =
 def pending_verdict(fetched: Column, failures: Column, as_of: Column) -> Column:
     """Why a pending item is rejected, or null: it waited over two days, or failed three times."""
     return F.when(as_of - fetched > fixed.STALE_PENDING, "stale-pending(>48h)").when(F.coalesce(failures, F.lit(0)) >= fixed.MOST_RETRIES, "llm-fail-retry-exhausted")
+
+
+# Shapes of lists and channels ---------------------------------------------------------------------------------------------
+
+
+def list_shape(row: dict[str, Column], since: bool = False) -> Column:
+    """An entry of a list without nulls where text is shown: cleaned title, category's name, source and marks; scores may be null.
+
+    since gives the entry of a delta: without content, opinion and scores, with the time of creation.
+    """
+    of = lambda name, kind="string": row.get(name, F.lit(None)).cast(kind)
+    empty = lambda *names: [F.coalesce(of(n), F.lit("")).alias(n) for n in names]
+    known = F.lit("")
+    for name, label in fixed.CATEGORY_LABELS.items():
+        known = F.when(of("category") == name, label).otherwise(known)
+    shared = [
+        of("id").alias("id"), text.clean_title(of("title")).alias("title"), of("summary").alias("summary"), *empty("summary_source"), of("category").alias("category"), filled(of("category_name"), known).alias("category_name"),
+        of("source").alias("source"), *empty("source_url", "content_source", "source_name"), of("publish_time").alias("publish_time"), F.coalesce(of("retained", "boolean"), F.lit(False)).alias("retained"),
+    ]
+    if since:
+        return F.struct(*shared, of("created", "long").alias("created"))
+    return F.struct(*shared, *empty("content", "opinion", "event_id"), *[of(n, "double").alias(n) for n in ("final", "quality", "heat")])
+
+
+def channel_item(item: Column, labels: dict[str, str] = fixed.CARD) -> Column:
+    """A brief's item (id, title, url, source_name, source_id, published, card, contract, tryable, scenes, relevance, rank) as a channel shows it: lines of the card by name, scenes with labels."""
+    none = F.lit("")
+    lines = [text.card_field(item["card"], labels[n]).alias(n) for n in ("definition", "scene", "practice", "action")]
+    scenes = labelled(F.coalesce(item["scenes"], F.array().cast("array<string>")), fixed.SCENE_LABELS)
+    return F.struct(
+        F.coalesce(item["id"], none).alias("id"), item["title"].alias("title"), F.coalesce(item["url"], none).alias("url"), filled(item["source_name"], item["source_id"]).alias("source_name"), F.coalesce(item["published"], none).alias("published"),
+        *lines, F.coalesce(item["card"], none).alias("card"), F.coalesce(item["tryable"], F.lit(False)).alias("tryable"), F.coalesce(item["contract"], F.lit(False)).alias("contract"), scenes.alias("scenes"),
+        filled(item["relevance"], F.lit("medium")).alias("relevance"), F.coalesce(item["rank"], F.lit(0)).alias("rank"),
+    )
+
+
+def channel_payload(brief: dict[str, Column]) -> Column:
+    """What a channel shows of a brief (date, version, mode, locked, fetched, generated, banner, items): items with a title only, times in Beijing.
+
+    The time of the data is that of the fetch, else of the making; a brief without items has no content.
+    """
+    of = lambda name, kind: brief.get(name, F.lit(None)).cast(kind)
+    items = F.filter(brief["items"], lambda x: F.coalesce(x["title"], F.lit("")) != "")
+    at = F.coalesce(F.nullif(of("fetched", "long"), F.lit(0).cast("long")), of("generated", "long"))
+    clock = F.coalesce(times.clock(at), F.lit(""))
+    return F.struct(
+        F.coalesce(of("date", "string"), F.lit("")).alias("date"), F.coalesce(of("version", "int"), F.lit(0)).alias("version"), filled(of("mode", "string"), F.lit("increment")).alias("mode"), F.coalesce(of("locked", "boolean"), F.lit(False)).alias("locked"),
+        clock.alias("clock"), F.when(clock == "", "").otherwise(F.concat(F.lit("数据截至 "), clock)).alias("label"), F.coalesce(F.transform(items, lambda x: channel_item(x)), F.array()).alias("items"), (F.coalesce(F.size(items), F.lit(0)) > 0).alias("has_content"),
+        F.coalesce(of("banner", "string"), F.lit("")).alias("banner"),
+    )
+
+
+def grouped_lists(df: DataFrame, group: str, item: str, order: list[Column], cap: int) -> DataFrame:
+    """group and items: the first ``cap`` items of each group in order, as an array of a bounded size."""
+    top = df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__n") <= cap)
+    return top.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", item))), lambda x: x[item]).alias("items"))

@@ -23,7 +23,7 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def best_per_key(df: DataFrame, key: str, rank: Column) -> DataFrame:
-    """The row of highest rank of each key, in one aggregate without a sort."""
+    """The row of highest rank of each key: one aggregate, combined before the shuffle.  Rows travel whole, so wide ones are best ranked by their keys first."""
     picked = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), rank).alias("__row"))
     return picked.select("__row.*")
 

@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import details, documents, events, feeds, lists, mechanisms, pages, publish, rules, similar, streams  # noqa: E402, F401
+from . import details, documents, events, feeds, lists, mechanisms, pages, publish, rules, shapes, similar, streams  # noqa: E402, F401
