@@ -116,13 +116,19 @@ def in_poll_window(published: Column, cursor: Column, as_of: Column) -> Column:
     return (published > cursor) & (published <= as_of)
 
 
-def qualify_reasons(title: Column, content: Column, summary: Column, published: Column, fetched: Column, days: Column, as_of: Column, min_content: int = fixed.MIN_CONTENT) -> Column:
-    """All reasons against an intel item, an empty array if there are none."""
+def qualify_reasons(title: Column, content: Column, summary: Column, published: Column, fetched: Column, days: Column, as_of: Column, min_content: Column | int = fixed.MIN_CONTENT, lenient: bool = False) -> Column:
+    """All reasons against an intel item, an empty array if there are none.
+
+    min_content may go by row; days of 0 or less leave age out, null ones are the default.  A lenient gate, for summaries and
+    archives, looks at neither length nor age.
+    """
     t, c, s = (text.clean_intel(x) for x in (title, content, summary))
+    least = F.coalesce(min_content, F.lit(fixed.MIN_CONTENT)) if isinstance(min_content, Column) else F.lit(min_content)
+    strict, span = F.lit(not lenient), F.coalesce(days, F.lit(fixed.FRESH_DAYS))
     return F.array_compact(
         F.array(
-            F.when(text.meaningful_length(c, t) < min_content, "short"),
-            F.when(~within_days(published, fetched, days, as_of), "stale"),
+            F.when(strict & (text.meaningful_length(c, t) < least), "short"),
+            F.when(strict & (span > 0) & ~within_days(published, fetched, span, as_of), "stale"),
             F.when((t == "") & (c == "") & (s == ""), "empty"),
             F.when(t.rlike("[；;]"), "several").when(t.rlike(fixed.ROUNDUP) & (F.length(t) >= 15), "roundup"),
         )

@@ -209,6 +209,29 @@ def detail(row: dict[str, Column]) -> Column:
     return F.struct(*plain, of.alias("content_source"), filled(empty("source_name"), empty("source")).alias("source_name"), filled(empty("publish_time"), empty("time")).alias("publish_time"))
 
 
+def readable(value: Column) -> Column:
+    """Without characters that stand for broken ones, and without control characters but tab and line breaks; empty for null."""
+    return F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+
+
+def in_paragraphs(value: Column) -> Column:
+    """Trimmed lines that are not empty."""
+    return F.filter(F.transform(F.split(readable(value), "\n+", -1), text.trimmed), lambda x: x != "")
+
+
+def intel_detail(row: dict[str, Column]) -> Column:
+    """A detail as it is read: texts without broken characters, the definition, what happened and practice in paragraphs, blocks of known types, times of day in Beijing."""
+    of = lambda name, kind="string": row.get(name, F.lit(None)).cast(kind)
+    blocks = F.transform(
+        row.get("blocks", F.array().cast("array<struct<type: string, text: string>>")), lambda b: F.struct(F.when(b["type"].isin("plain", "predict", "def"), b["type"]).otherwise("text").alias("type"), readable(b["text"]).alias("text"))
+    )
+    return F.struct(
+        of("id").alias("id"), *[readable(of(n)).alias(n) for n in ("title", "url", "source_name", "source_url", "published", "happened", "scene", "action")], *[in_paragraphs(of(n)).alias(f"{n}_lines") for n in ("definition", "happened", "practice")],
+        F.coalesce(F.filter(blocks, lambda b: b["text"] != ""), F.array()).alias("blocks"), F.coalesce(of("relevance"), F.lit("")).alias("relevance"), F.coalesce(of("tryable", "boolean"), F.lit(False)).alias("tryable"),
+        filled(of("research"), F.lit("todo")).alias("research"), times.absolute_label(of("processed", "long")).alias("processed"),
+    )
+
+
 def appended_new(page: DataFrame, shown: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Rows of a page whose key is not shown yet, each key once; rows without a key go."""
     fresh = page.where(F.col(key).isNotNull()).join(shown.select(key), key, "left_anti")

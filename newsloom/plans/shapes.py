@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import gates, publish
-from ..sources import feeds, reports
+from ..shared import forget, place, remove, written
+from ..sources import exports, feeds, reports
+from . import registry
 from .documents import ITEMS, items
 from .events import BEGAN, DAY, E, timed
 from .registry import query
@@ -104,3 +106,59 @@ def stage_yields(t):
 @query(f"""SELECT doc_id, {" + ".join(f"CAST(contains(lower(coalesce(text, '')), '{w}') AS INT)" for w in _WORDS)} AS hits FROM documents""")
 def indicator_words(t):
     return t("documents").select("doc_id", publish.indicator_hits(F.col("text"), _WORDS).alias("hits"))
+
+
+@query(f"""WITH {PLAIN}, b AS (SELECT doc_id, source, left(plain, 40) AS title, plain, n_chars FROM d)
+SELECT doc_id, 'stories:' || doc_id AS guid, title, 'https://x.org/' || doc_id AS url, left(CASE WHEN plain = '' THEN title ELSE plain END, 5000) AS raw, left(plain, 300) AS summary, CAST(n_chars AS VARCHAR) || '/0' AS meta FROM b WHERE title <> '' AND n_chars % 5 > 0
+UNION ALL SELECT doc_id, 'papers:' || CASE WHEN n_chars % 2 = 0 THEN 'p' || doc_id ELSE 'https://x.org/' || doc_id END, trim(title), 'https://x.org/' || doc_id, left(plain, 5000), left(plain, 300), coalesce(source, '') FROM b WHERE trim(title) <> ''
+UNION ALL SELECT doc_id, 'keywords:' || sha256('https://x.org/' || doc_id), trim(title), 'https://x.org/' || doc_id, left(plain, 5000), left(plain, 300), 'aggregated' FROM b WHERE trim(title) <> ''""")
+def adapters_parsed(t):
+    """Answers of a story search, a paper search and a keyword feed, made of each text."""
+    d = first_words(t("documents")).withColumn("title", F.substring("plain", 1, 40))
+    i = F.col("doc_id").cast("string")
+    hit = F.struct("title", F.when(F.col("n_chars") % 5 > 0, F.concat(F.lit("https://x.org/"), i)).alias("url"), i.alias("objectID"), F.col("plain").alias("story_text"), F.col("n_chars").cast("string").alias("points"))
+    stories = F.to_json(F.struct(F.array(hit).alias("hits")))
+    number = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("<id>p"), i, F.lit("</id>"))).otherwise("")
+    papers = F.concat(F.lit("<feed><title>f</title><entry>"), number, F.lit("<title> "), "title", F.lit("</title><link rel='alternate' href='https://x.org/"), i, F.lit("'/><summary>\n"), "plain", F.lit("</summary><author><name>"), F.coalesce("source", F.lit("")), F.lit("</name></author></entry><entry><title>no link</title></entry></feed>"))
+    words = F.concat(F.lit("<rss version='2.0'><channel><title>c</title><item><title>"), "title", F.lit("</title><link>https://x.org/"), i, F.lit("</link><description>"), "plain", F.lit("</description></item></channel></rss>"))
+    found = F.concat(feeds.story_search_items(stories), feeds.paper_items(papers), feeds.keyword_feed_items(words))
+    return d.select("doc_id", F.explode(found).alias("x")).select("doc_id", *[F.col(f"x.{c}") for c in ("guid", "title", "url", "raw", "summary")], F.array_join(F.map_values("x.meta"), "/").alias("meta"))
+
+
+@query(f"""WITH {ITEMS}, d AS (SELECT id, title, content, published, regexp_replace(replace(content, ' e', ' ' || chr(65533) || 'e'), 'zzz', '') AS broken FROM items)
+SELECT id, title, content AS happened, len(list_filter(list_transform(string_split_regex(content, '\n+'), lambda x: {TRIM.format("x")}), lambda x: x <> '')) AS n_lines, CASE WHEN length(content) % 2 = 0 AND title <> '' THEN 'text=' || title ELSE '' END AS blocks, 'todo' AS research,
+  strftime(make_timestamp((published + 28800) * 1000000), '%-m/%-d %H:%M') AS processed FROM d""")
+def intel_details(t):
+    """Details of texts into which broken characters are planted."""
+    d = items(t("documents"))
+    broken = F.replace("content", F.lit(" e"), F.lit(" \ufffde"))
+    blocks = F.array(F.struct(F.lit("odd").alias("type"), F.when(F.length("content") % 2 == 0, F.col("title")).alias("text")))
+    made = d.select("id", publish.intel_detail({"id": F.col("id"), "title": F.col("title"), "happened": broken, "blocks": blocks, "processed": F.col("published")}).alias("d"))
+    return made.select("id", "d.title", "d.happened", F.size("d.happened_lines").cast("long").alias("n_lines"), F.array_join(F.transform("d.blocks", lambda b: F.concat_ws("=", b["type"], b["text"])), "|").alias("blocks"), "d.research", "d.processed")
+
+
+def export_files_read(spark, sf_dir):
+    """Items and broken rows of exports that are written from the documents as lines and as CSV."""
+    d = first_words(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.substring("plain", 1, 60).alias("title"), F.concat(F.lit("https://x.org/"), F.col("doc_id").cast("string")).alias("link"), F.lit("2024-01-02").alias("publish_time"), F.col("plain").alias("digest"))
+    where = place(spark, "exports")
+    line = F.to_json(F.struct("title", "link", "publish_time", "digest"))
+    d.select(F.when(F.col("doc_id") % 10 == 3, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(f"{where}/lines")
+    d.select("title", "link", "publish_time", "digest").write.csv(f"{where}/csv", header=True)
+    out, parsed = [], []
+    for form in ("lines", "csv"):
+        rows = written(exports.read_export(spark, f"{where}/{form}", form), "export-rows")
+        made = exports.export_items(exports.good_rows(rows))
+        kept = made.agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.sum("published").alias("times"), F.count_if(F.col("title") == exports.NO_TITLE).alias("untitled"))
+        broken = rows.agg(F.count(exports.BROKEN).alias("broken"))
+        parsed.append(rows)
+        out.append(kept.crossJoin(broken).withColumn("form", F.lit(form)))  # one row each
+    done = written(out[0].unionByName(out[1]), "export-counts")
+    remove(spark, where)
+    for rows in parsed:
+        forget(rows)
+    return done
+
+
+registry.QUERIES["export_files_read"] = export_files_read
+registry.ORACLE_SQL["export_files_read"] = f"""WITH {PLAIN}, e AS (SELECT 'lines' AS form, doc_id % 10 = 3 AS bad, plain FROM d UNION ALL SELECT 'csv', false, plain FROM d)
+SELECT form, count_if(NOT bad) AS n, CAST(sum(CASE WHEN bad THEN 0 ELSE length(left(plain, 5000)) END) AS BIGINT) AS chars, CAST(count_if(NOT bad) * 1704153600 AS BIGINT) AS times, count_if(NOT bad AND plain = '') AS untitled, count_if(bad) AS broken FROM e GROUP BY form"""

@@ -14,11 +14,24 @@ BODY_NAMES = ["content", "digest"]
 NO_TITLE = "(无标题)"
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a .json (an array or one object a line) or .csv export; rows that cannot be parsed are null rows and drop out."""
-    if path.endswith(".json"):
-        return spark.read.json(path, multiLine=True, mode="DROPMALFORMED")
-    return spark.read.csv(path, header=True, mode="DROPMALFORMED")
+#: Holds a row that could not be parsed, whole; null for the others.
+BROKEN = "_broken"
+
+
+def read_export(spark: SparkSession, path: str, form: str) -> DataFrame:
+    """Rows of an export, all columns as text, and BROKEN: form is lines (an object a line), json (an array a file) or csv (with a header).
+
+    A row that cannot be parsed has its text in BROKEN and nulls elsewhere, so that it can be counted; good_rows() leaves it out.
+    """
+    if form == "csv":
+        names = spark.read.csv(path, header=True).columns
+        return spark.read.schema(", ".join(f"`{n}` string" for n in [*names, BROKEN])).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN)
+    names = [*URL_NAMES, *TIME_NAMES, *BODY_NAMES, "title", "author", BROKEN]
+    return spark.read.schema(", ".join(f"{n} string" for n in names)).json(path, multiLine=form == "json", mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN)
+
+
+def good_rows(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col(BROKEN).isNull()).drop(BROKEN)
 
 
 def export_items(rows: DataFrame) -> DataFrame:

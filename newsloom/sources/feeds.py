@@ -88,6 +88,52 @@ def story_hits(json: Column) -> Column:
     return F.coalesce(F.filter(found, lambda x: (x["title"] != "") & (x["url"] != "")), F.array())
 
 
+ADAPTED = "array<struct<source: string, guid: string, title: string, url: string, published: string, raw: string, summary: string, meta: map<string, string>>>"
+
+
+def story_search_items(json: Column, source: str = "stories") -> Column:
+    """Items of a story search that have a title, a URL and an id, with points and comments as meta; texts up to 5,000 characters, summaries 300."""
+    hits = F.from_json(json, "hits array<struct<title: string, url: string, created_at: string, objectID: string, story_text: string, points: string, num_comments: string>>")["hits"]
+    kept = F.filter(hits, lambda h: (F.coalesce(h["title"], F.lit("")) != "") & (F.coalesce(h["url"], F.lit("")) != "") & (F.coalesce(h["objectID"], F.lit("")) != ""))
+    said = lambda h: F.coalesce(h["story_text"], F.lit(""))
+    found = F.transform(
+        kept,
+        lambda h: F.struct(
+            F.lit(source).alias("source"), F.concat(F.lit(f"{source}:"), h["objectID"]).alias("guid"), h["title"].alias("title"), h["url"].alias("url"), h["created_at"].alias("published"),
+            F.substring(F.when(said(h) == "", h["title"]).otherwise(said(h)), 1, 5000).alias("raw"), F.substring(F.regexp_replace(said(h), "<[^>]+>", " "), 1, 300).alias("summary"),
+            F.create_map(F.lit("points"), F.coalesce(h["points"], F.lit("0")), F.lit("num_comments"), F.coalesce(h["num_comments"], F.lit("0"))).alias("meta"),
+        ),
+    )
+    return F.coalesce(found.cast(ADAPTED), F.array().cast(ADAPTED))
+
+
+def paper_items(xml: Column, source: str = "papers") -> Column:
+    """Entries of a paper search's Atom that have a title and a link: the summary stands for the text, the first author is meta."""
+    blocks = F.split(F.coalesce(xml, F.lit("")), "(?i)<entry>|<entry ", -1)
+
+    def entry(b: Column) -> Column:
+        of = lambda tag: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(b, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), "<[^>]+>", " "), r"\s+", " "))
+        url, number = F.regexp_extract(b, r"(?i)<link[^>]*href\s*=\s*[\"']([^\"']+)[\"']", 1), F.regexp_extract(b, "(?i)<id>([^<]+)</id>", 1)
+        return F.struct(
+            F.lit(source).alias("source"), F.concat(F.lit(f"{source}:"), F.coalesce(F.nullif(number, F.lit("")), url)).alias("guid"), of("title").alias("title"), url.alias("url"), of("published").alias("published"),
+            F.substring(of("summary"), 1, 5000).alias("raw"), F.substring(of("summary"), 1, 300).alias("summary"), F.create_map(F.lit("authors"), of("author")).alias("meta"),
+        )
+
+    found = F.transform(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))), entry)
+    return F.filter(found, lambda x: (x["title"] != "") & (x["url"] != "")).cast(ADAPTED)
+
+
+def keyword_feed_items(xml: Column, source: str = "keywords") -> Column:
+    """Items of a keyword search's feed; the guid is the hash of the address, which stays as it is."""
+    return F.transform(
+        feed_items(xml),
+        lambda x: F.struct(
+            F.lit(source).alias("source"), F.concat(F.lit(f"{source}:"), F.sha2(x["url"], 256)).alias("guid"), x["title"].alias("title"), x["url"].alias("url"), x["pub_date"].alias("published"), x["content"].alias("raw"), x["desc"].alias("summary"),
+            F.create_map(F.lit("note"), F.lit("aggregated")).alias("meta"),
+        ),
+    ).cast(ADAPTED)
+
+
 def company_items(json: Column, site: str) -> Column:
     """Items of a company's news interface: data that have a title; times are milliseconds, tags one category."""
     kind = "data array<struct<title: string, summary: string, publishDate: string, slug: string, newsId: string, tags: array<string>>>"
