@@ -4,7 +4,8 @@ Titles with equal sets are one class from the start, so copies never meet each o
 
 Pairs come from a prefix join.  With characters in order of rareness, two sets above the threshold share characters among
 their first few; a join on one shared character has keys that thousands of titles hold, so sets are joined on ``TOGETHER``
-shared characters of a prefix that is as much longer, and on size.
+shared characters of a prefix that is as much longer, and on size.  What meets are ids with a mask of the most frequent
+characters, which bounds what two sets can share; the sets themselves are joined to the pairs that are left.
 
 The greedy operators give what a fold in order gives (the first title leads).  A few rounds take the next ``WIDTH`` open
 classes of every block, settle the leaders among them and give every open class the first leader that it is like: where
@@ -27,8 +28,10 @@ from .settle import first_come_by_links
 WIDTH = 32
 #: Rounds of leaders before links are joined.
 ROUNDS = 5
-#: Characters that sets are joined on together.
-TOGETHER = 3
+#: Characters that sets are joined on together: 1 or 2.
+TOGETHER = 2
+#: Characters with a bit of their own in a set's mask.
+FREQUENT = 63
 
 
 def char_set(title: Column) -> Column:
@@ -42,34 +45,40 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _joined(ranked: DataFrame, similarity: float, together: int) -> DataFrame:
-    """(block, a, b, x, y) of sets (block, id, s) that share ``together`` characters of their prefixes and may be alike by size; a pair once."""
-    n = F.size("s")
+    """(block, a, b) of sets that share ``together`` characters of their prefixes and may be alike by size and by their frequent characters."""
+    n = F.col("n")
     prefix = F.slice("s", F.lit(1), F.least(n, (n - F.ceil(n * similarity - 1e-9)).cast("int") + together))
-    d = ranked.withColumn("n", n).withColumn("prefix", prefix).where(F.size("prefix") >= together)
-    keys = F.transform(F.col("prefix"), lambda x: F.array(x))
-    for _ in range(together - 1):
-        # Each is made longer by the characters behind its last one.
-        keys = F.flatten(F.transform(keys, lambda k: F.transform(F.slice("prefix", F.array_position("prefix", F.element_at(k, -1)).cast("int") + 1, F.size("prefix")), lambda x: F.concat(k, F.array(x)))))
-    small = d.select("block", F.col("id").alias("a"), F.col("s").alias("x"), F.col("prefix").alias("px"), F.col("n").alias("size"), F.explode(keys).alias("k"))
-    sizes = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") * similarity - 1e-9).cast("int")), F.col("n"))
-    large = d.select("block", F.col("id").alias("b"), F.col("s").alias("y"), F.col("prefix").alias("py"), F.col("n").alias("m"), F.explode(keys).alias("k"), sizes.alias("sizes")).withColumn("size", F.explode("sizes"))
-    met = small.join(large.withColumnRenamed("block", "other"), (F.col("block") == F.col("other")) & (small["k"] == large["k"]) & (small["size"] == large["size"])).where((small["size"] < F.col("m")) | ((small["size"] == F.col("m")) & (F.col("a") < F.col("b"))))
-    # Of the keys that a pair shares, the one of its first shared characters counts.
-    return met.where(F.slice(F.array_intersect("px", "py"), 1, together) == small["k"]).select("block", "a", "b", "x", "y")
+    d = ranked.withColumn("prefix", prefix).where(F.size("prefix") >= together)
+    keys = F.transform("prefix", lambda x: F.xxhash64(x))
+    if together == 2:
+        behind = lambda i: F.slice("prefix", i + 2, F.size("prefix"))
+        keys = F.flatten(F.transform("prefix", lambda x, i: F.transform(behind(i), lambda y: F.xxhash64(x, y))))
+    small = d.select("block", F.col("id").alias("a"), n.alias("size"), F.col("mask").alias("xm"), F.col("rest").alias("xr"), F.explode(keys).alias("k"))
+    sizes = F.sequence(F.greatest(F.lit(1), F.ceil(n * similarity - 1e-9).cast("int")), n)
+    large = d.select(F.col("block").alias("other"), F.col("id").alias("b"), n.alias("m"), F.col("mask").alias("ym"), F.col("rest").alias("yr"), F.explode(keys).alias("key"), sizes.alias("sizes")).withColumn("at", F.explode("sizes")).drop("sizes")
+    met = small.join(large, (F.col("block") == F.col("other")) & (F.col("k") == F.col("key")) & (F.col("size") == F.col("at"))).where((F.col("size") < F.col("m")) | ((F.col("size") == F.col("m")) & (F.col("a") < F.col("b"))))
+    # Most that the two can share: their frequent characters in common, and all others of the one that has fewer.
+    most = F.bit_count(F.col("xm").bitwiseAND(F.col("ym"))) + F.least("xr", "yr")
+    return met.where(most > (F.col("size") + F.col("m") - most) * similarity).select("block", "a", "b").distinct()
 
 
 def _pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """(block, a, b, similarity) of sets (block, id, chars) of a block; ids are compared as they are, blocks are not null."""
     counts = sets.select(F.explode("chars").alias("c")).groupBy("c").agg(F.count("*").alias("n"))  # one row a character at most
-    ranked = sets.select("block", "id", F.explode("chars").alias("c")).join(counts, "c").groupBy("block", "id").agg(F.sort_array(F.collect_list(F.struct("n", "c"))).alias("s"))
-    ranked = ranked.select("block", "id", F.transform("s", lambda x: x["c"]).alias("s"))
+    counts = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "c")))
+    frequent = F.col("place") <= FREQUENT
+    ranked = sets.select("block", "id", F.explode("chars").alias("c")).join(counts, "c").groupBy("block", "id").agg(
+        F.sort_array(F.collect_list(F.struct("n", "c"))).alias("s"), F.coalesce(F.bit_or(F.when(frequent, F.expr("shiftleft(1L, place - 1)"))), F.lit(0).cast("long")).alias("mask"), F.count_if(~frequent).cast("int").alias("rest")
+    )
+    ranked = ranked.select("block", "id", F.transform("s", lambda x: x["c"]).alias("s"), F.size("s").alias("n"), "mask", "rest")
     # The overlap of two sets of size n at least is that of two of size n; below so many characters one is joined on.
     enough = next(n for n in range(1, 1000) if ceil(2 * n * similarity / (1 + similarity) - 1e-9) >= TOGETHER)
-    n = F.size("s")
-    many = _joined(ranked.where(n >= enough), similarity, TOGETHER)
-    few = _joined(ranked.where(n < enough / similarity + 1), similarity, 1).where(F.least(F.size("x"), F.size("y")) < enough)
-    both = many.unionByName(few).select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), jaccard(F.col("x"), F.col("y")).alias("similarity"))
-    return both.where(F.col("similarity") > similarity)
+    many = _joined(ranked.where(F.col("n") >= enough), similarity, TOGETHER)
+    few = _joined(ranked.where(F.col("n") < enough / similarity + 1), similarity, 1)
+    found = many.unionByName(few).select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = (sets.select(F.col("block").alias(f"{x}_block"), F.col("id").alias(x), F.col("chars").alias(f"{x}_chars")) for x in ("a", "b"))
+    both = found.join(one.withColumnRenamed("a_block", "block"), ["block", "a"]).join(two.withColumnRenamed("b_block", "block"), ["block", "b"])
+    return both.select("block", "a", "b", jaccard(F.col("a_chars"), F.col("b_chars")).alias("similarity")).where(F.col("similarity") > similarity)
 
 
 def similar_pairs(titles: DataFrame, key: str, title: str, similarity: float) -> DataFrame:
