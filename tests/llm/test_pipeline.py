@@ -136,3 +136,24 @@ def test_no_personal_data_is_left(stages):
     _, _, found = stages[2]
     left = [r.text for r in found.collect() if re.search(brute.PII["email"][0], r.text)]
     assert not left
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_packs_what_the_stages_leave(spark):
+    """run() is the stages one after another: every document in its bins was kept by the first three, with masked texts' words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    words = {}
+    for r in docs.collect():
+        words.setdefault(r.doc_id, []).append(len(brute.words(r.text or "")))
+    packed = {}
+    for b in corpus_pipeline.run(spark, SF).collect():
+        assert sum(b.sizes) == b.n_words <= 2048
+        for i, n in zip(b.doc_ids, b.sizes, strict=True):
+            packed[i] = packed.get(i, 0) + n
+    assert packed == {i: sum(n) for i, n in words.items() if sum(n)}
