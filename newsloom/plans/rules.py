@@ -268,7 +268,7 @@ m AS (SELECT *, CASE WHEN cs = 'fetched' AND nk = 'ai' AND ns <> '' THEN 'ai_sum
 g AS (SELECT *, ok IS NOT NULL AND ocs = 'ai_interpretation' AND mark NOT IN ('ai_interpretation', 'official_rss') AS guarded FROM m)
 SELECT coalesce(ik, ok) AS dedup_key, CASE WHEN ik IS NULL THEN os ELSE ns END AS summary, CASE WHEN ik IS NULL THEN okind_raw ELSE nk END AS summary_source, CASE WHEN ik IS NULL THEN oc WHEN guarded AND oc <> '' THEN oc ELSE c END AS content,
   CASE WHEN ik IS NULL THEN ocs WHEN guarded THEN 'ai_interpretation' ELSE mark END AS content_source, CASE WHEN ik IS NULL THEN oop WHEN guarded THEN coalesce(nullif(oop, ''), op, '') ELSE coalesce(op, '') END AS opinion, CAST(coalesce(created, {_NEW}) AS BIGINT) AS created,
-  CASE WHEN ik IS NULL THEN retained ELSE coalesce(retained, false) END AS retained, CAST(CASE WHEN ik IS NULL THEN retained_at WHEN retained THEN coalesce(retained_at, {_NEW}) END AS BIGINT) AS retained_at,
+  CASE WHEN ik IS NULL THEN retained ELSE coalesce(retained, false) END AS retained, CAST(coalesce(CASE WHEN ik IS NULL THEN retained_at WHEN retained THEN coalesce(retained_at, {_NEW}) END, -1) AS BIGINT) AS retained_at,
   CAST(CASE WHEN ik IS NULL THEN expires WHEN retained THEN coalesce(retained_at, {_NEW}) + 30 * 86400 ELSE {_NEW} + 7 * 86400 END AS BIGINT) AS expires FROM g""")
 def merge_all_branches(t):
     d = items(t("documents")).where("title <> ''").withColumn("dedup_key", tables.dedup_key(F.lit(""), F.col("title"))).withColumn("n", F.length("content"))
@@ -285,7 +285,7 @@ def merge_all_branches(t):
         F.when(n % 8 == 0, "ai_interpretation").when(n % 8 == 1, "official_rss").otherwise("fetched").alias("content_source"), F.when(n % 10 == 0, "new view").alias("opinion"), nothing.cast("long").alias("created"), nothing.cast("boolean").alias("retained"),
         nothing.cast("long").alias("retained_at"), nothing.cast("long").alias("expires"),
     )
-    return tables.merge_published(old, new, _NEW).drop("title", "source")
+    return tables.merge_published(old, new, _NEW).drop("title", "source").withColumn("retained_at", F.coalesce("retained_at", F.lit(-1)))
 
 
 @query("""WITH d AS (SELECT doc_id, lang, n_chars, n_chars % 101 - 2.0 * (doc_id % 48) AS x FROM documents) SELECT lang, doc_id FROM d QUALIFY row_number() OVER (PARTITION BY lang ORDER BY x DESC, doc_id) <= 10""")

@@ -35,7 +35,7 @@ def stream_queue_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type").isin("view", "click"), "claim").when(F.col("event_type") == "error", "failed")
     action = action.when(F.col("event_type") == "purchase", F.when(value < 5, "done").otherwise("postponed"))
     stream = _stream(spark, sf_dir)
-    return drained(queue.queue_steps(stream, F.floor(F.col("event_id") / 100), F.col("event_id"), "ts", action))
+    return drained(queue.queue_steps(stream, F.floor(F.col("event_id") / 100), F.col("event_id"), "ts", action)).withColumn("event", F.coalesce("event", F.lit(-1)))
 
 
 #: Arrivals of the cursor's stream: a batch for ten days each, with rows that come a batch late or early.
@@ -52,7 +52,8 @@ def stream_cursor_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = merges.BatchTables(spark, where, kept="event_id long, event_type string, at_s long", cursors="event_type string, cursor long", counts="event_type string, kept long, late long, future long, undated long")
     parts = [e.where(F.col("now") == events.BEGAN + (k + 1) * TEN_DAYS) for k in range(CURSOR_BATCHES)]
     arrivals(parts, e.schema, lambda stream, log: merges.cursor_intake(stream, tables, "event_type", "at_s", F.col("now"), log, look_back=TEN_DAYS))
-    out = written(tables.read("counts").join(tables.read("cursors"), ["batch", "event_type"], "left"), "cursor-counts")
+    reached = tables.read("counts").join(tables.read("cursors"), ["batch", "event_type"], "left")
+    out = written(reached.withColumn("cursor", F.coalesce("cursor", F.lit(-1))), "cursor-counts")
     remove(spark, where)
     return out
 
@@ -94,8 +95,8 @@ f AS (SELECT item, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event, CAST(N
             CASE WHEN f.status = 'processing' AND e.at_ms > f.claimed_at + 300000 THEN 'pending' ELSE f.status END AS was FROM f JOIN e ON e.item = f.item AND e.n = f.n + 1))))),
 last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY item ORDER BY n DESC) = 1)
 SELECT item, event, at_ms, action, accepted, said AS status, retries_said AS retries, skips_said AS skips FROM f WHERE n > 0
-UNION ALL SELECT f.item, NULL, f.lapsed, 'lapse', true, 'pending', b.retries_said, b.skips_said FROM f JOIN f b ON b.item = f.item AND b.n = f.n - 1 WHERE f.lapsed IS NOT NULL
-UNION ALL SELECT item, NULL, claimed_at + 300000, 'lapse', true, 'pending', retries, skips FROM last WHERE status = 'processing' AND claimed_at + 300000 <= (SELECT max(at_ms) FROM e) - 600000"""
+UNION ALL SELECT f.item, -1, f.lapsed, 'lapse', true, 'pending', b.retries_said, b.skips_said FROM f JOIN f b ON b.item = f.item AND b.n = f.n - 1 WHERE f.lapsed IS NOT NULL
+UNION ALL SELECT item, -1, claimed_at + 300000, 'lapse', true, 'pending', retries, skips FROM last WHERE status = 'processing' AND claimed_at + 300000 <= (SELECT max(at_ms) FROM e) - 600000"""
 
 _AT = f"CAST((at_s - {events.BEGAN}) // {TEN_DAYS} AS INT)"
 registry.ORACLE_SQL["stream_cursor_intake"] = f"""WITH {events.E},
@@ -107,7 +108,7 @@ c1 AS (SELECT event_type, max(at_s) AS cursor FROM (SELECT event_type, at_s FROM
 s2 AS (SELECT w.*, coalesce(cursor, now - {TEN_DAYS}) AS start FROM w LEFT JOIN c1 USING (event_type) WHERE batch = 2),
 s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)
 SELECT batch, event_type, count_if(at_s > start AND at_s <= now) AS kept, count_if(at_s <= start) AS late, count_if(at_s > start AND at_s > now) AS future, CAST(0 AS BIGINT) AS undated,
-  max(at_s) FILTER (WHERE at_s > start AND at_s <= now) AS cursor FROM s GROUP BY batch, event_type"""
+  coalesce(max(at_s) FILTER (WHERE at_s > start AND at_s <= now), -1) AS cursor FROM s GROUP BY batch, event_type"""
 
 registry.ORACLE_SQL["stream_daily_brief"] = f"""WITH {events.E},
 r AS (SELECT strftime(DATE '1970-01-01' + CAST(at_s // 86400 AS INT), '%Y-%m-%d') AS day, CASE WHEN event_type IN ('purchase', 'view') AND value >= 30 THEN event_id END AS id, value,
