@@ -150,7 +150,8 @@ _SUMMARY_BASE = BASE.replace("content", "summary")
 @query(f"""WITH {ITEMS}, d AS (SELECT id, category, length(content) % 50 AS age, length(content) % 7 AS n, length(content) % 101 AS q FROM items),
 h AS (SELECT *, CASE category {" ".join(f"WHEN '{k}' THEN {v}" for k, (_, v) in _TOPIC.items())} ELSE 8 END + CASE WHEN n >= 2 THEN 10 ELSE 0 END AS topic, 10 * n + least(10, 2 * n) AS event FROM d),
 s AS (SELECT *, CAST(round(greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), (event + topic) * exp(-CAST(age AS DOUBLE) / 24)))) AS INT) AS heat FROM h)
-SELECT id, CAST(topic AS INT) AS topic, CAST(event AS BIGINT) AS event, heat, CAST(round(CAST(0.6 AS DOUBLE) * q + CAST(0.4 AS DOUBLE) * heat) AS INT) AS final, CAST(q - age AS DOUBLE) AS decayed FROM s""")
+SELECT id, CAST(topic AS INT) AS topic, CAST(event AS BIGINT) AS event, heat, CAST(round(CAST(0.6 AS DOUBLE) * q + CAST(0.4 AS DOUBLE) * heat) AS INT) AS final,
+  CAST(round([20, 15, 12, 8, 6][CAST(n % 5 + 1 AS INT)] * exp(-CAST(age AS DOUBLE) / 24)) AS INT) AS feed, CAST(q - age AS DOUBLE) AS decayed FROM s""")
 def heat_scores(t):
     size = F.length("content")
     d = items(t("documents")).select("id", "category", (size % 50).alias("age"), (size % 7).alias("n"), (size % 101).alias("q"))
@@ -161,7 +162,10 @@ def heat_scores(t):
     at, as_of = F.lit(AS_OF) - F.col("age") * HOUR, F.lit(AS_OF)
     d = d.withColumn("topic", scoring.topic_heat(named, F.col("n"))).withColumn("event", scoring.event_heat(F.col("n"), 2 * F.col("n")).cast("long"))
     d = d.withColumn("heat", scoring.heat_score(F.col("event"), F.col("topic"), F.lit(0), at, as_of))
-    return d.select("id", "topic", "event", "heat", scoring.final_score(F.col("q"), F.col("heat")).alias("final"), scoring.decayed(F.col("q"), at, as_of).alias("decayed"))
+    # A feed's own heat by its source's authority, faded like an event's.
+    authority = F.get(F.array(*[F.lit(a) for a in (100, 85, 80, 60, 40)]), (F.col("n") % 5).cast("int"))
+    feed = scoring.heat_score(scoring.feed_heat(authority), F.lit(0), F.lit(0), at, as_of)
+    return d.select("id", "topic", "event", "heat", scoring.final_score(F.col("q"), F.col("heat")).alias("final"), feed.alias("feed"), scoring.decayed(F.col("q"), at, as_of).alias("decayed"))
 
 
 @query(f"""WITH {ITEMS}, k AS (SELECT id, published, {TRIM.format("summary")} AS summary, replace(replace(replace(source, 'src1', '新华社'), 'src2', '澎湃新闻'), 'src3', '36氪') AS source, contains(content, 'token = ') AS hit FROM items),
