@@ -21,8 +21,7 @@ _sql = lambda s: s.replace("'", "''")
 
 def first_words(documents: DataFrame) -> DataFrame:
     """doc_id, plain: a text's ASCII letters with single spaces between words, and the columns of documents."""
-    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", "")
-    return documents.withColumn("plain", F.trim(F.regexp_replace(letters, " +", " ")))
+    return documents.withColumn("plain", text.latin_words(F.col("text")))
 
 
 PLAIN = "d AS (SELECT *, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g'), ' +', ' ', 'g')) AS plain FROM documents)"
