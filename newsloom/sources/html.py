@@ -92,10 +92,10 @@ def changelog_entries(html: Column, base: Column, most: int = 30) -> Column:
     def entry(b: Column) -> Column:
         day = F.concat_ws("-", F.regexp_extract(b, DATED, 1), F.lpad(F.regexp_extract(b, DATED, 2), 2, "0"), F.lpad(F.regexp_extract(b, DATED, 3), 2, "0"))
         title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(b, r"(?is)<h3[^>]*>(.*?)</h3>", 1), "<[^>]+>", " "), "​", ""), r"\s+", " "))
-        slug = F.regexp_replace(F.regexp_replace(F.lower(title), r"[^a-z0-9\x{4e00}-\x{9fa5}]+", "-"), "^-|-$", "")
-        slug = F.coalesce(F.nullif(slug, F.lit("")), F.substring(F.sha2(title, 256), 1, 12))
+        slug = lambda t: F.regexp_replace(F.regexp_replace(F.lower(t), r"[^a-z0-9\x{4e00}-\x{9fa5}]+", "-"), "^-|-$", "")
+        anchor = lambda t: text.let(slug(t), lambda s: F.when(s != "", s).otherwise(F.substring(F.sha2(t, 256), 1, 12)))
         content = F.substring(F.trim(F.regexp_replace(F.regexp_replace(b, "<[^>]+>", " "), r"\s+", " ")), 1, 500)
-        return F.struct(title.alias("title"), F.concat(base, F.lit("#"), slug).alias("url"), day.alias("date"), content.alias("content"))
+        return text.let(title, lambda t: F.struct(t.alias("title"), F.concat(base, F.lit("#"), anchor(t)).alias("url"), day.alias("date"), content.alias("content")))
 
     found = F.filter(F.transform(blocks, entry), lambda e: F.length(e["title"]) >= 4)
     return _first_by(found, "url", most)
