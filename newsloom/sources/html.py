@@ -42,23 +42,25 @@ def article(html: Column, shortest: int = 15) -> Column:
     Scripts, menus and the like go first.  The article is the first container of the list that is there, cut where related
     items begin if that is after its first 100 characters; with under two paragraphs the whole page counts.
     """
-    page = F.coalesce(html, F.lit(""))
+    cleaned = F.coalesce(html, F.lit(""))
     for block in fixed.PAGE_BLOCKS:
-        page = F.regexp_replace(page, block, " ")
-    held = F.coalesce(*[F.nullif(F.regexp_extract(page, c, 1), F.lit("")) for c in fixed.ARTICLE_CONTAINERS], F.lit(""))
+        cleaned = F.regexp_replace(cleaned, block, " ")
+
+    def held(page: Column) -> Column:
+        return F.coalesce(*[text.let(F.regexp_extract(page, c, 1), lambda x: F.when(x != "", x)) for c in fixed.ARTICLE_CONTAINERS], F.lit(""))
 
-    def cut(body: Column) -> Column:
-        out = body
-        for pattern in reversed(fixed.ARTICLE_CUTS):
-            at = F.regexp_instr(body, F.lit(pattern))
-            out = F.when(at > 101, text.trimmed(F.substring(body, F.lit(1), at - 1))).otherwise(out)
-        return out
+    def cut(body: Column, patterns: list[str] = fixed.ARTICLE_CUTS) -> Column:
+        # The first pattern is sought first, the next one only where it is not found.
+        if not patterns:
+            return body
+        head = lambda at: F.when(at > 101, text.trimmed(F.substring(body, F.lit(1), at - 1))).otherwise(cut(body, patterns[1:]))
+        return text.let(F.regexp_instr(body, F.lit(patterns[0])), head)
 
-    def joined(inside: Column) -> Column:
-        found = F.when(F.size(inside) >= 2, inside).otherwise(_paragraphs_of(page, shortest))
-        return F.when(F.size(found) > 0, F.array_join(found, "\n"))
+    def body(page: Column) -> Column:
+        every = lambda inside: F.when(F.size(inside) >= 2, inside).otherwise(_paragraphs_of(page, shortest))
+        return text.let(text.let(_paragraphs_of(text.let(held(page), lambda b: cut(b)), shortest), every), lambda found: F.when(F.size(found) > 0, F.array_join(found, "\n")))
 
-    return text.let(_paragraphs_of(cut(held), shortest), joined)
+    return text.let(cleaned, body)
 
 
 def links(html: Column, most: int = 30) -> Column:
